@@ -42,6 +42,15 @@ def _chunk_grams(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(n, np.int64)
 
 
+def _planes(a: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers by place: sorted keys and small counts then compress well in the shuffle."""
+    return a.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _whole(b: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind)[:, 0]
+
+
 def _requests(slot_bits: int):
     def run(chunk: pa.Table) -> pa.Table:
         keys, n = _chunk_grams(chunk.column("text").to_pylist())
@@ -55,7 +64,7 @@ def _requests(slot_bits: int):
         return pa.table({
             "slot": slot[cut],
             "chunk": np.full(len(cut), chunk.column("chunk")[0].as_py(), np.int64),
-            "keys": pa.array([keys[a:b].tobytes() for a, b in pieces], pa.binary()),
+            "keys": pa.array([_planes(keys[a:b]) for a, b in pieces], pa.binary()),
             "counts": pa.array([counts[a:b].astype(np.int32).tobytes() for a, b in pieces], pa.binary()),
         })
 
@@ -64,19 +73,19 @@ def _requests(slot_bits: int):
 
 def _answers(slot: pa.Table) -> pa.Table:
     """Total counts, for each request in its own order."""
-    each = [np.frombuffer(k, np.uint64) for k in slot.column("keys").to_pylist()]
+    each = [_whole(k, np.uint64) for k in slot.column("keys").to_pylist()]
     counts = np.concatenate([np.frombuffer(c, np.int32) for c in slot.column("counts").to_pylist()])
     keys, inverse = np.unique(np.concatenate(each), return_inverse=True)
     total = np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.int64)[inverse]
     ends = np.cumsum([len(k) for k in each])
-    return pa.table({"slot": slot.column("slot"), "chunk": slot.column("chunk"), "totals": pa.array([t.tobytes() for t in np.split(total, ends[:-1])], pa.binary())})
+    return pa.table({"slot": slot.column("slot"), "chunk": slot.column("chunk"), "totals": pa.array([_planes(t) for t in np.split(total, ends[:-1])], pa.binary())})
 
 
 def _scores(alpha: float, least: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         order = np.argsort(answers.column("slot").to_numpy(), kind="stable")
         totals = answers.column("totals").to_pylist()
-        total = np.concatenate([np.frombuffer(totals[i], np.int64) for i in order]) if totals else np.empty(0, np.int64)
+        total = np.concatenate([_whole(totals[i], np.int64) for i in order]) if totals else np.empty(0, np.int64)
         grams, n = _chunk_grams(docs.column("text").to_pylist())
         keys, inverse = np.unique(grams, return_inverse=True)
         at = int(np.searchsorted(keys, _NONE))
