@@ -1,11 +1,508 @@
-"""Registered queries of the engine, and their SQL."""
+"""Registered queries of the engine over the given tables, each with the SQL that must give the same rows.
+
+SQL is left out where none can express the operator (fitted trees, exact transport of more than two points).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..functions import positions as P
+from ..functions import text as X
+from ..operators import kernels as K
+from ..operators import learn as L
+from ..operators import metrics as M
+from ..operators import relational as R
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
 
-def queries() -> dict:
-    return {}
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = _table(spark, d, "documents").select("doc_id", "n_chars"), _table(spark, d, "labels")
+    return docs.join(labels, "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("score"), (1 - F.col("quality")).alias("label"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "embeddings").select("vec_id", A.doubles(F.col("embedding")).alias("v"), "label")
+
+
+def _curves(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d).select("vec_id", F.transform("v", F.abs).alias("a"), "v", (F.col("label") < 5).cast("int").alias("label"))
+
+
+def _r(c: Column, n: int = 6) -> Column:
+    return F.round(c, n) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: _r(F.col(n)) for n in names})
+
+
+_SCORED = "SELECT l.doc_id, n_chars::DOUBLE AS s, 1 - quality AS y FROM documents JOIN labels l USING (doc_id)"
+_E = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_transform(embedding, lambda x: abs(x::DOUBLE)) AS a, label FROM embeddings"
+_AUC = "sum(pos * (before + neg / 2.0)) / (sum(pos) * sum(neg))"
+_BY_SCORE = "SELECT s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM rows GROUP BY s"
+_BEFORE = f"SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_BY_SCORE})"
+
+
+@query(f"""
+WITH rows AS ({_SCORED}), span AS (SELECT min(s) AS lo, max(s) AS hi FROM rows),
+taus AS (SELECT i, lo + i * (hi - lo) / 199.0::DOUBLE AS tau FROM span, range(200) t(i)),
+c AS (SELECT i, tau, count(*) FILTER (s > tau AND y = 1) AS tp, count(*) FILTER (s > tau AND y = 0) AS fp,
+             count(*) FILTER (s <= tau AND y = 1) AS fn, count(*) FILTER (s <= tau AND y = 0) AS tn FROM rows, taus GROUP BY i, tau),
+m AS (SELECT i, tau, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r,
+             CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f, (tp + tn) / (tp + fp + fn + tn) AS acc FROM c)
+SELECT i::INT AS i, round(tau, 6) AS tau, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1, round(acc, 6) AS accuracy,
+       (SELECT round({_AUC}, 6) FROM ({_BEFORE})) AS auc
+FROM m ORDER BY f DESC, m.i LIMIT 1""")
+def threshold_detector(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.evaluate_threshold(_scored(spark, d), "score"), "tau", "precision", "recall", "f1", "accuracy", "auc")
+
+
+@query(f"WITH rows AS (SELECT v[1] AS s, (label < 5)::INT AS y FROM ({_E})) SELECT round({_AUC}, 6) AS auc, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM ({_BEFORE})")
+def roc_auc(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.roc_auc(_curves(spark, d).withColumn("s", F.get("v", F.lit(0))), "s"), "auc")
+
+
+@query(f"""
+WITH rows AS ({_SCORED}), t AS (SELECT sum(pos * (before + neg / 2.0)) AS u, sum(pos)::DOUBLE AS n1, sum(neg)::DOUBLE AS n0, sum((pos + neg)::DOUBLE ** 3 - (pos + neg)) AS ties FROM ({_BEFORE}))
+SELECT round(u, 6) AS u, round(greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM t""")
+def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.mann_whitney(_scored(spark, d), "score").select("u", "z"), "u", "z")
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"), (1 - F.col("quality")).alias("predicted"))
+
+
+@query("SELECT toxic AS label, count(*) FILTER (quality = 1) AS pred_0, count(*) FILTER (quality = 0) AS pred_1 FROM labels GROUP BY toxic")
+def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return M.confusion_matrix(_judged(spark, d), "predicted")
+
+
+@query("""
+WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic = 0 AND quality = 0) AS fp,
+                  count(*) FILTER (toxic = 1 AND quality = 1) AS fn, count(*) FILTER (toxic = 0 AND quality = 1) AS tn FROM labels),
+e AS (SELECT '1' AS class, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f, tp + fn AS n FROM c
+      UNION ALL SELECT '0', tn / nullif(tn + fn, 0), tn / nullif(tn + fp, 0), 2 * tn / nullif(2 * tn + fp + fn, 0), tn + fp FROM c),
+z AS (SELECT class, coalesce(p, 0) AS p, coalesce(r, 0) AS r, coalesce(f, 0) AS f, n FROM e),
+u AS (SELECT * FROM z UNION ALL SELECT 'macro avg', avg(p), avg(r), avg(f), sum(n) FROM z UNION ALL SELECT 'weighted avg', sum(p * n) / sum(n), sum(r * n) / sum(n), sum(f * n) / sum(n), sum(n) FROM z)
+SELECT class, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1, n::BIGINT AS support FROM u""")
+def classification_report(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.classification_report(_judged(spark, d), "predicted"), "precision", "recall", "f1")
+
+
+_YES_NO = """SELECT conv_id, turn, CASE WHEN w IN ('yes', 'no') THEN w WHEN contains(low, 'yes') THEN 'yes' WHEN contains(low, 'no') THEN 'no' ELSE 'unknown' END AS answer,
+  CASE WHEN turn % 4 < 2 THEN 'yes' ELSE 'no' END AS gt
+FROM (SELECT *, regexp_replace(regexp_split_to_array(low, '\\s+')[1], '[^a-z]', '', 'g') AS w FROM (SELECT *, lower(trim(text)) AS low FROM conversations WHERE role = 'assistant'))"""
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", X.yes_no(F.col("text")).alias("answer"), F.when(F.col("turn") % 4 < 2, "yes").otherwise("no").alias("gt"))
+
+
+@query(f"SELECT conv_id, turn, answer, CASE answer WHEN 'yes' THEN (gt = 'no')::INT ELSE -1 END AS label_yes_only, CASE answer WHEN 'yes' THEN (gt = 'no')::INT WHEN 'no' THEN (gt = 'yes')::INT ELSE -1 END AS label FROM ({_YES_NO})")
+def pope_label(spark: SparkSession, d: str) -> DataFrame:
+    a, g = F.col("answer"), F.col("gt")
+    return _answers(spark, d).select("conv_id", "turn", "answer", X.pope_label(a, g).alias("label_yes_only"), X.pope_label(a, g, False).alias("label"))
+
+
+@query(f"""
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (answer = 'yes' AND gt = 'yes') AS tp, count(*) FILTER (answer = 'yes' AND gt = 'no') AS fp,
+                  count(*) FILTER (answer = 'no' AND gt = 'yes') AS fn, count(*) FILTER (answer = 'no' AND gt = 'no') AS tn FROM ({_YES_NO}))
+SELECT round((tp + tn) / n, 6) AS accuracy, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS "precision", round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+       round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + fp) / n, 6) AS yes_ratio, n AS n_total, tp + tn AS n_correct, tp, fp, fn, tn FROM c WHERE n > 0""")
+def pope_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.pope_accuracy(_answers(spark, d)), "accuracy", "precision", "recall", "f1", "yes_ratio")
+
+
+@query(r"""
+SELECT page_id, CASE WHEN regexp_extract(n, '(\d{12})', 1) <> '' THEN regexp_extract(n, '(\d{12})', 1)::BIGINT ELSE regexp_extract(regexp_replace(n, '\.[^./]*$', ''), '(\d+)', 1)::BIGINT END AS image_id
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN printf('COCO_val2014_%012d.jpg', page_id) ELSE 'img' || page_id || '_v2.jpg' END AS n FROM pages)""")
+def parse_image_id(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("page_id") % 2 == 0, F.format_string("COCO_val2014_%012d.jpg", "page_id")).otherwise(F.concat(F.lit("img"), "page_id", F.lit("_v2.jpg")))
+    return _table(spark, d, "pages").select("page_id", X.image_id(name).alias("image_id"))
+
+
+@query(r"""
+SELECT conv_id, turn, w AS object_word FROM (
+  SELECT conv_id, turn, lower(trim(regexp_extract(q, '(?i)Is there (?:a|an)\s+(.+?)\s+in the image', 1))) AS w
+  FROM (SELECT *, CASE WHEN turn % 2 = 0 THEN 'Is there a ' ELSE 'Do you see ' END || split_part(text, ' ', 1) || ' in the image?' AS q FROM conversations)) WHERE w <> ''""")
+def object_word_extract(spark: SparkSession, d: str) -> DataFrame:
+    q = F.concat(F.when(F.col("turn") % 2 == 0, "Is there a ").otherwise("Do you see "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" in the image?"))
+    return _table(spark, d, "conversations").select("conv_id", "turn", X.object_word(q).alias("object_word")).where("object_word is not null")
+
+
+@query(f"""
+WITH b(band, lo, hi) AS (VALUES ('0-10', 0, 10), ('10-15', 10, 15), ('15-20', 15, 20), ('20-25', 20, 25), ('25-33', 25, 33)),
+e AS (SELECT band, (label < 5)::INT AS label, list_avg(a[lo + 1:hi]) AS m FROM ({_E}), b)
+SELECT band, label, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM e GROUP BY band, label""")
+def layerwise_bands(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.layer_bands(_curves(spark, d), "a"), "mean", "std")
+
+
+#: A vocabulary of single words for caption-like texts: word to object.
+VOCABULARY = {"that": "that", "with": "with", "from": "from", "this": "this", "was": "be", "are": "be", "were": "be", "trash": "trash", "clown": "clown", "idiot": "person", "moron": "person"}
+_VOC = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in VOCABULARY.items()) + "}"
+_MENTIONS = f"SELECT doc_id, o AS object FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda w: {_VOC}[w])) AS o FROM documents WHERE lang = 'en') WHERE o IS NOT NULL"
+_TRUE = f"SELECT DISTINCT o FROM (SELECT unnest(list_transform(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda w: {_VOC}[w])) AS o FROM benchmark WHERE item_id % 2 = 0) WHERE o IS NOT NULL"
+
+
+def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, d, "documents").where("lang = 'en'")
+    truth = X.mentions(_table(spark, d, "benchmark").where("item_id % 2 = 0"), VOCABULARY, "item_id").select("object").distinct()
+    found = X.mentions(docs, VOCABULARY)
+    known = truth.withColumn("there", F.lit(1))
+    return docs, found.join(F.broadcast(known), "object", "left").withColumn("hallucinated", F.col("there").isNull().cast("int"))  # as many rows as the vocabulary has objects
+
+
+@query(f"SELECT doc_id, object, count(*) AS n, (object NOT IN ({_TRUE}))::INT AS hallucinated FROM ({_MENTIONS}) GROUP BY doc_id, object")
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d)[1].groupBy("doc_id", "object").agg(F.count("*").alias("n"), F.max("hallucinated").alias("hallucinated"))
+
+
+@query(f"""
+WITH m AS (SELECT doc_id, count(*) AS m, count(*) FILTER (object NOT IN ({_TRUE})) AS h FROM ({_MENTIONS}) GROUP BY doc_id),
+a AS (SELECT count(*) AS images, coalesce(sum(m), 0)::BIGINT AS object_mentions, coalesce(sum(h), 0)::BIGINT AS hallucinated_mentions, count(*) FILTER (h > 0) AS images_with_hallucination
+      FROM documents LEFT JOIN m USING (doc_id) WHERE lang = 'en')
+SELECT *, round(coalesce(images_with_hallucination / nullif(images, 0), 0), 6) AS chair_s, round(coalesce(hallucinated_mentions / nullif(object_mentions, 0), 0), 6) AS chair_i FROM a""")
+def chair_summary(spark: SparkSession, d: str) -> DataFrame:
+    docs, found = _mentions(spark, d)
+    return _rounded(M.chair_summary(docs, found, "doc_id"), "chair_s", "chair_i")
+
+
+@query(r"""
+WITH w(word, label) AS (VALUES ('that', 1), ('with', 0), ('of', 0), ('trash', 1)),
+d AS (SELECT doc_id, text, word, label, regexp_split_to_array(text, '(?i)\b' || word || '\b') AS p FROM documents, w WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
+s AS (SELECT doc_id, word, label, len(p[1]) AS start, len(regexp_extract_all(p[1], '\w+|[^\w\s]')) AS first FROM d WHERE len(p) > 1)
+SELECT doc_id, word, label, start::INT AS start, first::INT AS "first", 1 AS n_tokens FROM s WHERE first < 200""")
+def token_spans(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    words = X.candidate_words(F.array(F.lit("that"), F.lit("trash")), F.array(F.lit("with"), F.lit("of"), F.lit("that")))
+    rows = docs.select("doc_id", "text", F.lit(200).alias("n_ids"), F.inline(words))
+    return X.token_spans(rows, "doc_id")
+
+
+@query("""
+SELECT o_orderkey AS image_id, count(l_orderkey) AS n_annotations, coalesce(array_to_string(list_sort(list_distinct(list(p_type) FILTER (p_type IS NOT NULL AND p_type <> ''))), '|'), '') AS coco_objects
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
+def group_collect_objects(spark: SparkSession, d: str) -> DataFrame:
+    images = _table(spark, d, "orders").select(F.col("o_orderkey").alias("image_id"))
+    anns = _table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").cast("long").alias("id"), F.col("l_partkey").alias("category_id"))
+    cats = _table(spark, d, "part").select(F.col("p_partkey").alias("category_id"), F.col("p_type").alias("category_name"))
+    return R.nest_annotations(images, anns, cats).select("image_id", F.size("annotations").cast("long").alias("n_annotations"), F.array_join("coco_objects", "|").alias("coco_objects"))
+
+
+@query("SELECT conv_id, count(*) AS n_captions, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS captions FROM conversations GROUP BY conv_id")
+def group_collect_captions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "conversations").select(F.col("conv_id").alias("image_id"), F.col("turn").alias("ord"), F.col("text").alias("caption"))
+    out = R.nest_captions(rows.select("image_id").distinct(), rows)
+    return out.select(F.col("image_id").alias("conv_id"), F.size("captions").cast("long").alias("n_captions"), F.md5(F.array_join("captions", "\n")).alias("captions"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '' ELSE lower(event_type) END AS labels, (event_id % 11 <> 0)::INT AS n FROM events")
+def label_reply_parse(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    body = F.concat(F.lit('["'), "event_type", F.lit('"]'))
+    reply = F.when(F.col("event_id") % 11 == 0, "oops").when(F.col("event_id") % 7 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    return e.select("event_id", X.reply_labels(reply).alias("l")).select("event_id", F.array_join("l", ",").alias("labels"), F.size("l").alias("n"))
+
+
+@query("""
+SELECT doc_id, md5('Objects: ["' || lang || '","' || source || '"]' || chr(10) || 'Captions:' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda c: '- ' || trim(c)), chr(10))) AS prompt FROM documents""")
+def prompt_render(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", F.md5(X.render_prompt(F.array("lang", "source"), F.split("text", "\n"))).alias("prompt"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def pending_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    return R.pending(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def labeled_semijoin(spark: SparkSession, d: str) -> DataFrame:
+    return R.only_labelled(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), "doc_id")
+
+
+@query("SELECT l.doc_id, CASE WHEN l.doc_id % 3 = 0 THEN 2 ELSE 1 END AS n_ids, CASE WHEN l.doc_id % 3 = 0 THEN n_chars ELSE l.doc_id END AS first_id FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id")
+def generation_override(spark: SparkSession, d: str) -> DataFrame:
+    labels = _table(spark, d, "labels").select("doc_id", F.array("doc_id").alias("response_token_ids"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.array("n_chars", "doc_id")).otherwise(F.array().cast("array<long>"))
+    out = R.with_generations(labels, _table(spark, d, "documents").select("doc_id", raw.alias("response_token_ids")), "doc_id")
+    return out.select("doc_id", F.size("response_token_ids").alias("n_ids"), F.get("response_token_ids", F.lit(0)).alias("first_id"))
+
+
+@query(f"SELECT vec_id AS image_id, 0 AS span_idx, label, label * 7 AS \"first\", trunc(a[label * 7 + 1] * 1000)::INT AS target_token_id, label * 7 AS prefix_length FROM ({_E}) WHERE label * 7 < 40")
+def feature_rows(spark: SparkSession, d: str) -> DataFrame:
+    one = lambda label, at: F.struct(at.alias("token_indices"), label.alias("label"))
+    spans = F.array(one(F.col("label"), F.array(F.col("label") * 7)), one(F.lit(0), F.array().cast("array<int>")))
+    ids = F.slice(F.transform("a", lambda x: F.floor(x * 1000).cast("int")), 1, 40)
+    rows = _vectors(spark, d).withColumn("a", F.transform("v", F.abs)).select(F.col("vec_id").alias("image_id"), ids.alias("response_token_ids"), spans.alias("spans"))
+    return R.target_tokens(rows).select("image_id", "span_idx", "label", "first", "target_token_id", F.size("prefix").alias("prefix_length"))
+
+
+@query(f"WITH e AS ({_E}) SELECT a.vec_id, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
+    e = _vectors(spark, d)
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    return e.join(other, "vec_id").select("vec_id", _r(A.cosine(F.col("v"), F.col("w"))).alias("cosine"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, list_transform(v, lambda x: exp(x / 0.07 - list_max(v) / 0.07)) AS e FROM ({_E})), p AS (SELECT vec_id, list_transform(e, lambda y: y / list_sum(e)) AS p FROM x)
+SELECT vec_id, round(list_max(p), 6) AS top, round(list_sum(list_transform(p, lambda y: y * y)), 6) AS squares FROM p""")
+def source_softmax(spark: SparkSession, d: str) -> DataFrame:
+    p = _vectors(spark, d).select("vec_id", A.temperature_softmax(F.col("v")).alias("p"))
+    return p.select("vec_id", _r(F.array_max("p")).alias("top"), _r(A.dot(F.col("p"), F.col("p"))).alias("squares"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, list_transform(v, lambda x: greatest(x, 0)) AS c FROM ({_E})), q AS (SELECT vec_id, list_transform(c, lambda y: y / list_sum(c)) AS p FROM x)
+SELECT vec_id, round(list_sum(p), 6) AS mass, round(list_max(p), 6) AS top, round(list_sum(list_transform(p, lambda y: y * y)), 6) AS squares FROM q""")
+def renormalize(spark: SparkSession, d: str) -> DataFrame:
+    p = _vectors(spark, d).select("vec_id", A.renormalize(F.col("v")).alias("p"))
+    return p.select("vec_id", _r(A.total(F.col("p"))).alias("mass"), _r(F.array_max("p")).alias("top"), _r(A.dot(F.col("p"), F.col("p"))).alias("squares"))
+
+
+@query(f"""
+WITH u AS (SELECT vec_id, unnest(v) AS x, unnest(a) AS y, unnest(range(64)) AS i FROM ({_E})),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY y DESC, i) AS ry, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rx FROM u)
+SELECT vec_id, string_agg(i::VARCHAR, ',' ORDER BY i) AS support FROM r WHERE rx <= 8 OR ry <= 8 GROUP BY vec_id""")
+def topk_union(spark: SparkSession, d: str) -> DataFrame:
+    support = A.topk_union(F.col("a"), F.col("v"), 16)
+    return _curves(spark, d).select("vec_id", F.array_join(support.cast("array<string>"), ",").alias("support"))
+
+
+@query(f"""
+WITH m AS (SELECT vec_id, a, list_avg(a[1:10]) + 2 * list_aggregate(a[1:10], 'stddev_pop') AS thr FROM ({_E}))
+SELECT vec_id, round(list_sum(list_transform(a[15:], lambda x: greatest(0, x - thr))), 6) AS score FROM m""")
+def baseline_excess(spark: SparkSession, d: str) -> DataFrame:
+    return _curves(spark, d).select("vec_id", _r(A.baseline_excess(F.col("a"))).alias("score"))
+
+
+@query(f"SELECT vec_id, 32 AS n, round(list_sum(v[5:12]) + list_sum(v[21:28]) + list_sum(v[37:44]) + list_sum(v[53:60]), 6) AS total FROM ({_E})")
+def layer_slice(spark: SparkSession, d: str) -> DataFrame:
+    s = A.layer_slice(F.col("v"), 16, 0.25, 0.75)
+    return _vectors(spark, d).select("vec_id", F.size(s).alias("n"), _r(A.total(s)).alias("total"))
+
+
+@query(f"""
+WITH m AS (SELECT vec_id // 8 AS sample, vec_id % 8 AS layer, list_sum(a) AS mass FROM ({_E})), s AS (SELECT sample FROM m GROUP BY sample HAVING count(*) = 8)
+SELECT sample, round(sum(mass), 6) AS alpha, round(coalesce(sum(mass) FILTER (layer >= 1 AND layer < 4), 0), 6) AS svar, round(sum(mass) FILTER (layer = 4) / 64, 6) AS head_mid FROM m JOIN s USING (sample) GROUP BY sample""")
+def attention_mass(spark: SparkSession, d: str) -> DataFrame:
+    m = _curves(spark, d).select(F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), (F.col("vec_id") % 8).alias("layer"), A.total(F.col("a")).alias("mass"))
+    s = m.groupBy("sample").agg(F.array_sort(F.collect_list(F.struct("layer", "mass"))).alias("s")).where(F.size("s") == 8)
+    c = F.transform("s", lambda x: x["mass"])
+    return s.select("sample", _r(A.total(c)).alias("alpha"), _r(A.svar_score(c)).alias("svar"), _r(F.get(c, F.lit(4)) / 64).alias("head_mid"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, v, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM ({_E})), p AS (SELECT vec_id, v, list_transform(e, lambda y: y / list_sum(e)) AS p FROM x)
+SELECT vec_id, (list_position(v, list_max(v)) - 1)::INT AS predicted, round(ln(list_max(p)), 6) AS log_prob, round(-list_sum(list_transform(p, lambda y: y * ln(y))) / ln(64), 6) AS entropy, round(-ln(list_max(p)), 6) AS nll FROM p""")
+def token_entropy(spark: SparkSession, d: str) -> DataFrame:
+    out = _vectors(spark, d).select("vec_id", A.token_stats(F.col("v")).alias("s")).select("vec_id", "s.*")
+    return _rounded(out, "log_prob", "entropy", "nll")
+
+
+_SLICES = f"SELECT vec_id, v[1:8] AS t, list_transform(range(1, 8), lambda i: v[i * 8 + 1:i * 8 + 8]) AS p, a[9:15] AS w FROM ({_E})"
+_COS = "list_transform(p, lambda q: list_dot_product(t, q) / (sqrt(list_dot_product(t, t)) * sqrt(list_dot_product(q, q))))"
+
+
+@query(f"""
+WITH c AS (SELECT vec_id, w, {_COS} AS c FROM ({_SLICES}))
+SELECT vec_id, round(list_avg(list_reverse_sort(c)[1:3]), 6) AS top3, round(list_max(c), 6) AS top_share, round(list_dot_product(c, w) / list_sum(w), 6) AS weighted FROM c""")
+def cgc_layers(spark: SparkSession, d: str) -> DataFrame:
+    patches = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))
+    x = _curves(spark, d).select("vec_id", F.slice("v", 1, 8).alias("t"), patches.alias("p"), F.slice("a", 9, 7).alias("w"))
+    t, p = F.col("t"), F.col("p")
+    return x.select("vec_id", _r(A.cgc_layer(t, p, 3)).alias("top3"), _r(A.cgc_layer(t, p, pct=0.05)).alias("top_share"), _r(A.cgc_layer(t, p, weights=F.col("w"))).alias("weighted"))
+
+
+@query("SELECT p_partkey, list_max(list_filter(range(1, floor(sqrt(p_size))::INT + 1), lambda x: p_size % x = 0))::INT AS h, (p_size / list_max(list_filter(range(1, floor(sqrt(p_size))::INT + 1), lambda x: p_size % x = 0)))::INT AS w FROM part")
+def find_hw(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "part").select("p_partkey", A.find_hw(F.col("p_size")).alias("s")).select("p_partkey", "s.*")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey, l_linenumber, 5 + l_linenumber AS n, l_linenumber AS hole, l_linenumber AS s, l_linenumber + 4 AS e, l_partkey % 4 AS idx FROM lineitem),
+p AS (SELECT *, list_transform(list_filter(range(n), lambda i: i <> hole), lambda i: CASE WHEN i > hole THEN i + 3 ELSE i END) AS prompt FROM x)
+SELECT l_orderkey, l_linenumber, array_to_string(prompt, ',') AS prompt, array_to_string(list_sort(list_distinct(list_concat(range(s, e), prompt))), ',') AS support,
+       (CASE WHEN idx <= 0 THEN list_max(prompt) ELSE n + idx - 1 + 3 END)::INT AS prediction FROM p""")
+def prompt_positions(spark: SparkSession, d: str) -> DataFrame:
+    at, n = F.col("l_linenumber").cast("int"), (F.col("l_linenumber") + 5).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i == at, -200).otherwise(i + 1))
+    x = _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", n.alias("n"), at.alias("at"), (F.col("l_partkey") % 4).cast("int").alias("idx"), ids.alias("ids"))
+    x = x.withColumn("prompt", P.prompt_positions(F.col("ids"), F.col("n"), -200, F.col("at"), F.col("at") + 4))
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    support = P.support_positions("visual_prompt", F.col("at"), F.col("at") + 4, F.col("prompt"))
+    return x.select("l_orderkey", "l_linenumber", join(F.col("prompt")).alias("prompt"), join(support).alias("support"), P.prediction_position(F.col("idx"), F.col("n"), F.col("prompt"), F.col("at"), 4).alias("prediction"))
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT vec_id, list_transform(a, lambda x: x - list_min(a)) AS b FROM ({_E})),
+u AS (SELECT vec_id, unnest(b) / list_sum(b) AS p, unnest(range(64)) AS i FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) <= 6 AS fore FROM u),
+f AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x, p FROM r WHERE fore),
+reach AS (SELECT vec_id, i AS a, i AS b FROM f UNION SELECT reach.vec_id, reach.a, g.i FROM reach JOIN f h ON h.vec_id = reach.vec_id AND h.i = reach.b JOIN f g ON g.vec_id = h.vec_id AND abs(g.x - h.x) <= 1 AND abs(g.y - h.y) <= 1),
+area AS (SELECT vec_id, a, count(*) AS n FROM reach GROUP BY vec_id, a),
+mass AS (SELECT f.vec_id, coalesce(sum(p) FILTER (n >= 3), 0) AS m FROM f JOIN area ON area.vec_id = f.vec_id AND area.a = f.i GROUP BY f.vec_id),
+back AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS t FROM r WHERE NOT fore),
+ent AS (SELECT vec_id, -sum(greatest(p / t, 1e-12) * ln(greatest(p / t, 1e-12))) / ln(58) AS h FROM back GROUP BY vec_id)
+SELECT vec_id, round((1 - m) * h, 6) AS ads FROM mass JOIN ent USING (vec_id)""")
+def ads_layers(spark: SparkSession, d: str) -> DataFrame:
+    return _curves(spark, d).select("vec_id", _r(K.ads_layer(F.col("a"))).alias("ads"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, a[1] / (a[1] + a[2]) AS s, a[3] / (a[3] + a[4]) AS t, greatest(0, 1 - list_dot_product(v[9:16], v[17:24]) / sqrt(list_dot_product(v[9:16], v[9:16]) * list_dot_product(v[17:24], v[17:24]))) AS dist, 1 - a[5] AS p1, 1 - a[6] AS p2 FROM ({_E}))
+SELECT vec_id, round(abs(s - t) * dist * (1 + p1 + p2), 6) AS risk FROM x""")
+def transport_n2(spark: SparkSession, d: str) -> DataFrame:
+    two = lambda i: F.slice("a", i, 2)
+    rows = _curves(spark, d).select("vec_id", F.array(F.slice("v", 9, 8), F.slice("v", 17, 8)).alias("support"), A.renormalize(two(1)).alias("source_dist"), A.renormalize(two(3)).alias("target_dist"), two(5).alias("semantic"))
+    return K.transport_risk(rows, mode="decomposed").select("vec_id", _r(F.col("risk")).alias("risk"))
+
+
+def _captures(spark: SparkSession, d: str) -> DataFrame:
+    """One row a layer: update, six supports, prompt, attention and probabilities from a vector's parts."""
+    part = lambda i: F.slice("v", i * 8 + 1, F.lit(8))
+    x = _curves(spark, d)
+    return x.select(
+        F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), (F.col("vec_id") % 8).cast("int").alias("layer"), part(F.lit(0)).alias("update"),
+        F.transform(F.sequence(F.lit(1), F.lit(6)), part).alias("support"), part(F.lit(7)).alias("prompt"), F.slice("a", 1, 6).alias("attention"),
+        F.slice("a", 11, 6).alias("semantic"), part(F.lit(7)).alias("target_embedding"), F.array_max("a").alias("prompt_confidence"),
+    )
+
+
+@query()
+def dgst_layers(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(K.layer_stats(_captures(spark, d)).select("sample", "layer", "risk", "prompt_cosine", "visual_cosine", "context_confidence", "support_size", "selected_support_size"), "risk", "prompt_cosine", "visual_cosine", "context_confidence")
+
+
+@query()
+def dgst_spans(spark: SparkSession, d: str) -> DataFrame:
+    s = K.span_features(K.layer_stats(_captures(spark, d)), "sample", baseline_layers=3, start_layer=4)
+    return s.select("sample", _r(F.col("score")).alias("score"), F.size("feature_vector").alias("width"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, v[57:64] AS q, unnest(list_transform(range(1, 7), lambda i: v[i * 8 + 1:i * 8 + 8])) AS s, unnest(a[1:6]) AS w, unnest(range(6)) AS i FROM ({_E})),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, i) AS k FROM x WHERE i >= 1 AND i < 5)
+SELECT vec_id, round(avg(list_dot_product(q, s) / sqrt(list_dot_product(q, q) * list_dot_product(s, s))), 6) AS visual FROM r WHERE k <= 3 GROUP BY vec_id""")
+def atarget_visual(spark: SparkSession, d: str) -> DataFrame:
+    states = F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))
+    x = _curves(spark, d).select("vec_id", states.alias("s"), F.sequence(F.lit(0), F.lit(5)).alias("at"), F.slice("a", 1, 6).alias("w"), F.slice("v", 57, 8).alias("q"))
+    return x.select("vec_id", _r(A.atarget_visual(F.col("s"), F.col("at"), F.col("w"), F.col("q"), 1, 5, 3)).alias("visual"))
+
+
+@query(f"""
+WITH h AS (SELECT vec_id // 8 AS sample, (vec_id % 8) // 2 AS layer, vec_id % 2 AS head, a, list_sum(a) AS m FROM ({_E})),
+r AS (SELECT *, row_number() OVER (PARTITION BY sample, layer ORDER BY m DESC, head) AS k FROM h)
+SELECT sample, layer, round(max(list_max(a)) FILTER (k = 1), 6) AS top_head_peak, round(sum(m) / count(*), 6) AS mean_mass FROM r GROUP BY sample, layer""")
+def attention_heads(spark: SparkSession, d: str) -> DataFrame:
+    x = _curves(spark, d).select(F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), F.floor((F.col("vec_id") % 8) / 2).cast("long").alias("layer"), (F.col("vec_id") % 2).alias("head"), F.col("a").alias("attention"))
+    one = K.top_heads(x, ["sample", "layer"], 1).select("sample", "layer", _r(F.array_max("attention")).alias("top_head_peak"))
+    every = K.top_heads(x, ["sample", "layer"]).select("sample", "layer", _r(A.total(F.col("attention"))).alias("mean_mass"))
+    return one.join(every, ["sample", "layer"])
+
+
+_UNIT = "('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_UNIT} < 0.8 THEN 'train' WHEN {_UNIT} < 0.8::DOUBLE + 0.1::DOUBLE THEN 'val' ELSE 'test' END AS split FROM documents")
+def hash_split(spark: SparkSession, d: str) -> DataFrame:
+    return R.hash_split(_table(spark, d, "documents"), "doc_id", [("train", 0.8), ("val", 0.1), ("test", 0.1)])
+
+
+@query("""
+WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) - 1 AS k, greatest(1, floor(count(*) OVER () * 0.8::DOUBLE)) AS t, count(*) OVER () AS n FROM documents)
+SELECT doc_id, CASE WHEN k < t THEN 'train' WHEN k < t + floor((n - t) / 2) THEN 'val' ELSE 'test' END AS split FROM r""")
+def pope_split(spark: SparkSession, d: str) -> DataFrame:
+    return R.count_split(_table(spark, d, "documents").select("doc_id"), "doc_id", 0.8, rest=("val", "test"))
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, CASE WHEN {_UNIT} < 0.9 THEN 'train' ELSE 'test' END AS split FROM documents)
+SELECT split, count(*) AS n, count(*) FILTER (toxic = 1) AS n_hallucinated, count(DISTINCT toxic) AS n_classes, round(avg(toxic), 6) AS rate FROM labels JOIN s USING (doc_id) GROUP BY split""")
+def class_balance(spark: SparkSession, d: str) -> DataFrame:
+    splits = R.hash_split(_table(spark, d, "documents"), "doc_id", [("train", 0.9), ("test", 0.1)])
+    rows = _table(spark, d, "labels").join(splits, "doc_id")
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_hallucinated"), F.count_distinct("toxic").alias("n_classes"), _r(F.avg("toxic")).alias("rate"))
+
+
+def _detector(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    rows = L.feature_matrix(_curves(spark, d).withColumn("label", (F.get("v", F.lit(0)) > 0).cast("int")), "a")
+    splits = R.hash_split(rows, "vec_id", [("train", 0.6), ("val", 0.2), ("test", 0.2)])
+    return rows, splits, *[R.in_split(rows, splits, s, "vec_id") for s in ("train", "val")]
+
+
+def _grid(spark: SparkSession, d: str, kind: str, params: dict) -> DataFrame:
+    rows, splits, train, val = _detector(spark, d)
+    found, best, _ = L.train_and_evaluate(kind, params, train, val, R.in_split(rows, splits, "test", "vec_id"))
+    return found.select(F.lit(str(sorted(best.items()))).alias("parameters"), "*")
+
+
+@query()
+def grid_search_gbt(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, "gbt", {"n_estimators": 5, "max_depth": [2, 3], "learning_rate": 0.1})
+
+
+@query()
+def grid_search_rf(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, "rf", {"n_estimators": [5, 10], "max_depth": 5})
+
+
+@query()
+def grid_search_mlp(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, "mlp", {"hidden_layer_sizes": [(8,), (16,)], "max_iter": 30})
+
+
+@query()
+def feature_ablation(spark: SparkSession, d: str) -> DataFrame:
+    rows, splits, _, _ = _detector(spark, d)
+    return L.ablation("rf", {"n_estimators": 5, "max_depth": 4}, rows, splits, "vec_id", {f"block{i}": (16 * i, 16 * i + 16) for i in range(4)})
+
+
+@query()
+def block_importance(spark: SparkSession, d: str) -> DataFrame:
+    _, _, train, val = _detector(spark, d)
+    model = L.build("rf", {"n_estimators": 5, "max_depth": 4}, 64).fit(train)
+    return _rounded(L.block_importance(model, val, 16), "importance")
+
+
+@query()
+def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold detector on each baseline column of the vectors read as logits."""
+    rows = _curves(spark, d).select("label", A.token_stats(F.col("v")).alias("s"), A.svar_score(F.col("a")).alias("svar")).select("label", "s.nll", "s.entropy", "svar")
+    out = None
+    for name in ("nll", "entropy", "svar"):
+        one = _rounded(M.evaluate_threshold(rows, name), "tau", "precision", "recall", "f1", "accuracy", "auc").select(F.lit(name).alias("baseline"), "*")
+        out = one if out is None else out.union(one)
+    return out
