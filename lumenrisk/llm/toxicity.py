@@ -21,8 +21,10 @@ from .common import field, labelled, per_document
 
 #: Abusive words that any list would have.
 LEXICON = frozenset("clown disgusting dumb garbage idiot loser moron pathetic scum stupid trash ugly vermin worthless".split())
-#: Labelled rows, mined terms, lexicon voters that share them, toxic documents that a term needs, its lift.
-SAMPLE, TERMS, VOTERS, LEAST, LIFT = 16000, 600, 12, 4, 40.0
+#: Labelled rows, mined terms, lexicon voters that share them, a term's lift.
+SAMPLE, TERMS, VOTERS, LIFT = 16000, 600, 12, 40.0
+#: Toxic documents that a term needs: so many, and a share of all, so that rare words don't enter by chance.
+LEAST, LEAST_SHARE = 4, 1 / 160
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-"
 _SHOUT = re.compile(r"[A-Z]{3,}!+")
 
@@ -57,30 +59,31 @@ class LabelModel:
 
 
 def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
-    """EM from a majority start; after each round the residual correlations within classes set the voters' weights."""
+    """EM from the votes' majority; in each round the correlations within classes set the voters' weights.
+
+    Voters that agree because both know the class have no correlation within it and keep their full weight.
+    """
     n, m = votes.shape
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    p = np.clip(prior + 0.3 * np.sign(votes.sum(1)) * (votes != 0).any(1), 0.02, 0.98)
-    p = np.where((votes == 1).any(1), 0.9, np.minimum(p, prior / 2))
-    weight, corr = np.ones(m), np.eye(m)
-    table = np.zeros((m, 2, 3))
+    p = np.where((votes == 1).sum(1) > (votes == -1).sum(1) - (votes == -1).all(0).sum(), 0.98, 0.02)
+    model = LabelModel(np.zeros((m, 2, 3)), np.ones(m), np.eye(m), prior)
     for _ in range(rounds if n else 0):
+        table, within = np.zeros((m, 2, 3)), np.zeros((m, m))
         for c, w in ((0, 1 - p), (1, p)):
             counts = np.stack([((votes == v) * w[:, None]).sum(0) for v in (-1, 0, 1)], axis=1)
             table[:, c] = np.log((counts + 0.5) / (counts + 0.5).sum(1, keepdims=True))
-        # correlations of the votes that the class does not explain
-        share = np.exp(table)
-        mean = share[:, :, 2] - share[:, :, 0]
-        left = votes - ((1 - p)[:, None] * mean[:, 0] + p[:, None] * mean[:, 1])
-        sd = np.sqrt((left**2).mean(0)) + 1e-6
-        corr = (left / sd).T @ (left / sd) / n
-        weight = 1 / np.maximum(1.0, np.where(np.abs(corr) > 0.1, np.abs(corr), 0).sum(1))
+            left = votes - (votes * w[:, None]).sum(0) / max(w.sum(), 1e-9)
+            within += (left * w[:, None]).T @ left / n
+        sd = np.sqrt(np.diag(within)) + 0.05
+        corr = within / np.outer(sd, sd)
+        np.fill_diagonal(corr, 1.0)
+        weight = 1 / np.where(np.abs(corr) > 0.2, np.abs(corr), 0).sum(1)
         model = LabelModel(table, weight, corr, prior)
         new = model.posterior(votes)
         if np.abs(new - p).max() < 1e-4:
             break
         p = new
-    return LabelModel(table, weight, corr, prior)
+    return model
 
 
 @dataclass
@@ -148,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     n = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     p, q = (F.col("toxic") + 0.5) / (n.toxic + 1), (F.col("clean") + 0.5) / (n.n - n.toxic + 1)
     gain = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
-    best = counts.where((F.col("toxic") >= LEAST) & (p / q >= LIFT)).orderBy(gain.desc(), "term").limit(TERMS).select("term").collect()
+    best = counts.where((F.col("toxic") >= max(LEAST, n.toxic * LEAST_SHARE)) & (p / q >= LIFT)).orderBy(gain.desc(), "term").limit(TERMS).select("term").collect()
     terms = [r.term for r in best]
     blank = Classifier({t: i for i, t in enumerate(terms)}, len(LEXICON), np.zeros(len(terms) + 3, np.float32), 0.0)
     made = per_document(rows, lambda ts: {"x": [blank.features(t).tobytes() for t in ts], "votes": [votes_of(t, terms) for t in ts]}, [field("x", T.BinaryType()), field("votes", T.ArrayType(T.IntegerType()))], keep=("doc_id",))
