@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUESTION = r"(?i)Is there (?:a|an)\s+(.+?)\s+in the image"
@@ -66,21 +66,19 @@ def candidate_words(hallucinated: Column, truth: Column) -> Column:
 
 
 def token_spans(rows: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """(id, word, label, first, n_tokens): rows hold text, n_ids (response length), word, label.
+    """(id, word, label, start, first, n_tokens): rows hold text, n_ids (response length), word, label.
 
-    Of a word's whole-word matches the first whose last token is inside the response counts. Words are matched
-    without regard to case on the original text, so that offsets are its own.
+    The first whole-word match whose last token is inside the response counts. Token positions only grow along a
+    text, so where the first match lies outside, all do. Words are matched without regard to case on the original
+    text, so that offsets are its own.
     """
     quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("word"), F.lit(r"\E\b"))
-    pieces = F.split(F.col("text"), quoted)
-    found = rows.where(F.length("word") > 0).select(id_col, "text", "word", "label", "n_ids", F.posexplode(F.slice(pieces, F.lit(1), F.size(pieces) - 1)).alias("k", "piece"), pieces.alias("pieces"))
-    # a match starts where the pieces and the words before it end
-    before = F.aggregate(F.slice("pieces", F.lit(1), F.col("k") + 1), F.lit(0), lambda s, p: s + F.length(p)) + F.col("k") * F.length("word")
-    found = found.withColumn("start", before)
-    found = found.withColumn("first", n_tokens(F.substring(F.col("text"), F.lit(1), F.col("start")))).withColumn("n_tokens", n_tokens(F.substring(F.col("text"), F.col("start") + 1, F.length("word"))))
-    inside = found.where(F.col("first") + F.col("n_tokens") - 1 < F.col("n_ids"))
-    best = Window.partitionBy(id_col, "word").orderBy("start")
-    return inside.withColumn("r", F.row_number().over(best)).where("r = 1").select(id_col, "word", "label", "start", "first", "n_tokens")
+    pieces = F.split(F.col("text"), quoted, 2)
+    found = rows.where(F.length("word") > 0).select(id_col, "text", "word", "label", "n_ids", pieces.alias("pieces")).where(F.size("pieces") > 1)
+    before = F.get("pieces", F.lit(0))
+    surface = F.substring(F.col("text"), F.length(before) + 1, F.length("word"))
+    found = found.select(id_col, "word", "label", "n_ids", F.length(before).alias("start"), n_tokens(before).alias("first"), n_tokens(surface).alias("n_tokens"))
+    return found.where(F.col("first") + F.col("n_tokens") - 1 < F.col("n_ids")).drop("n_ids")
 
 
 def mentions(docs: DataFrame, vocabulary: dict[str, str], id_col: str = "doc_id") -> DataFrame:

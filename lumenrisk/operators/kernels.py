@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import arrays as A
 
@@ -95,14 +97,17 @@ def transport_risk(rows: DataFrame, top_k: int = 64, mode: str = "direct", solve
     if mode not in COST_MODES or solver not in SOLVERS:
         raise ValueError("unknown cost mode or solver")
 
-    @F.pandas_udf("struct<risk:double,selected:int>")
-    def risk(states: pd.Series, source: pd.Series, target: pd.Series, semantic: pd.Series) -> pd.DataFrame:
-        got = [layer_risk(np.stack(s).astype(float), np.asarray(a, float), np.asarray(b, float), np.asarray(p, float), top_k, mode, solver) for s, a, b, p in zip(states, source, target, semantic, strict=True)]
-        return pd.DataFrame(got, columns=["risk", "selected"])
+    names = ("support", "source_dist", "target_dist", "semantic")
 
-    risk = risk.asNondeterministic()  # else its fields' projections fold it, and it would run once for each of them
-    out = rows.withColumn("__r", risk("support", "source_dist", "target_dist", "semantic"))
-    return out.withColumns({"risk": F.col("__r.risk"), "selected_support_size": F.col("__r.selected")}).drop("__r")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = zip(*[b.column(n).to_pylist() for n in names], strict=True)
+            got = [layer_risk(np.array(x, float), np.array(s, float), np.array(t, float), np.array(p, float), top_k, mode, solver) for x, s, t, p in each]
+            more = [pa.array([r for r, _ in got], pa.float64()), pa.array([k for _, k in got], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "risk", "selected_support_size"])
+
+    schema = T.StructType([*rows.schema, T.StructField("risk", T.DoubleType()), T.StructField("selected_support_size", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
 
 def layer_inputs(captures: DataFrame, tau: float = 0.07) -> DataFrame:
