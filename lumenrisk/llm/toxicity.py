@@ -36,6 +36,11 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def copy_key(terms: set[str]) -> int:
+    """Least hash of the long words: copies and near copies of a text nearly always share it, others hardly ever."""
+    return min((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in terms if len(t) > 7), default=-1)
+
+
 def patterns(text: str, words: int) -> list[int]:
     """Votes of the pattern voters: shouting, insult exclamations, and very long texts (which vote clean less often)."""
     shout = len(_SHOUT.findall(text))
@@ -145,7 +150,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     The labels mine the lexicon and set the prior; what the classifier learns from are the label model's posteriors.
     """
     rows = labelled(docs, labels, "toxic", sample, folds, out)
-    sets = per_document(rows, lambda ts: {"terms": [sorted(terms_of(t)) for t in ts]}, [field("terms", T.ArrayType(T.StringType()))], keep=("doc_id", "label"))
+
+    def kernel(texts: list[str]) -> dict:
+        sets = [terms_of(t) for t in texts]
+        return {"terms": [sorted(s) for s in sets], "copy": [copy_key(s) for s in sets]}
+
+    sets = per_document(rows, kernel, [field("terms", T.ArrayType(T.StringType())), field("copy", T.LongType())], keep=("doc_id", "label"))
+    # a text with many copies counts once, else all its words would look toxic; short texts have no key
+    sets = sets.where("copy < 0").unionByName(sets.where("copy >= 0").dropDuplicates(["copy", "label"]))
     # sums by term are made on Spark; only terms of toxic rows come to the driver, and those are few
     counts = sets.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     n = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
