@@ -10,7 +10,7 @@ A node with too many leaves is first taken further down as node pairs in Spark i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,8 +246,16 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
     Rows that repeat that doc_id are cut to one; a group without any doc_id keeps one of its rows.
     """
+
+    def named(rows: DataFrame) -> DataFrame:
+        return per_document(rows, lambda ts: {"fp": np.array([fingerprint(t, shingle) for t in ts], np.uint64).view(np.int64)}, [field("fp", T.LongType())], keep=docs.columns)
+
+    return one_of_each(docs, near_duplicates(docs, shingle, radius), "fp", named)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, key: str, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The document with the smallest id of each group in ``found``; ``named`` adds the column ``key`` to rows without id."""
     columns = docs.columns
-    found = near_duplicates(docs, shingle, radius)
     best = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = docs.join(best, "doc_id")
     once = kept.where("__rows = 1").select(*columns)
@@ -255,7 +263,6 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return once.unionByName(repeated)
-    fp = per_document(nameless, lambda ts: {"fp": np.array([fingerprint(t, shingle) for t in ts], np.uint64).view(np.int64)}, [field("fp", T.LongType())], keep=columns)
-    alone = found.where("component_id is null").select("fp", "root").distinct()
-    alone = fp.join(alone, "fp").dropDuplicates(["root"]).select(*columns)
+    alone = found.where("component_id is null").select(key, "root").distinct()
+    alone = named(nameless).join(alone, key).dropDuplicates(["root"]).select(*columns)
     return once.unionByName(repeated).unionByName(alone)
