@@ -390,6 +390,28 @@ def transport_n2(spark: SparkSession, d: str) -> DataFrame:
     return K.transport_risk(rows, mode="decomposed").select("vec_id", _r(F.col("risk")).alias("risk"))
 
 
+@query(f"""
+WITH x AS (SELECT vec_id, list_transform(a[1:6], lambda x: x / list_sum(a[1:6])) AS s, list_transform(a[7:12], lambda x: x / list_sum(a[7:12])) AS t FROM ({_E}))
+SELECT vec_id, round(list_sum(list_transform(range(1, 7), lambda i: abs(s[i] - t[i]))) / 2, 6) AS risk FROM x""")
+def transport_tv(spark: SparkSession, d: str) -> DataFrame:
+    """Between one-hot states without penalties the exact transport is the total variation."""
+    one_hot = F.array(*[F.array(*[F.lit(float(i == j)) for j in range(6)]) for i in range(6)])
+    part = lambda i: A.renormalize(F.slice("a", i, 6))
+    rows = _curves(spark, d).select("vec_id", one_hot.alias("support"), part(1).alias("source_dist"), part(7).alias("target_dist"), F.array_repeat(F.lit(1.0), 6).alias("semantic"))
+    return K.transport_risk(rows, mode="decomposed").select("vec_id", _r(F.col("risk")).alias("risk"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, list_transform(a[1:32], lambda x: x / list_sum(a[1:32])) AS w, a[33:64] AS m FROM ({_E})),
+y AS (SELECT vec_id, list_transform(range(1, 33), lambda i: w[i] * m[i]) AS w FROM x), z AS (SELECT vec_id, list_transform(w, lambda x: x / list_sum(w)) AS w FROM y)
+SELECT vec_id, round(list_max(w), 6) AS top, round(list_sum(list_transform(w, lambda x: x * x)), 6) AS squares FROM z""")
+def target_dist(spark: SparkSession, d: str) -> DataFrame:
+    """Attention, renormalised, times semantic probability, renormalised."""
+    weighed = F.zip_with(A.renormalize(F.slice("a", 1, 32)), F.slice("a", 33, 32), lambda w, m: w * m)
+    p = _curves(spark, d).select("vec_id", A.renormalize(weighed).alias("p"))
+    return p.select("vec_id", _r(F.array_max("p")).alias("top"), _r(A.dot(F.col("p"), F.col("p"))).alias("squares"))
+
+
 def _captures(spark: SparkSession, d: str) -> DataFrame:
     """One row a layer: update, six supports, prompt, attention and probabilities from a vector's parts."""
     part = lambda i: F.slice("v", i * 8 + 1, F.lit(8))
