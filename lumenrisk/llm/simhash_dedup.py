@@ -248,13 +248,13 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
 
     def named(rows: DataFrame) -> DataFrame:
-        return per_document(rows, lambda ts: {"fp": np.array([fingerprint(t, shingle) for t in ts], np.uint64).view(np.int64)}, [field("fp", T.LongType())], keep=docs.columns)
+        return per_document(rows, lambda ts: {"__key": np.array([fingerprint(t, shingle) for t in ts], np.uint64).view(np.int64)}, [field("__key", T.LongType())], keep=docs.columns)
 
     return one_of_each(docs, near_duplicates(docs, shingle, radius), "fp", named)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The document with the smallest id of each group in ``found``; ``named`` adds the column ``key`` to rows without id."""
+    """The document with the smallest id of each group in ``found``; ``named`` adds the value of ``key`` as __key to rows without id."""
     columns = docs.columns
     best = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
     kept = docs.join(best, "doc_id")
@@ -263,6 +263,6 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str, named: Callable[[Da
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return once.unionByName(repeated)
-    alone = found.where("component_id is null").select(key, "root").distinct()
-    alone = named(nameless).join(alone, key).dropDuplicates(["root"]).select(*columns)
+    alone = found.where("component_id is null").select(F.col(key).alias("__key"), F.col("root").alias("__root")).distinct()
+    alone = named(nameless).join(alone, "__key").dropDuplicates(["__root"]).select(*columns)
     return once.unionByName(repeated).unionByName(alone)
