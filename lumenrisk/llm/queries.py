@@ -95,8 +95,8 @@ FROM seqs"""
 
 
 _LM_SQL = r"""
-WITH words AS (
-  SELECT rowid AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+WITH words AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), tokens AS (
   SELECT r, unnest(w) AS b, unnest(list_concat([NULL], w[:-2])) AS a, generate_subscripts(w, 1) AS i FROM words
 ), uni AS (SELECT b, count(*) AS c FROM tokens GROUP BY b),
