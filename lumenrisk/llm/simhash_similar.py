@@ -9,6 +9,10 @@ well enough, and the exact Jaccard similarity of the distinct shingles decides e
 A section is walked in three rotations by bytes: paths that differ in at most two bits agree on one of the three
 bytes, so that byte is the key by which Spark deals the leaves. A node with too many leaves is taken a byte further
 down in Spark, as pairs of its children.
+
+The first walk sends a spanning forest of the near pairs to the exact check, which joins most of a group at little
+cost. Later walks take the parts that the check has joined and send it every near pair between two parts: a share of
+them first, chosen by a hash of the pair, and at last the rest, so no near pair between parts stays unchecked.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ BLOCK = 1 << 18
 SMALL_NODE = 64
 #: Links of a hub that are checked together.
 HUB_LINKS = 256
+#: Shares of the near pairs between parts, by hash, up to which each later walk goes.
+SHARES = (1 / 256, 1 / 16, 1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP = 0x9E3779B97F4A7C15
 _SEEDS = np.array([(i * _STEP) & (1 << 64) - 1 for i in range(1, WORDS + 1)], np.uint64)
@@ -96,6 +102,22 @@ def strongest(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray,
         root = new[root]
 
 
+def _crossed(a0: np.ndarray, na: np.ndarray, b0: np.ndarray, nb: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every place of the ranges a with every one of b, in blocks."""
+    size = na * nb
+    ends = np.cumsum(size)
+    for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
+        k = np.arange(lo, min(lo + BLOCK, int(ends[-1])))
+        r = np.searchsorted(ends, k, "right")
+        k = k - (ends[r] - size[r])
+        yield a0[r] + k // nb[r], b0[r] + k % nb[r]
+
+
+def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two nodes whatever their order."""
+    return mix64(np.minimum(a, b).view(np.uint64) + mix64(np.maximum(a, b).view(np.uint64)))
+
+
 class Walker:
     """Links of one chunk of trie nodes: document pairs whose paths stay in the budget and whose fingerprints are near."""
 
@@ -139,28 +161,21 @@ class Walker:
 
     def blocks(self, a0: np.ndarray, na: np.ndarray, b0: np.ndarray, nb: np.ndarray) -> None:
         """Compare every document of the ranges a with every one of b."""
-        size = na * nb
-        ends = np.cumsum(size)
-        for lo in range(0, int(ends[-1]) if len(ends) else 0, BLOCK):
-            k = np.arange(lo, min(lo + BLOCK, int(ends[-1])))
-            r = np.searchsorted(ends, k, "right")
-            k = k - (ends[r] - size[r])
-            a, b = a0[r] + k // nb[r], b0[r] + k % nb[r]
+        for a, b in _crossed(a0, na, b0, nb):
             ok = a < b
             self.compare(a[ok], b[ok])
 
-    def links(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """group: number of each row's trie node or pair of its children lo and hi; tail: 16 bits below the node, sorted."""
+    def leaves(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First row and size of each leaf, whether it is one of two children, and the pairs of leaves in the budget.
+
+        group: number of each row's trie node or pair of its children lo and hi; tail: 16 bits below the node, sorted.
+        """
         both = (group.astype(np.int64) << 16) | tail
         at = np.concatenate(([0], np.flatnonzero(np.diff(both)) + 1))
         n = np.diff(np.append(at, len(both)))
         tops = np.concatenate(([0], np.flatnonzero(np.diff(group[at])) + 1))
         stops = np.append(tops[1:], len(at))
-        two = lo[at] != hi[at]  # between two children: small leaves of one side have met in the child's own group
-        small, large = ~two & (n <= SMALL_NODE), n > SMALL_NODE
-        self.blocks(at[small], n[small], at[small], n[small])
-        for a, m in zip(at[large].tolist(), n[large].tolist(), strict=True):
-            self.inside(a, a + m)
+        two = lo[at] != hi[at]
         leaf = tail[at].astype(np.uint64) << np.uint64(48)
         one, pair = ~two[tops], two[tops]
         x, y = walk(leaf, np.stack([tops, stops, tops, stops], axis=1)[one], np.zeros(one.sum(), np.int64), 0, BUDGET)
@@ -172,6 +187,37 @@ class Walker:
             pair &= (tops < mids) & (mids < stops)
             more = walk(leaf, sides[pair], apart[pair], 8, BUDGET)
             x, y = np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
+        return at, n, two, x, y
+
+    def apart(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, part: np.ndarray, share: tuple[float, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All near pairs between two parts whose hash lies in ``share``. The rows of a leaf are sorted by part."""
+        at, n, two, x, y = self.leaves(group, tail, lo, hi)
+        leaf = np.repeat(np.arange(len(at)), n)
+        run = np.concatenate(([0], np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0)) + 1))
+        rows = np.diff(np.append(run, len(part)))
+        first = np.searchsorted(run, at)
+        runs = np.diff(np.append(first, len(run)))
+        own = np.flatnonzero(~two & (runs > 1))  # leaves of one side have met in the child's own group
+        x, y = np.concatenate([own, np.minimum(x, y)]), np.concatenate([own, np.maximum(x, y)])
+        least, most = (np.uint64(min(int(v * 2.0**64), 2**64 - 1)) for v in share)
+        for i, j in _crossed(first[x], runs[x], first[y], runs[y]):
+            ok = (i < j) & (part[run[i]] != part[run[j]])
+            for a, b in _crossed(run[i[ok]], rows[i[ok]], run[j[ok]], rows[j[ok]]):
+                h = pair_hash(node[a], node[b])
+                own = (h >= least) & ((h < most) | (share[1] >= 1))
+                a, b = a[own], b[own]
+                near = self.distance(a, b) <= self.far
+                if near.any():
+                    yield a[near], b[near]
+
+    def links(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the near pairs."""
+        at, n, two, x, y = self.leaves(group, tail, lo, hi)
+        # between two children: small leaves of one side have met in the child's own group
+        small, large = ~two & (n <= SMALL_NODE), n > SMALL_NODE
+        self.blocks(at[small], n[small], at[small], n[small])
+        for a, m in zip(at[large].tolist(), n[large].tolist(), strict=True):
+            self.inside(a, a + m)
         large = n[x] * n[y] > SMALL_NODE**2
         self.blocks(at[x[~large]], n[x[~large]], at[y[~large]], n[y[~large]])
         x, y = x[large], y[large]
@@ -190,29 +236,32 @@ class Walker:
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
-def _walk_sections(far: int, clear: int):
+def _walk_sections(far: int, clear: int, share: tuple[float, float] | None = None):
     """Arrow kernel over rows (byte, head, lo, hi, node, fp) sorted by the first four; lo and hi are the children of a
-    split node, -1 where a node is whole."""
+    split node, -1 where a node is whole. With ``share`` the rows have their part, and all near pairs between parts
+    are given that it takes, else a spanning forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(byte: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def work(byte: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             rows, first = np.arange(len(byte)), byte - byte % 3
             tail = (fp[rows, first + (byte + 1) % 3].astype(np.int64) << 8) | fp[rows, first + (byte + 2) % 3]
             keys = np.stack([byte, head, lo, hi], axis=1)
             group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
-            order = np.lexsort((node, tail, group))
-            x, y = Walker(np.ascontiguousarray(fp[order]), far, clear).links(group[order], tail[order], lo[order], hi[order])
-            a, b = node[order][x], node[order][y]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+            order = np.lexsort((node, part, tail, group))
+            walker = Walker(np.ascontiguousarray(fp[order]), far, clear)
+            place, node, part = (group[order], tail[order], lo[order], hi[order]), node[order], part[order]
+            for x, y in walker.apart(*place, node, part, share) if share else [walker.links(*place)]:
+                a, b = node[x], node[y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
         held: list[tuple] = []
         n = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, BYTES)
-            byte, lo, hi, node = (b.column(i).to_numpy().astype(np.int64) for i in range(4))
-            held.append((byte, fp[np.arange(len(byte)), byte].astype(np.int64), lo, hi, node, fp))
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, BYTES)
+            byte, lo, hi, node, part = (b.column(c).to_numpy().astype(np.int64) for c in ("byte", "lo", "hi", "node", "part" if share else "node"))
+            held.append((byte, fp[np.arange(len(byte)), byte].astype(np.int64), lo, hi, node, part, fp))
             n += b.num_rows
             if n < HELD_ROWS:
                 continue
@@ -220,19 +269,23 @@ def _walk_sections(far: int, clear: int):
             last = np.flatnonzero(np.any([c != c[-1] for c in whole[:4]], axis=0))
             cut = last[-1] + 1 if len(last) else 0  # the last node may go on
             if cut:
-                yield work(*[c[:cut] for c in whole])
+                yield from work(*[c[:cut] for c in whole])
             held, n = [tuple(c[cut:] for c in whole)], n - cut
         if n:
-            yield work(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from work(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
 
-def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES) -> DataFrame:
-    """(src, dst): for every group of near fingerprints a spanning forest of its nearest pairs, by section."""
+def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES, share: tuple[float, float] | None = None) -> DataFrame:
+    """(src, dst): for every group of near fingerprints a spanning forest of its nearest pairs, by section.
+
+    With ``share``, ``distinct`` has a part, and these are all near pairs between two parts whose hash is in ``share``.
+    """
+    more = ["part"] if share else []
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("byte"), "node", "fp")
-    rows = rows.select("byte", F.expr("substring(fp, byte + 1, 1)").alias("head"), "node", "fp")
+    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("byte"), "node", "fp", *more)
+    rows = rows.select("byte", F.expr("substring(fp, byte + 1, 1)").alias("head"), "node", "fp", *more)
     whole = F.lit(-1)
     big = staged(rows.groupBy("byte", "head").count().where(F.col("count") > max_leaves).select("byte", "head", F.lit(True).alias("split")), "wide-nodes")
     if big.isEmpty():
@@ -245,11 +298,11 @@ def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEA
         rows = rows.withColumn("mask", F.explode(F.when(F.col("split"), masks).otherwise(F.array(F.lit(0)))))
         other = F.col("below").bitwiseXOR(F.col("mask"))
         pick = lambda c: F.when(F.col("split"), c).otherwise(whole)
-        rows = rows.select("byte", "head", "node", "fp", pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
+        rows = rows.select("byte", "head", "node", "fp", *more, pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
     keys = ["byte", "head", "lo", "hi"]
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp")
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp", *more)
     far, clear = _expected_bits(similarity, 2.5), _expected_bits((1 + similarity) / 2, 0)
-    return dealt.mapInArrow(_walk_sections(far, clear), "src long, dst long").distinct()
+    return dealt.mapInArrow(_walk_sections(far, clear, share), "src long, dst long").distinct()
 
 
 def _checked(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -315,7 +368,17 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     edges = staged(candidates(distinct.where(F.col("node") != empty).select("node", "fp"), similarity, max_leaves), "wide-links")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     sets = staged(_sets(docs, nodes, distinct, shingle), "shingles")
-    linked = components(verified(edges, sets, similarity))
+    links = staged(verified(edges, sets, similarity), "near-links")
+    linked = components(links)
+    # a pair that the first walk passed over has a link at both ends, so the other nodes need no further walk
+    near = staged(distinct.join(nodes, "node", "left_semi").select("node", "fp"), "wide-near")
+    for share in zip((0, *SHARES), SHARES, strict=False):
+        parts = near.join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("part"))
+        edges = staged(candidates(parts, similarity, max_leaves, share), "wide-links")
+        more = staged(verified(edges, sets, similarity), "near-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            linked = components(links)
     linked = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     inside = staged(distinct.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
     ids = inside.groupBy("root").agg(F.min("least").alias("component_id"))

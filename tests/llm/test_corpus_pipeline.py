@@ -148,3 +148,28 @@ def test_split_nodes_lose_nothing(spark, leaves):
     docs = table(spark, rows)
     want = {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs).collect()}
     assert {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs, max_leaves=leaves).collect()} == want
+
+
+def reachable_groups(texts):
+    """Groups by all pairs that are similar and whose fingerprints are near in a section and as a whole."""
+    ids = sorted(texts)
+    sets = [simhash_similar.shingle_set(texts[i])[1] for i in ids]
+    fp = np.stack([np.frombuffer(simhash_similar.wide_fingerprint(h), np.uint8) for h in sets])
+    bits = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(int)
+    near = (bits.reshape(len(ids), len(ids), 16, 3).sum(-1) <= 2).any(-1) & (bits.sum(-1) <= simhash_similar._expected_bits(0.8, 2.5))
+    root = {i: i for i in ids}
+    for a, b in np.argwhere(near).tolist():
+        both = len(np.intersect1d(sets[a], sets[b]))
+        x, y = sorted((root[ids[a]], root[ids[b]]))
+        if x != y and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("many", [12, 90])
+def test_groups_whose_pairs_straddle_the_similarity(spark, many):
+    """Where links of the forest fail the exact check, the other near pairs of their parts are checked."""
+    texts = {1000 * g + i: edited(text(900 + g, 120), 1000 * g + i, 1 + i % 3) for g in range(120 // many + 3) for i in range(many)}
+    docs = table(spark, [(i, t, "a") for i, t in texts.items()])
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs).collect()}
+    assert got == reachable_groups(texts)
