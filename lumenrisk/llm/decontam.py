@@ -3,7 +3,8 @@
 The documents' word shingles are first matched with the items' shingles: a window without any can't be similar,
 so nothing is lost by opening windows only there. In such places every window of an item's size gets a SimHash
 (running sums over the shingles' bits), a multi-index over the fingerprints' bytes returns all items within the
-Hamming radius, and an exact weighted-shingle similarity decides.
+Hamming radius, and an exact weighted-shingle similarity decides. A document shorter than an item is one window, and
+the similarity alone decides.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, per_document
+from .common import field, per_document, words_of
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 15
 #: Characters of benchmark items that one index holds; larger benchmarks are searched in blocks.
@@ -135,9 +136,16 @@ class Search:
         for item in places:
             by_size.setdefault(self.index.size[item], []).append(item)
         for size, items in by_size.items():
+            step = min(self.index.k, size)
             if size > len(words):
+                own, prints = self.index.groups[size]
+                h = shingle_hashes(x, step)
+                f = fingerprints(h, len(h))
+                for item in items:
+                    s = self.index.similarity(item, words)
+                    if s >= self.least:
+                        best[item] = (-s, 0), int(np.bitwise_count(f ^ prints[own == item]).sum())
                 continue
-            step = min(self.index.k, size)
             width = size - step + 1
             at = np.unique(np.concatenate([places[i] for i in items]))
             # windows that hold one of these shingles, as runs of window starts
@@ -194,7 +202,7 @@ def _searched(docs: DataFrame, index: Index, similarity: float, radius: int, kee
         if "s" not in ready:
             ready["s"] = Search(shared.value, similarity, radius)
         s = ready["s"]
-        return {"__found": [[{"item": int(s.index.ids[i]), "start_word": a, "n_words": s.index.size[i], "hamming": int(d), "similarity": sim} for i, a, d, sim in s.matches(t)] for t in texts]}
+        return {"__found": [[{"item": int(s.index.ids[i]), "start_word": a, "n_words": min(s.index.size[i], len(words_of(t))), "hamming": int(d), "similarity": sim} for i, a, d, sim in s.matches(t)] for t in texts]}
 
     return per_document(docs, kernel, [field("__found", _MATCH)], keep=keep)
 
@@ -202,7 +210,8 @@ def _searched(docs: DataFrame, index: Index, similarity: float, radius: int, kee
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS, index_chars: int = INDEX_CHARS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, hamming, similarity): the best window of each item in each document.
 
-    radius is at most 15, the reach of the byte index. Items shorter than a shingle are one shingle. Null and
+    radius is at most 15, the reach of the byte index; a document shorter than the item is compared whole, without
+    regard to the radius, and n_words is its length. Items shorter than a shingle are one shingle. Null and
     empty texts and items match nothing; an empty table gives an empty result; of ties the first window counts;
     repeated documents repeat their rows.
     """

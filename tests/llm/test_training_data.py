@@ -128,6 +128,23 @@ def test_decontamination_against_all_windows():
         assert {m[0] for m in search.matches(b" ".join(words).decode())} == want
 
 
+def test_decontamination_of_truncated_items(spark):
+    """Documents shorter than an item are held against the exact similarity, without the radius."""
+    items = [text(700 + i, 20 + 4 * i).split() for i in range(10)]
+    docs = {(i, cut, end): it[cut:] if end else it[: len(it) - cut] for i, it in enumerate(items) for cut in range(1, 14) for end in (0, 1)}
+    index = decontam.Index(list(range(10)), [[w.encode() for w in it] for it in items], 5)
+    search = decontam.Search(index, 0.8, 15)
+    found = 0
+    for words in docs.values():
+        want = {j: s for j in range(10) if (s := index.similarity(j, [w.encode() for w in words])) >= 0.8}
+        assert {m[0]: m[3] for m in search.matches(" ".join(words))} == want
+        found += len(want)
+    assert 60 < found < len(docs)
+    bench = spark.createDataFrame([(i, " ".join(it)) for i, it in enumerate(items)], "item_id long, text string")
+    got = every(decontam.leaks(table(spark, [(1, " ".join(items[5][:-1]), "en", "a"), (2, " ".join(items[5][:9]), "en", "a")]), bench))
+    assert [(r["doc_id"], r["item_id"], r["start_word"], r["n_words"]) for r in got] == [(1, 5, 0, 39)]
+
+
 def test_rule_statistics():
     rng = np.random.default_rng(2)
     for _ in range(30):
