@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, labelled, per_document
+from .decontam import mix64
 
 #: Abusive words that any list would have.
 LEXICON = frozenset("clown disgusting dumb garbage idiot loser moron pathetic scum stupid trash ugly vermin worthless".split())
@@ -25,6 +26,9 @@ LEXICON = frozenset("clown disgusting dumb garbage idiot loser moron pathetic sc
 SAMPLE, TERMS, VOTERS, LIFT = 16000, 600, 12, 40.0
 #: Toxic documents that a term needs: so many, and a share of all, so that rare words don't enter by chance.
 LEAST, LEAST_SHARE = 4, 1 / 160
+#: Values of a MinHash signature, values of a band, share of equal values from which a text is a copy of another.
+SIGNATURE, BAND, COPY = 64, 4, 0.8
+_SEEDS = mix64(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-"
 _SHOUT = re.compile(r"[A-Z]{3,}!+")
 
@@ -36,9 +40,34 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
-def copy_key(terms: set[str]) -> int:
-    """Least hash of the long words: copies and near copies of a text nearly always share it, others hardly ever."""
-    return min((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in terms if len(t) > 7), default=-1)
+def signature(terms: set[str]) -> bytes:
+    """MinHash of all terms; empty for texts without a long word, which are too short to tell copies."""
+    if not any(len(t) > 7 for t in terms):
+        return b""
+    h = np.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in terms], np.uint64)
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, mix64(h[at : at + 1024, None] ^ _SEEDS).min(axis=0))
+    return (least >> np.uint64(32)).astype(np.uint32).tobytes()
+
+
+def copies(signatures: list[bytes]) -> list[int]:
+    """Places whose text is a copy or near copy, over the whole text, of one that stands before and stays."""
+    buckets: dict[tuple, list[int]] = {}
+    known = np.zeros((len(signatures), SIGNATURE), np.uint32)
+    out = []
+    for i, s in enumerate(signatures):
+        if not s:
+            continue
+        known[i] = np.frombuffer(s, np.uint32)
+        keys = [(k, s[4 * k : 4 * (k + BAND)]) for k in range(0, SIGNATURE, BAND)]
+        near = sorted({j for k in keys for j in buckets.get(k, ())})
+        if near and (known[near] == known[i]).mean(axis=1).max() >= COPY:
+            out.append(i)
+            continue
+        for k in keys:
+            buckets.setdefault(k, []).append(i)
+    return out
 
 
 def patterns(text: str, words: int) -> list[int]:
@@ -151,13 +180,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     """
     rows = labelled(docs, labels, "toxic", sample, folds, out)
 
-    def kernel(texts: list[str]) -> dict:
-        sets = [terms_of(t) for t in texts]
-        return {"terms": [sorted(s) for s in sets], "copy": [copy_key(s) for s in sets]}
+    def signed(texts: list[str]) -> dict:
+        return {"key": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], "signature": [signature(terms_of(t)) for t in texts]}
 
-    sets = per_document(rows, kernel, [field("terms", T.ArrayType(T.StringType())), field("copy", T.LongType())], keep=("doc_id", "label"))
-    # a text with many copies counts once, else all its words would look toxic; short texts have no key
-    sets = sets.where("copy < 0").unionByName(sets.where("copy >= 0").dropDuplicates(["copy", "label"]))
+    def kernel(texts: list[str]) -> dict:
+        return {"terms": [sorted(terms_of(t)) for t in texts], "key": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]}
+
+    # a text with many copies counts once, else all its words would look toxic; of copies the smallest doc_id stays.
+    # At most ``sample`` ids have a signature of 256 bytes, so they are safe to collect
+    key = field("key", T.LongType())
+    seen = per_document(rows, signed, [key, field("signature", T.BinaryType())], keep=("doc_id", "label")).dropDuplicates(["doc_id", "key"]).orderBy("doc_id", "key").collect()
+    gone = []
+    for label in (0, 1):
+        own = [r for r in seen if r.label == label]
+        gone += [(own[i].doc_id, own[i].key) for i in copies([bytes(r.signature) for r in own])]
+    gone = docs.sparkSession.createDataFrame(gone, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), key]))
+    sets = per_document(rows, kernel, [field("terms", T.ArrayType(T.StringType())), key], keep=("doc_id", "label"))
+    sets = sets.dropDuplicates(["doc_id", "key"]).join(F.broadcast(gone), ["doc_id", "key"], "left_anti")
     # sums by term are made on Spark; only terms of toxic rows come to the driver, and those are few
     counts = sets.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     n = sets.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
@@ -166,13 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     best = counts.where((F.col("toxic") >= max(LEAST, n.toxic * LEAST_SHARE)) & (p / q >= LIFT)).orderBy(gain.desc(), "term").limit(TERMS).select("term").collect()
     terms = [r.term for r in best]
     blank = Classifier({t: i for i, t in enumerate(terms)}, len(LEXICON), np.zeros(len(terms) + 3, np.float32), 0.0)
-    made = per_document(rows, lambda ts: {"x": [blank.features(t).tobytes() for t in ts], "votes": [votes_of(t, terms) for t in ts]}, [field("x", T.BinaryType()), field("votes", T.ArrayType(T.IntegerType()))], keep=("doc_id",))
+    made = per_document(rows, lambda ts: {"x": [blank.features(t).tobytes() for t in ts], "votes": [votes_of(t, terms) for t in ts]}, [field("x", T.BinaryType()), field("votes", T.ArrayType(T.IntegerType()))], keep=("doc_id", "label"))
     got = made.orderBy("doc_id", "x").collect()
     if not got:
         return Classifier(blank.index, blank.fixed, blank.w, -3.0), None
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), -1)
     votes = np.array([r.votes for r in got])
-    model = label_model(votes, n.toxic / n.n)
+    model = label_model(votes, sum(r.label for r in got) / len(got))
     w, b = fit_linear(x, model.posterior(votes))
     return Classifier(blank.index, blank.fixed, w.astype(np.float32), b), model
 

@@ -251,6 +251,15 @@ def test_held_out_quality_and_toxicity(spark):
     assert np.mean([t[i] == (i % 5 == 0) for i in t]) > 0.97
 
 
+def test_toxic_copies_are_over_the_whole_text():
+    """Texts that share a long word are no copies; edited ones are, and the first stays."""
+    own = [toxicity.terms_of(text(800 + i, 60).replace(" ", "x ") + " everywhere another because") for i in range(60)]
+    edits = [toxicity.terms_of(" ".join([*sorted(s)[3:], "changed"])) for s in own]
+    assert toxicity.copies([toxicity.signature(s) for s in own]) == []
+    assert toxicity.copies([toxicity.signature(s) for s in own + edits]) == list(range(60, 120))
+    assert toxicity.copies([toxicity.signature({"short"})] * 3) == []
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.3
