@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -44,8 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").split()
+def unstaged(df: DataFrame) -> None:
+    """Delete a staged table that no later step reads again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:
@@ -80,14 +84,11 @@ def per_document(
                 cols += [pa.array(got[f.name], type=to_arrow_type(f.dataType)) for f in fields]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
-    limit_batches(docs.sparkSession)
     return slim.mapInArrow(run, schema)
 
 
-def limit_batches(spark: SparkSession) -> None:
-    """Spark's default of 10,000 records a batch holds too many long texts at once."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+def lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def fold(column: str, folds: int) -> Column:
@@ -101,10 +102,10 @@ def bounded_sample(rows: DataFrame, id_col: str, bound: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds: int, out: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, label): a bounded sample of labelled rows outside the held-out fold ``out``.
+    """(doc_id, text, ``more``, label): the rows of a bounded sample of labelled ids outside the held-out fold ``out``.
 
-    Repeated labels of an id are averaged and rounded up; null ids and labels are left out. The sample is at
-    most ``bound`` rows, so it is safe to broadcast against the documents.
+    Repeated labels of an id are averaged and rounded up; null ids and labels are left out. The ids are at most
+    ``bound``, so they are safe to broadcast against the documents; an id can have many rows, see ``collected``.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != out))
@@ -113,3 +114,23 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int, folds:
     )
     chosen = F.broadcast(bounded_sample(chosen, "doc_id", bound))
     return docs.select("doc_id", "text", *more).join(chosen, "doc_id")
+
+
+def collected(rows: DataFrame, bound: int) -> list[Row]:
+    """The distinct ``rows``, at most ``bound`` by a hash of all columns, in the order of their columns.
+
+    What repeats counts once, and an id with any number of different texts can't fill the driver; reruns, layouts and
+    numbers of partitions give the same list.
+    """
+    once = rows.distinct()
+    return sorted(once.orderBy(F.xxhash64(*once.columns), *once.columns).limit(bound).collect())
+
+
+def join_known(rows: DataFrame, known: DataFrame, key: str, hot: DataFrame, most: int = 1024) -> DataFrame:
+    """``rows`` joined with ``known`` (one row for each ``key``), without a task that holds all rows of a frequent key.
+
+    ``hot``: keys with many rows, at most ``most`` of them by how they were chosen; their part of ``known`` is broadcast.
+    """
+    hot = F.broadcast(hot.select(key).limit(most))
+    often = rows.join(F.broadcast(known.join(hot, key, "left_semi")), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(known, key))

@@ -80,10 +80,13 @@ class Profiles:
 
 
 def fit(docs: DataFrame, folds: int = 4, out: int = 2, sample: int = SAMPLE, most: int = PROFILE) -> Profiles:
-    """Profiles from at most ``sample`` texts with a lang outside the fold ``out``, counted on Spark."""
-    learn = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != out))
-    ids = F.broadcast(bounded_sample(learn.groupBy("doc_id").agg(F.min("lang").alias("__lang")), "doc_id", sample))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id")
+    """Profiles of the texts of at most ``sample`` ids with a lang outside the fold ``out``, counted on Spark.
+
+    Rows whose lang is null are left out even where another row of their id has one; of n-grams that are equally
+    frequent the smaller code points come first.
+    """
+    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != out)).select("doc_id", "text", F.col("lang").alias("__lang"))
+    rows = learn.join(F.broadcast(bounded_sample(learn.select("doc_id").distinct(), "doc_id", sample)), "doc_id")
     big = 0x110003
 
     def kernel(texts: list[str]) -> dict:
@@ -123,5 +126,10 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def identify(docs: DataFrame, folds: int = 4, out: int = 2, sample: int = SAMPLE) -> DataFrame:
-    """Fit profiles on the labelled rows outside the held-out fold, then predict every row of ``docs``."""
+    """Fit profiles on the labelled rows outside the held-out fold, then predict every row of ``docs``.
+
+    Columns as of ``predict``. Repeated rows repeat, and count as often when they are learned from; very long texts
+    are read whole; an empty table gives an empty result, and without any lang all predictions are ``und``; other
+    columns don't take part, whatever their names.
+    """
     return predict(docs, fit(docs, folds, out, sample))

@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
 A text is cut into sentences, each is normalised, and known ones become licence-sentence identifiers; the ordered
-identifiers of a text are matched with licence rules, the first rule that fits a place deciding it.
+identifiers of a text are matched with licence rules, the first rule that fits a place deciding it. Licences are
+often wrapped within sentences, and notices often stand alone on a line without a full stop: a sentence ends at its
+punctuation or at a blank line, and where it is not known as a whole, its lines are looked up one by one.
 """
 
 from __future__ import annotations
@@ -9,30 +11,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A sentence ends at ., ! or ? before white space, or at a line's end.
-SENTENCE_END = r"[.!?]+[\x20\x09\x0D]+|[\x20\x09\x0D]*\n+"
+from .common import lower_ascii
+
+#: A sentence ends at ., ! or ? before white space, or at a line with nothing but white space and comment marks.
+SENTENCE_END = r"[.!?]+[\x20\x09\x0D\n]+|\n[\x20\x09\x0D*#/;-]*\n[\x20\x09\x0D\n]*"
 #: What normalisation turns into one space, after A-Z are lower-cased.
 OTHER = r"[^a-z0-9]+"
 #: Every known sentence has one of these, so a text without any is not cut up.
-CLUES = ("licen", "copyright", "permission", "redistribution", "rights", "warrant", "public domain")
+CLUES = ("licen", "copyright", "permission", "redistribution", "rights", "warrant", "public domain", "copy", "liable")
 
+# Licences that tags name, by their public short identifiers.
+TAGGED: tuple[str, ...] = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
+    "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+)
 # Normalised sentences that well-known licences consist of or are referred to by.
 SENTENCES: dict[str, str] = {
     "licensed under the apache license version 2 0": "apache-ref",
     "licensed under the apache license version 2 0 the license": "apache-ref",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache-header",
+    "apache license version 2 0": "apache-title",
     "you may not use this file except in compliance with the license": "apache-use",
     "you may obtain a copy of the license at": "apache-copy",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-warranty",
+    "see the license for the specific language governing permissions and limitations under the license": "apache-see",
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
     "this project is licensed under the mit license": "mit-ref",
+    "mit license": "mit-title",
+    "the mit license": "mit-title",
+    "the mit license mit": "mit-title",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "mit-0-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied": "mit-warranty",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 3": "gpl3-ref",
     "licensed under the gnu general public license version 2": "gpl2-ref",
     "licensed under the gnu lesser general public license version 3": "lgpl3-ref",
     "licensed under the gnu affero general public license version 3": "agpl3-ref",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
     "licensed under cc by nc 4 0": "cc-by-nc-ref",
     "licensed under cc by 4 0": "cc-by-ref",
@@ -42,21 +66,35 @@ SENTENCES: dict[str, str] = {
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-ref",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd-grant",
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "licensed under the mozilla public license version 2 0": "mpl-ref",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl-ref",
     "licensed under the bsd 3 clause license": "bsd3-ref",
     "all rights reserved": "reserved",
-}
+} | {f"spdx license identifier {' '.join(tag.lower().replace('-', ' ').replace('.', ' ').split())}": f"spdx-{tag}" for tag in TAGGED}
 # Ordered identifiers that make up a licence; a longer rule stands before those it contains.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("Apache-2.0", ("apache-header", "apache-copy", "apache-warranty", "apache-see")),
+    ("Apache-2.0", ("apache-header", "apache-copy")),
+    ("Apache-2.0", ("apache-header",)),
     ("Apache-2.0", ("apache-ref", "apache-use", "apache-copy")),
     ("Apache-2.0", ("apache-ref",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("MIT", ("mit-title", "mit-grant", "mit-notice", "mit-warranty", "mit-liability")),
     ("MIT", ("mit-ref", "mit-grant", "mit-notice")),
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-ref",)),
+    ("MIT", ("mit-title",)),
+    ("MIT-0", ("mit-0-grant",)),
+    ("GPL-3.0", ("gpl3-grant", "gpl-warranty", "gpl-copy")),
+    ("GPL-3.0", ("gpl3-grant",)),
+    ("GPL-2.0", ("gpl2-grant", "gpl-warranty", "gpl-copy")),
+    ("GPL-2.0", ("gpl2-grant",)),
     ("GPL-3.0", ("gpl3-ref", "gpl-copy")),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref", "gpl-copy")),
@@ -67,18 +105,16 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
     ("CC0-1.0", ("cc0-ref",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-name")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-name")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source")),
     ("BSD-3-Clause", ("bsd3-ref",)),
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
     ("MPL-2.0", ("mpl-ref",)),
     ("all-rights-reserved", ("reserved",)),
-)
-
-
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+) + tuple((tag, (f"spdx-{tag}",)) for tag in TAGGED)
 
 
 def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
@@ -86,8 +122,10 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     if unclear := [s for s in sentences if not any(c in s for c in CLUES)]:
         raise ValueError(f"sentences without a clue: {unclear}")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    plain = F.transform(F.split(lower_ascii(text), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, OTHER, " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda i: i.isNotNull())
+    name = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, OTHER, " ")))
+    lines = lambda s: F.array_compact(F.transform(F.split(s, "\n"), name))
+    pieces = F.transform(F.split(lower_ascii(text), SENTENCE_END), lambda s: F.struct(s.alias("s"), name(s).alias("id")))
+    ids = F.flatten(F.transform(pieces, lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).when(p["s"].contains("\n"), lines(p["s"])).otherwise(F.array().cast("array<string>"))))
     clue = F.lower(text)
     maybe = F.lit(False)
     for c in CLUES:
@@ -97,19 +135,21 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
 
 def matched(ids: Column, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
     """Sorted licences whose rules fit; each rule takes its identifiers out before the next one is tried."""
-    seq = F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";"))
-    found = []
-    for name, rule in rules:
-        text = "".join(f";{i};" for i in rule)
-        found.append(F.when(seq.contains(text), F.lit(name)))
-        seq = F.replace(seq, F.lit(text), F.lit("#"))
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.lit("".join(f";{i};" for i in rule)).alias("ids")) for name, rule in rules])
+    start = F.struct(F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";")).alias("left"), F.array().cast("array<string>").alias("found"))
+
+    def take(s: Column, r: Column) -> Column:
+        found = F.when(s["left"].contains(r["ids"]), F.array_append(s["found"], r["name"])).otherwise(s["found"])
+        return F.struct(F.replace(s["left"], r["ids"], F.lit("#")).alias("left"), found.alias("found"))
+
+    return F.array_sort(F.array_distinct(F.aggregate(each, start, take)["found"]))
 
 
 def licenses(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: tuple = RULES) -> DataFrame:
     """(doc_id, sentence_ids, licenses): arrays for every row, empty for null, empty or unlicensed texts.
 
-    Repeated rows repeat; a sentence found twice stands twice among sentence_ids.
+    Repeated rows repeat; a sentence found twice stands twice among sentence_ids. Very long texts are read whole; an
+    empty table gives an empty result; other columns don't take part, whatever their names.
     """
     # the rules only run where a sentence was found
     found = docs.select("doc_id", sentence_ids(F.coalesce(F.col("text"), F.lit("")), sentences).alias("sentence_ids"))

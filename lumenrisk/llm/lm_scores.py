@@ -4,6 +4,7 @@ Documents are dealt to chunks of bounded size by a hash. A chunk explodes its te
 count of each distinct one; requests are dealt by the n-gram's hash, and each hash slot, the count table's
 partition, sums what all chunks hold and answers every request. The answers are joined to the chunk's exploded
 n-grams, scored and summed by document. A frequent n-gram costs its slot one row a chunk, however often it occurs.
+This is the shuffle join of exploded n-grams with their counts, in which each chunk's rows for a slot travel packed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import limit_batches
 from .decontam import mix64
 
 #: Bytes of text in a chunk, and distinct n-grams that a slot answers, about.
@@ -89,7 +89,9 @@ def _scores(alpha: float, least: int):
         grams, n = _chunk_grams(docs.column("text").to_pylist())
         keys, inverse = np.unique(grams, return_inverse=True)
         at = int(np.searchsorted(keys, _NONE))
-        words, total = (total[at], np.delete(total, at)) if len(total) else (0, total)
+        if len(total) != len(keys) + 1:
+            raise ValueError("a chunk was dealt anew between its request and its answer")
+        words, total = total[at], np.delete(total, at)
         count = total[inverse].astype(float)
         score, backed, start = [], [], 0
         for m in n.tolist():
@@ -110,16 +112,17 @@ def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, chunk_b
 
     A word after another scores c(ab) / c(a) if c(ab) is ``least`` or more, else ``alpha`` c(b) / N; a first word
     c(b) / N. log_score sums the logarithms, word_score is its mean. Null and blank texts have no words, log_score
-    0 and a null word_score; repeated rows count and repeat; an empty table gives an empty result.
+    0 and a null word_score; repeated rows count and repeat, and are dealt to chunks by their place, so that any number
+    of them leaves chunks small; an empty table gives an empty result; very long texts are read whole; other columns
+    don't take part. n-grams are told apart by 64-bit hashes: among a trillion of them some 30,000 share one, and a
+    shared count changes a score by less than rounding.
     """
-    spark = docs.sparkSession
-    limit_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     chunks = max(1, -(-size // chunk_bytes))
     slot_bits = min(max(1, math.ceil(math.log2(max(2, size / 4 / slot_grams)))), 40)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text), F.lit(chunks)).alias("chunk"), "doc_id", text.alias("text"))
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text, F.shiftright(F.monotonically_increasing_id(), 6)), F.lit(chunks)).alias("chunk"), "doc_id", text.alias("text"))
     requests = dealt.groupBy("chunk").applyInArrow(_requests(slot_bits), "slot long, chunk long, keys binary, counts binary")
     answers = requests.groupBy("slot").applyInArrow(_answers, "slot long, chunk long, totals binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(alpha, least), f"doc_id {doc_id}, n_words long, n_backoff long, log_score double")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, labelled, per_document
+from .common import collected, field, labelled, per_document
 from .quality_rules import FEATURES as STATS
 from .quality_rules import statistics
 
@@ -92,12 +92,21 @@ def fit_machine(x: np.ndarray, y: np.ndarray, rank: int = RANK, epochs: int = EP
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, sample: int = SAMPLE) -> Machine:
-    """The machine from at most ``sample`` labelled rows outside the fold ``out``; features are made on the executors."""
+    """The machine from at most ``sample`` labelled rows outside the fold ``out``; features are made on the executors.
+
+    Only the non-zero features travel: places and values, about a tenth of the whole rows.
+    """
     rows = labelled(docs, labels, "quality", sample, folds, out, more=tuple(c for c in ("n_chars",) if c in docs.columns))
-    pack = lambda ts, ns: {"x": [features(t, n).astype(np.float16).tobytes() for t, n in zip(ts, ns, strict=True)]}
-    packed = per_document(rows, pack, [field("x", T.BinaryType())], keep=("doc_id", "label"), extra=[_metadata(rows)])
-    got = packed.orderBy("doc_id", "x").collect()
-    x = np.frombuffer(b"".join(r.x for r in got), np.float16).reshape(-1, WORDS + STATS + EXTRA).astype(np.float32)
+
+    def pack(texts: list[str], lengths: list[float]) -> dict:
+        each = [features(t, n) for t, n in zip(texts, lengths, strict=True)]
+        at = [np.flatnonzero(x) for x in each]
+        return {"at": [i.astype(np.uint16).tobytes() for i in at], "x": [x[i].tobytes() for x, i in zip(each, at, strict=True)]}
+
+    got = collected(per_document(rows, pack, [field("at", T.BinaryType()), field("x", T.BinaryType())], keep=("doc_id", "label"), extra=[_metadata(rows)]), sample)
+    x = np.zeros((len(got), WORDS + STATS + EXTRA), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.x, np.float32)
     return fit_machine(x, np.array([r.label for r in got], np.float32))
 
 
@@ -107,23 +116,31 @@ def _metadata(docs: DataFrame) -> Column:
     return F.coalesce(F.col("n_chars").cast("double"), own) if "n_chars" in docs.columns else own
 
 
-def score(docs: DataFrame, machine: Machine, keep: tuple = ("doc_id",)) -> DataFrame:
-    """``keep`` and score (0 to 1) for every row; null texts count as empty, repeated rows repeat."""
+def score(docs: DataFrame, machine: Machine, keep: tuple = ("doc_id",), name: str = "score") -> DataFrame:
+    """``keep`` and the score (0 to 1) as ``name`` for every row; null texts count as empty, repeated rows repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def kernel(texts: list[str], lengths: list[float]) -> dict:
-        return {"score": shared.value.score(np.stack([features(t, n) for t, n in zip(texts, lengths, strict=True)]))}
+        return {name: shared.value.score(np.stack([features(t, n) for t, n in zip(texts, lengths, strict=True)]))}
 
-    return per_document(docs, kernel, [field("score", T.DoubleType())], keep=keep, extra=[_metadata(docs)])
+    return per_document(docs, kernel, [field(name, T.DoubleType())], keep=keep, extra=[_metadata(docs)])
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, out: int = 0, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``; predicted is 1 at ``threshold`` or more."""
+    """(doc_id, score, predicted) for every row of ``docs``; predicted is 1 at ``threshold`` or more.
+
+    Null and empty texts have the features of no words and get a score like any other; repeated rows repeat, and as
+    labelled rows count once; very long texts are read whole; an empty table gives an empty result; other columns
+    don't take part, whatever their names (n_chars is the stated length, that of the text where it is missing or null).
+    """
     found = score(docs, fit(docs, labels, folds, out, sample))
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject."""
+    """The rows of ``docs`` that the classifier does not reject, with all their columns, whatever their names.
+
+    Rows with null or empty texts, repeats and an empty table are treated as in ``classify``.
+    """
     columns = docs.columns
-    return score(docs, fit(docs, labels, sample=sample), keep=tuple(columns)).where(F.col("score") >= threshold).select(*columns)
+    return score(docs, fit(docs, labels, sample=sample), tuple(columns), "__quality").where(F.col("__quality") >= threshold).select(*columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, per_document, staged
+from .common import field, join_known, per_document, staged, unstaged
 
 BITS = 64
 #: Leaves under one node (or pair) that a single task takes; larger ones are split along the trie.
@@ -215,6 +215,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         new = staged(small, "cc")
         # a star forest: no node has two parents, no parent has a parent
         rest = new.groupBy("u").count().where("count > 1").select("u").union(new.select(F.col("v").alias("u")).join(new.select("u"), "u", "left_semi"))
+        unstaged(edges)
         edges = new
         if rest.isEmpty():
             break
@@ -231,20 +232,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     An empty table gives an empty result. root is the component's smallest fingerprint.
     """
     fps = staged(fingerprints(docs, shingle, seed), "fps")
-    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fp")
     linked = components(links(distinct.select("fp"), radius, max_leaves))
     linked = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     inside = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     inside = staged(inside, "roots")
     ids = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     known = inside.join(ids, "root").select("fp", "root", "component_id")
-    return fps.join(known, "fp").select("doc_id", "fp", "component_id", "root")
+    return join_known(fps, known, "fp", frequent(distinct, "fp")).select("doc_id", "fp", "component_id", "root")
+
+
+def frequent(distinct: DataFrame, key: str, share: int = 1024) -> DataFrame:
+    """Keys of over a ``share``-th of all rows, so at most ``share`` of them. ``distinct``: key, rows."""
+    total = distinct.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return distinct.where(F.col("rows") > total / share).select(key)
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` with one document of each group left: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are cut to one; a group without any doc_id keeps one of its rows.
+    Rows of the group that repeat that doc_id are cut to one, also where other rows with it hold texts of other
+    groups; a group without any doc_id keeps one of its rows.
     """
 
     def named(rows: DataFrame) -> DataFrame:
@@ -254,15 +262,21 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, key: str, named: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The document with the smallest id of each group in ``found``; ``named`` adds the value of ``key`` as __key to rows without id."""
+    """The document with the smallest id of each group in ``found``; ``named`` adds the value of ``key`` as __key.
+
+    Rows of an id that occurs once are chosen by the id. Where an id repeats, its rows can hold different texts, and
+    where it is null it says nothing: those rows are chosen by their key, one for each group.
+    """
     columns = docs.columns
-    best = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = docs.join(best, "doc_id")
-    once = kept.where("__rows = 1").select(*columns)
-    repeated = kept.where("__rows > 1").select(*columns).dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null")
-    if nameless.isEmpty():
-        return once.unionByName(repeated)
-    alone = found.where("component_id is null").select(F.col(key).alias("__key"), F.col("root").alias("__root")).distinct()
-    alone = named(nameless).join(alone, "__key").dropDuplicates(["__root"]).select(*columns)
-    return once.unionByName(repeated).unionByName(alone)
+    ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("least"))
+    kept = docs.join(ids.where("n = 1 AND least").select("doc_id"), "doc_id", "left_semi").select(*columns)
+    roots = found.select(F.col(key).alias("__key"), F.col("root").alias("__root"), F.col("component_id").alias("__least")).distinct()
+    repeated = ids.where("n > 1 AND least").select("doc_id")
+    if not repeated.isEmpty():
+        rows = named(docs.join(repeated, "doc_id", "left_semi").select(*columns)).join(roots, "__key").where(F.col("doc_id") == F.col("__least"))
+        kept = kept.unionByName(rows.dropDuplicates(["__root"]).select(*columns))
+    nameless = docs.where("doc_id IS NULL")
+    if not nameless.isEmpty():
+        rows = named(nameless).join(roots.where("__least IS NULL"), "__key")
+        kept = kept.unionByName(rows.dropDuplicates(["__root"]).select(*columns))
+    return kept

@@ -13,11 +13,15 @@ down in Spark, as pairs of its children.
 The first walk sends a spanning forest of the near pairs to the exact check, which joins most of a group at little
 cost. Later walks take the parts that the check has joined and send it every near pair between two parts: a share of
 them first, chosen by a hash of the pair, and at last the rest, so no near pair between parts stays unchecked.
+
+Fingerprints of few shingles are coarse. Texts of at most 13 distinct shingles are therefore also linked exactly: sets
+of a similarity of 0.8 become equal when at most two shingles of each are left out, so they meet at a common subset.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, limit_batches, per_document, staged
+from .common import field, join_known, per_document, staged, unstaged
 from .decontam import mix64, shingle_hashes
-from .simhash_dedup import components, forest, one_of_each, walk
+from .simhash_dedup import components, forest, frequent, one_of_each, walk
 
 SHINGLE, SIMILARITY = 5, 0.8
 WORDS = 6
@@ -43,6 +47,8 @@ BLOCK = 1 << 18
 SMALL_NODE = 64
 #: Links of a hub that are checked together.
 HUB_LINKS = 256
+#: Distinct shingles up to which texts are also linked through common subsets; standard deviations that bits may lie apart.
+FEW, SPREAD = 13, 3.5
 #: Shares of the near pairs between parts, by hash, up to which each later walk goes.
 SHARES = (1 / 256, 1 / 16, 1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -73,13 +79,51 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, node, fp): node names the word sequence."""
+    """(doc_id, node, fp, few): node names the word sequence; few holds the shingles where those are few."""
 
     def kernel(texts: list[str]) -> dict:
         node, sets = zip(*[shingle_set(t, shingle) for t in texts], strict=True) if texts else ((), ())
-        return {"node": np.array(node, np.uint64).view(np.int64), "fp": [wide_fingerprint(h) for h in sets]}
+        few = [h.tobytes() if 0 < len(h) <= FEW else None for h in sets]
+        return {"node": np.array(node, np.uint64).view(np.int64), "fp": [wide_fingerprint(h) for h in sets], "few": few}
+
+    return per_document(docs, kernel, [field("node", T.LongType()), field("fp", T.BinaryType()), field("few", T.BinaryType())])
+
+
+def subsets(h: np.ndarray, similarity: float) -> Iterator[tuple[int, int, int]]:
+    """(key, shingles left out, shingles left) of a set and its subsets that can be common to a similar set."""
+    n = len(h)
+    whole = mix64(h)
+    total = int(whole.sum(dtype=np.uint64))
+    yield total, 0, n
+    for left_out in (1, 2):
+        left = n - left_out
+        if left < similarity * n:
+            return
+        for gone in combinations(range(n), left_out):
+            yield (total - int(whole[list(gone)].sum(dtype=np.uint64))) & (1 << 64) - 1, left_out, left
+
+
+def few_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): all links between texts of few shingles, as stars around common subsets.
+
+    Two sets that leave out i and j shingles of a common subset of c are similar if c >= similarity * (c + i + j).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                rows = [(k, node, i, c) for node, few in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for k, i, c in subsets(np.frombuffer(few, np.uint64), similarity)]
+                key = np.array([r[0] for r in rows], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)]], names=["key", "node", "gone", "left"])
 
-    return per_document(docs, kernel, [field("node", T.LongType()), field("fp", T.BinaryType())])
+    rows = distinct.where("few IS NOT NULL").select("node", "few").mapInArrow(run, "key long, node long, gone long, left long")
+    linked = lambda other: F.col("left") >= similarity * (F.col("left") + F.col("gone") + other)
+    hubs = [F.min(F.when(F.col("gone") == i, F.col("node"))).alias(f"hub{i}") for i in (0, 1)]
+    by = rows.groupBy("key", "left").agg(F.count("*").alias("n"), *hubs).where("n > 1").drop("n")
+    ends = [F.when(linked(i), F.col(f"hub{i}")) for i in (0, 1)]
+    pairs = rows.join(by, ["key", "left"]).select("node", F.explode(F.array_compact(F.array(*ends))).alias("hub")).where("node <> hub")
+    return pairs.select(F.least("node", "hub").alias("src"), F.greatest("node", "hub").alias("dst")).distinct()
 
 
 def strongest(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +345,7 @@ def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEA
         rows = rows.select("byte", "head", "node", "fp", *more, pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
     keys = ["byte", "head", "lo", "hi"]
     dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp", *more)
-    far, clear = _expected_bits(similarity, 2.5), _expected_bits((1 + similarity) / 2, 0)
+    far, clear = _expected_bits(similarity, SPREAD), _expected_bits((1 + similarity) / 2, 0)
     return dealt.mapInArrow(_walk_sections(far, clear, share), "src long, dst long").distinct()
 
 
@@ -319,7 +363,6 @@ def _checked(pairs: DataFrame, similarity: float) -> DataFrame:
                 keep.append(bool(near))
             yield b.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    limit_batches(pairs.sparkSession)
     return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
@@ -359,36 +402,44 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     Words are lower-cased in A-Z. Null, empty and wordless texts are copies of each other and of nothing else;
     a text of fewer words than a shingle is one shingle. Repeated rows stay rows of their own; a null doc_id takes
     part but is never the smallest id (component_id is null if its group has none). An empty table gives an empty
-    result. Links are exact; a link near the least similarity is missed with a probability below 0.01, unless
-    other links join the same group.
+    result; very long texts are read whole; other columns don't take part. Every link is exact. Links between texts of
+    at most ``FEW`` distinct shingles are all found; others by the fingerprints, with the recall that the README gives.
     """
     fps = staged(fingerprints(docs, shingle), "wide-fps")
-    distinct = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "wide-fp")
+    distinct = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("few").alias("few"), F.count("*").alias("rows")), "wide-fp")
     empty = F.lit(xxhash.xxh64_intdigest(b"") - (1 << 64))
     edges = staged(candidates(distinct.where(F.col("node") != empty).select("node", "fp"), similarity, max_leaves), "wide-links")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     sets = staged(_sets(docs, nodes, distinct, shingle), "shingles")
-    links = staged(verified(edges, sets, similarity), "near-links")
-    linked = components(links)
+    links = staged(verified(edges, sets, similarity).unionByName(few_links(distinct, similarity)), "near-links")
     # a pair that the first walk passed over has a link at both ends, so the other nodes need no further walk
     near = staged(distinct.join(nodes, "node", "left_semi").select("node", "fp"), "wide-near")
+    unstaged(edges)
+    linked, walks = components(links), [links]
     for share in zip((0, *SHARES), SHARES, strict=False):
         parts = near.join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("part"))
         edges = staged(candidates(parts, similarity, max_leaves, share), "wide-links")
         more = staged(verified(edges, sets, similarity), "near-links")
+        unstaged(edges)
+        walks.append(more)
         if not more.isEmpty():
             links = links.unionByName(more)
+            unstaged(linked)
             linked = components(links)
-    linked = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
-    inside = staged(distinct.select("node", "least").join(linked, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
+    linked_all = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
+    inside = staged(distinct.select("node", "least").join(linked_all, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
+    for gone in (linked, near, sets, *walks):
+        unstaged(gone)
     ids = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.select("doc_id", "node").join(inside.join(ids, "root").select("node", "root", "component_id"), "node")
+    known = inside.join(ids, "root").select("node", "root", "component_id")
+    return join_known(fps.select("doc_id", "node"), known, "node", frequent(distinct, "node"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with one document of each group left: the one with the smallest doc_id.
 
-    Rows that repeat that doc_id are cut to one; a group without any doc_id keeps one of its rows.
+    Rows of the group that repeat that doc_id are cut to one, also where other rows with it hold texts of other
+    groups; a group without any doc_id keeps one of its rows. Other columns may have any name.
     """
     found = similar_documents(docs, shingle, similarity)
     return one_of_each(docs, found, "node", lambda rows: _named(rows, shingle, docs.columns))
