@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: lexicon and pattern voters, a generative label model, a linear classifier.
 
-Voters are lists of words and patterns; each votes toxic, clean or not at all. The
-label model gives every voter's accuracy under both classes by expectation maximisation, and down-weights voters
+Each voter is a named source of its own (``VOTERS``): a fixed list of insults, lists mined from labelled rows in
+three grades of strength, counts of hits, insults addressed to a reader, patterns of shouting; it votes toxic, clean
+or not at all. The label model gives every voter's accuracy under both classes by expectation maximisation, and down-weights voters
 that still agree within a class, by their estimated correlations. The classifier is trained on its posteriors.
 """
 
@@ -17,13 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, labelled, per_document
+from .common import collected, field, labelled, per_document
 from .decontam import mix64
 
 #: Abusive words that any list would have.
 LEXICON = frozenset("clown disgusting dumb garbage idiot loser moron pathetic scum stupid trash ugly vermin worthless".split())
-#: Labelled rows, mined terms, lexicon voters that share them, a term's lift.
-SAMPLE, TERMS, VOTERS, LIFT = 16000, 600, 12, 40.0
+#: Labelled rows, mined terms, grades that they are split into by strength, a term's lift.
+SAMPLE, TERMS, GRADES, LIFT = 16000, 600, 3, 40.0
+#: What each vote stands for, in the order of ``votes_of``.
+VOTERS = ("insult", "two insults", "strong term", "medium term", "weak term", "two terms", "addressed insult", "few shouts", "exclamations", "no term", "no shout")
 #: Toxic documents that a term needs: so many, and a share of all, so that rare words don't enter by chance.
 LEAST, LEAST_SHARE = 4, 1 / 160
 #: Values of a MinHash signature, values of a band, share of equal values from which a text is a copy of another.
@@ -31,6 +34,7 @@ SIGNATURE, BAND, COPY = 64, 4, 0.8
 _SEEDS = mix64(np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>-"
 _SHOUT = re.compile(r"[A-Z]{3,}!+")
+_ADDRESSED = re.compile(r"(?i)\b(?:you|your|du|ihr|tu|vous|eres|usted)\W+(?:\w+\W+){0,3}(?:" + "|".join(sorted(LEXICON)) + r")\b")
 
 
 def terms_of(text: str) -> set[str]:
@@ -70,10 +74,20 @@ def copies(signatures: list[bytes]) -> list[int]:
     return out
 
 
-def patterns(text: str, words: int) -> list[int]:
-    """Votes of the pattern voters: shouting, insult exclamations, and very long texts (which vote clean less often)."""
-    shout = len(_SHOUT.findall(text))
-    return [1 if 0 < shout < 5 else 0, 1 if "!!!" in text else 0, -1 if words > 0 and shout == 0 else 0]
+def grades(terms: list[str]) -> list[frozenset[str]]:
+    """Mined terms, strongest first, in ``GRADES`` lists of like size."""
+    return [frozenset(terms[len(terms) * g // GRADES : len(terms) * (g + 1) // GRADES]) for g in range(GRADES)]
+
+
+def votes_of(text: str, graded: list[frozenset[str]]) -> list[int]:
+    """One vote of each of ``VOTERS``: 1 toxic, -1 clean, 0 none."""
+    s = terms_of(text)
+    insults, mined = len(s & LEXICON), [len(s & g) for g in graded]
+    shouts = len(_SHOUT.findall(text))
+    hits = insults + sum(mined)
+    told = insults > 0 and _ADDRESSED.search(text) is not None
+    toxic = [insults > 0, insults > 1, *[n > 0 for n in mined], sum(mined) > 1, told, 0 < shouts < 5, "!!!" in text]
+    return [*map(int, toxic), -int(hits == 0), -int(shouts == 0 and bool(s))]
 
 
 @dataclass
@@ -141,21 +155,6 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30).astype(float)))
 
 
-def voter_of(term: str, voters: int = VOTERS) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % voters
-
-
-def votes_of(text: str, terms: list[str]) -> list[int]:
-    s = terms_of(text)
-    votes = [0] * VOTERS
-    for t in terms:
-        if t in s:
-            votes[voter_of(t)] = 1
-    lex = 1 if s & LEXICON else 0
-    none = -1 if not any(votes) and not lex else 0
-    return [*votes, lex, none, *patterns(text, len(s))]
-
-
 def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 300, l2: float = 2e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by accelerated gradient descent."""
     d = x.shape[1]
@@ -179,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     The labels mine the lexicon and set the prior; what the classifier learns from are the label model's posteriors.
     """
     rows = labelled(docs, labels, "toxic", sample, folds, out)
+    ids = rows.schema["doc_id"].dataType
 
     def signed(texts: list[str]) -> dict:
         return {"key": [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], "signature": [signature(terms_of(t)) for t in texts]}
@@ -189,12 +189,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     # a text with many copies counts once, else all its words would look toxic; of copies the smallest doc_id stays.
     # At most ``sample`` ids have a signature of 256 bytes, so they are safe to collect
     key = field("key", T.LongType())
-    seen = per_document(rows, signed, [key, field("signature", T.BinaryType())], keep=("doc_id", "label")).dropDuplicates(["doc_id", "key"]).orderBy("doc_id", "key").collect()
+    seen = collected(per_document(rows, signed, [key, field("signature", T.BinaryType())], keep=("doc_id", "label")), sample)
     gone = []
     for label in (0, 1):
         own = [r for r in seen if r.label == label]
         gone += [(own[i].doc_id, own[i].key) for i in copies([bytes(r.signature) for r in own])]
-    gone = docs.sparkSession.createDataFrame(gone, T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), key]))
+    gone = docs.sparkSession.createDataFrame(gone, T.StructType([T.StructField("doc_id", ids), key]))
     sets = per_document(rows, kernel, [field("terms", T.ArrayType(T.StringType())), key], keep=("doc_id", "label"))
     sets = sets.dropDuplicates(["doc_id", "key"]).join(F.broadcast(gone), ["doc_id", "key"], "left_anti")
     # sums by term are made on Spark; only terms of toxic rows come to the driver, and those are few
@@ -205,8 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     best = counts.where((F.col("toxic") >= max(LEAST, n.toxic * LEAST_SHARE)) & (p / q >= LIFT)).orderBy(gain.desc(), "term").limit(TERMS).select("term").collect()
     terms = [r.term for r in best]
     blank = Classifier({t: i for i, t in enumerate(terms)}, len(LEXICON), np.zeros(len(terms) + 3, np.float32), 0.0)
-    made = per_document(rows, lambda ts: {"x": [blank.features(t).tobytes() for t in ts], "votes": [votes_of(t, terms) for t in ts]}, [field("x", T.BinaryType()), field("votes", T.ArrayType(T.IntegerType()))], keep=("doc_id", "label"))
-    got = made.orderBy("doc_id", "x").collect()
+    graded = grades(terms)
+
+    def shown(texts: list[str]) -> dict:
+        return {"x": [blank.features(t).tobytes() for t in texts], "votes": [votes_of(t, graded) for t in texts]}
+
+    got = collected(per_document(rows, shown, [field("x", T.BinaryType()), field("votes", T.ArrayType(T.IntegerType()))], keep=("doc_id", "label")), sample)
     if not got:
         return Classifier(blank.index, blank.fixed, blank.w, -3.0), None
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(len(got), -1)
@@ -217,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """(doc_id, score) for every row; null and empty texts have no term and get the lowest score; repeats repeat."""
+    """(doc_id, score) for every row; null and empty texts have no term and get the score of none; repeats repeat."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def kernel(texts: list[str]) -> dict:
@@ -228,6 +232,12 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, out: int = 1, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, score, predicted) for every row of ``docs``; predicted is 1 at ``threshold`` or more."""
+    """(doc_id, score, predicted) for every row of ``docs``; predicted is 1 at ``threshold`` or more.
+
+    Null and empty texts have no term and get the score of none; repeated rows repeat, and as labelled rows count
+    once; very long texts are read whole; an empty table gives an empty result; other columns don't take part,
+    whatever their names. Terms of equal strength are ordered by code point. Reruns, layouts and numbers of
+    partitions give the same scores.
+    """
     found = score(docs, fit(docs, labels, folds, out, sample)[0])
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
