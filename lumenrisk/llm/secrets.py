@@ -1,15 +1,16 @@
 """Secret scan: fixed pattern kinds, and dictionary-primed zstandard novelty for what the patterns miss.
 
-A candidate is a long mixed string near a sensitive word. It is compressed with a dictionary made of common
-identifiers and of the text around it; the bytes it adds, against its length, say how much of it neither the
-identifiers nor the neighbourhood explain. Incompressible ones are reported as kind ``novel``.
+A candidate is a mixed string near a sensitive word, before or behind it or grown together with it. It is compressed
+with a dictionary made of common identifiers and of the text around it; the bytes it adds, against its length, say
+how much of it neither the identifiers nor the neighbourhood explain. Incompressible ones are reported as kind
+``novel``. What the patterns find is measured in the same way and keeps its place whatever the measure.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,11 +23,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Words that make a neighbourhood sensitive, and how far on a candidate may begin.
+#: Words that make a neighbourhood sensitive, how far on or back a candidate may lie, and the text that primes it.
 CONTEXT = re.compile(r"passphrase|passw|pwd|secret|token|api.?key|access.?key|private.?key|authori[sz]|bearer|credential|signature", re.I | re.A)
-REACH, AROUND = 64, 512
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~.-]{16,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_=~.-]{16}")
+REACH, BACK, AROUND = 64, 32, 512
+#: Characters of a candidate; those under ``LONG`` need a digit and a letter, longer ones two kinds of characters.
+CANDIDATE, SHORT, LONG = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}"), 12, 16
 #: Names that code uses around secrets; strings made of them are no secrets.
 IDENTIFIERS = (
     "access_key access_token account administrator algorithm api_key application argument attribute authenticate "
@@ -46,15 +47,26 @@ IDENTIFIERS = (
     "update username utility validate value variable version www.example.com xxxxxxxxxxxxxxxx 0000000000000000 "
     "0123456789 1234567890 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ your_api_key_here changeme"
 )
-_PARAMS = zstandard.ZstdCompressionParameters.from_level(19, window_log=12, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+#: The window holds identifiers, neighbourhood and a long candidate; small tables, as both are small.
+_PARAMS = zstandard.ZstdCompressionParameters.from_level(19, window_log=17, hash_log=13, chain_log=14, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0)
+
+
+def _packed(raw: bytes, primer: str) -> int:
+    known = zstandard.ZstdCompressionDict(primer.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(dict_data=known, compression_params=_PARAMS).compress(raw))
+
+
+_FRAME = _packed(b"", IDENTIFIERS)
 
 
 def novelty(candidate: str, around: str) -> float:
     """Bytes that the candidate adds to its primed frame, over its own bytes."""
-    primer = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + around).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    pack = zstandard.ZstdCompressor(dict_data=primer, compression_params=_PARAMS)
-    raw = candidate.encode()
-    return (len(pack.compress(raw)) - len(pack.compress(b""))) / len(raw)
+    raw = candidate.encode("utf-8", "surrogatepass")
+    return (_packed(raw, IDENTIFIERS + " " + around) - _FRAME) / max(len(raw), 1)
+
+
+def _novelty_at(text: str, a: int, b: int) -> float:
+    return novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND])
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -63,42 +75,76 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return spans + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def novel_spans(text: str, taken: Sequence[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str]]:
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Mixed strings in sensitive places, each once; a sensitive word inside a string cuts it. Linear in the text."""
+    context = [m.span() for m in CONTEXT.finditer(text)]
+    if not context:
+        return
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(context) and context[at][1] + REACH <= m.start():
+            at += 1
+        if at == len(context):
+            return
+        if context[at][0] - BACK >= m.end():
+            continue
+        start, inside = m.start(), at
+        while inside < len(context) and context[inside][0] < m.end():
+            if context[inside][0] >= start:
+                yield from _mixed(text, start, context[inside][0])
+            start, inside = max(start, context[inside][1]), inside + 1
+        yield from _mixed(text, start, m.end())
+
+
+def _mixed(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    own = text[a:b]
+    a, b = a + len(own) - len(own.lstrip("+/_=~.-")), b - (len(own) - len(own.rstrip("+/_=~.-"))) if own.strip("+/_=~.-") else a
+    if b - a < SHORT:
+        return
+    own = text[a:b]
+    digit, lower, upper = (any(f(c) for c in own) for f in (str.isdigit, str.islower, str.isupper))
+    if digit and (lower or upper) or b - a >= LONG and lower and upper:
+        yield a, b
+
+
+def novel_spans(text: str, taken: Sequence[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str, float]]:
     """Incompressible candidates near a sensitive word that overlap no given span."""
-    found: dict[int, tuple[int, int, str]] = {}
-    for m in CONTEXT.finditer(text):
-        at, until = m.end(), m.end() + REACH
-        while (c := _RUN.search(text, at, until + 15)) and c.start() < until:
-            a, b = c.start(), CANDIDATE.match(text, c.start()).end()
-            at = b
-            own = text[a:b]
-            classes = sum(any(f(x) for x in own) for f in (str.isdigit, str.islower, str.isupper))
-            if a in found or classes < 2 or any(s < b and a < e for s, e, _ in taken):
-                continue
-            if novelty(own, text[max(0, a - AROUND) : a] + text[b : b + AROUND]) >= threshold:
-                found[a] = (a, b, "novel")
-    return list(found.values())
-
-
-def digest(spans: list[tuple[int, int, str]]) -> str:
-    """kind:start:end by start, then by kind as listed; comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]))))
+    found = []
+    ends, starts, until = [], [], 0
+    for a, b, _ in sorted(taken):  # disjoint unions of the given spans
+        if starts and a <= until:
+            ends[-1] = until = max(until, b)
+        else:
+            starts.append(a)
+            ends.append(until := b)
+    for a, b in candidates(text):
+        i = bisect_left(ends, a + 1)
+        if i < len(starts) and starts[i] < b:
+            continue
+        new = _novelty_at(text, a, b)
+        if new >= threshold:
+            found.append((a, b, "novel", new))
+    return found
+
+
+def spans_of(text: str, threshold: float) -> list[tuple[int, int, str, float]]:
+    """All spans with their novelty, by start and then by kind as listed."""
+    base = base_spans(text)
+    every = [(a, b, k, _novelty_at(text, a, b)) for a, b, k in base] + novel_spans(text, base, threshold)
+    return sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
 def scan(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, spans): spans is an array of (kind, start, end) in code points, ends exclusive.
+    """(doc_id, spans): spans is an array of (kind, start, end, novelty) in code points, ends exclusive.
 
-    Every row gives a row, with an empty array for null, empty or clean texts; repeated rows repeat.
+    Every row gives a row, with an empty array for null, empty or clean texts; repeated rows repeat; spans that begin
+    at one place stand in the order of their kinds; very long texts are read whole, in time that grows with their
+    length; an empty table gives an empty result; other columns don't take part, whatever their names.
     """
-    one = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    one = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("novelty", T.DoubleType())])
 
     def kernel(texts: list[str]) -> dict:
-        out = []
-        for t in texts:
-            base = base_spans(t)
-            every = sorted(base + novel_spans(t, base, threshold), key=lambda s: (s[0], KINDS.index(s[2])))
-            out.append([{"kind": k, "start": a, "end": b} for a, b, k in every])
-        return {"spans": out}
+        return {"spans": [[{"kind": k, "start": a, "end": b, "novelty": new} for a, b, k, new in spans_of(t, threshold)] for t in texts]}
 
     return per_document(docs, kernel, [field("spans", T.ArrayType(one))])
 
@@ -106,13 +152,13 @@ def scan(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = 0.9, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each secret's span replaced by ``mark``; n_chars, if there, follows. Other rows are untouched.
 
-    Of overlapping spans the union is replaced. A null text stays null.
+    Of overlapping spans the union is replaced. A null text stays null, an empty one empty; repeated rows repeat; an
+    empty table gives an empty result; other columns stay as they are, whatever their names.
     """
 
     def clean(t: str) -> str:
-        base = base_spans(t)
         out, at = [], 0
-        for a, b, _ in sorted(base + novel_spans(t, base, threshold)):
+        for a, b, *_ in spans_of(t, threshold):
             if b > at:
                 out += [t[at:a], mark] if a >= at else []
                 at = b
@@ -126,12 +172,9 @@ def redact(docs: DataFrame, threshold: float = 0.9, mark: str = "[SECRET]") -> D
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The digest columns of a scan: counts by kind, sha256 of the base spans, all spans as text."""
+    """The digest columns of a scan: counts by kind, sha256 of the base spans, all spans and their novelty as text."""
     text = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = text(F.filter("spans", lambda s: s["kind"] != "novel"))
-    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), n("novel").alias("n_novel"))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    new = F.array_join(F.transform("spans", lambda s: F.format_number(s["novelty"], 3)), ",")
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(base, 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), n("novel").alias("n_novel"), new.alias("novelty"))
