@@ -73,24 +73,22 @@ def _quote(text: str) -> str:
 
 def _license_sql() -> str:
     known = "MAP {" + ", ".join(f"{_quote(s)}: {_quote(i)}" for s, i in licenses.SENTENCES.items()) + "}"
-    seq, cases = "seq", []
-    for name, rule in licenses.RULES:
-        text = _quote("".join(f";{i};" for i in rule))
-        cases.append(f"CASE WHEN contains({seq}, {text}) THEN {_quote(name)} END")
-        seq = f"replace({seq}, {text}, '#')"
+    texts = [(name, _quote("".join(f";{i};" for i in rule))) for name, rule in licenses.RULES]
+    steps = ", ".join(f"replace(s{i}, {t}, '#') AS s{i + 1}" for i, (_, t) in enumerate(texts))
+    cases = ", ".join(f"CASE WHEN contains(s{i}, {t}) THEN {_quote(name)} END" for i, (name, t) in enumerate(texts))
+    known_as = lambda c: f"{known}[trim(regexp_replace({c}, {_quote(licenses.OTHER)}, ' ', 'g'))]"
     return f"""
 WITH cut AS (
-  SELECT doc_id, list_transform(
-    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quote(licenses.SENTENCE_END)}),
-    lambda s: trim(regexp_replace(s, {_quote(licenses.OTHER)}, ' ', 'g'))) AS plain
+  SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quote(licenses.SENTENCE_END)}) AS pieces
   FROM documents
 ), ids AS (
-  SELECT doc_id, list_filter(list_transform(plain, lambda s: {known}[s]), lambda i: i IS NOT NULL) AS ids FROM cut
+  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN {known_as('p')} IS NOT NULL THEN [{known_as('p')}]
+    ELSE list_transform(CASE WHEN contains(p, chr(10)) THEN string_split(p, chr(10)) ELSE [] END, lambda s: {known_as('s')}) END)), lambda i: i IS NOT NULL) AS ids FROM cut
 ), seqs AS (
-  SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS seq FROM ids
+  SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS s0, {steps} FROM ids
 )
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
-       array_to_string(list_sort(list_distinct(list_filter([{", ".join(cases)}], lambda x: x IS NOT NULL))), ',') AS licenses
+       array_to_string(list_sort(list_distinct(list_filter([{cases}], lambda x: x IS NOT NULL))), ',') AS licenses
 FROM seqs"""
 
 
@@ -113,7 +111,7 @@ FROM words LEFT JOIN docs USING (r)"""
 
 _MIX_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 9))::BIGINT AS h,
+  SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS h,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
   FROM documents
 ), sources AS (
@@ -130,13 +128,14 @@ WITH sized AS (
 ), passes AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS passes FROM goals
 ), ids AS (
-  SELECT s.source, h, sum(size) AS n, any_value(target - passes * source_size) AS rest
+  SELECT s.source, h, sum(size) AS n, count(*) AS c, any_value(target - passes * source_size) AS rest
   FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source GROUP BY s.source, h
 ), upto AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY h) AS u FROM ids),
-edge AS (SELECT source, arg_min(h, h) AS h0, arg_min(n, h) AS n, arg_min(rest - u + n, h) AS rest FROM upto WHERE u > rest GROUP BY source)
+edge AS (SELECT source, min(h) AS h0, floor(arg_min((rest - u + n) * c / n, h) + 0.5::DOUBLE) AS k FROM upto WHERE u > rest GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source, h ORDER BY doc_id) AS r FROM sized)
 SELECT doc_id, size, p.source_size, target,
-       (size * least(passes + (h0 IS NOT NULL AND h < h0 + (n < 2 * e.rest)::INT)::INT, 3))::BIGINT AS taken
-FROM sized s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN edge e ON s.source IS NOT DISTINCT FROM e.source"""
+       (size * least(passes + coalesce((h < h0)::INT + (h = h0 AND r <= k)::INT, 0), 3))::BIGINT AS taken
+FROM ranked s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN edge e ON s.source IS NOT DISTINCT FROM e.source"""
 
 
 def oracle_sql() -> dict[str, str]:
