@@ -150,13 +150,35 @@ def test_split_nodes_lose_nothing(spark, leaves):
     assert {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs, max_leaves=leaves).collect()} == want
 
 
+def test_texts_of_few_words_are_linked_exactly(spark):
+    """Up to 13 shingles, all links that plain comparison finds, however coarse their fingerprints."""
+    rng, texts = np.random.default_rng(4), {}
+    for g in range(60):
+        base = text(5000 + g, int(rng.integers(5, 18))).split()
+        for v in range(5):
+            w = list(base)
+            for _ in range(v % 3):
+                kind = int(rng.integers(3))
+                at = int(rng.integers(len(w))) if kind else int(rng.integers(2)) * len(w)
+                w[at:at] = ["new"] if kind == 0 else []
+                if kind == 1 and len(w) > 5:
+                    del w[0 if at % 2 else -1]
+                if kind == 2:
+                    w[0 if at % 2 else -1] = f"edit{v}"
+            texts[10 * g + v] = " ".join(w[:17])
+    rows = [(i, t, "a") for i, t in texts.items()]
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_documents(table(spark, rows)).collect()}
+    want = plain_groups(texts)
+    assert got == want and 60 < len(set(want.values())) < 240
+
+
 def reachable_groups(texts):
     """Groups by all pairs that are similar and whose fingerprints are near in a section and as a whole."""
     ids = sorted(texts)
     sets = [simhash_similar.shingle_set(texts[i])[1] for i in ids]
     fp = np.stack([np.frombuffer(simhash_similar.wide_fingerprint(h), np.uint8) for h in sets])
     bits = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(int)
-    near = (bits.reshape(len(ids), len(ids), 16, 3).sum(-1) <= 2).any(-1) & (bits.sum(-1) <= simhash_similar._expected_bits(0.8, 2.5))
+    near = (bits.reshape(len(ids), len(ids), 16, 3).sum(-1) <= 2).any(-1) & (bits.sum(-1) <= simhash_similar._expected_bits(0.8, simhash_similar.SPREAD))
     root = {i: i for i in ids}
     for a, b in np.argwhere(near).tolist():
         both = len(np.intersect1d(sets[a], sets[b]))
