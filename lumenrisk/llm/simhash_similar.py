@@ -10,9 +10,10 @@ A section is walked in three rotations by bytes: paths that differ in at most tw
 bytes, so that byte is the key by which Spark deals the leaves. A node with too many leaves is taken a byte further
 down in Spark, as pairs of its children.
 
-The first walk sends a spanning forest of the near pairs to the exact check, which joins most of a group at little
-cost. Later walks take the parts that the check has joined and send it every near pair between two parts: a share of
-them first, chosen by a hash of the pair, and at last the rest, so no near pair between parts stays unchecked.
+The walk sends a spanning forest of the near pairs to the exact check, which joins most of a group at little cost.
+An edge of it that fails can hide a link between other members of the group. So every group of near fingerprints that
+the check leaves in several parts is compared as a whole: its shingle sets are dealt in pairs of blocks, shared
+shingles are counted for all pairs of two blocks at once, and what goes on is a spanning forest of the true links.
 
 Fingerprints of few shingles are coarse. Texts of at most 13 distinct shingles are therefore also linked exactly: sets
 of a similarity of 0.8 become equal when at most two shingles of each are left out, so they meet at a common subset.
@@ -49,8 +50,8 @@ SMALL_NODE = 64
 HUB_LINKS = 256
 #: Distinct shingles up to which texts are also linked through common subsets; standard deviations that bits may lie apart.
 FEW, SPREAD = 13, 3.5
-#: Shares of the near pairs between parts, by hash, up to which each later walk goes.
-SHARES = (1 / 256, 1 / 16, 1)
+#: Texts and bytes of shingles in a block of a group, and texts from which a shingle is counted by matrix product.
+BLOCK_NODES, BLOCK_BYTES, DENSE = 1024, 16 << 20, 32
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP = 0x9E3779B97F4A7C15
 _SEEDS = np.array([(i * _STEP) & (1 << 64) - 1 for i in range(1, WORDS + 1)], np.uint64)
@@ -157,11 +158,6 @@ def _crossed(a0: np.ndarray, na: np.ndarray, b0: np.ndarray, nb: np.ndarray) ->
         yield a0[r] + k // nb[r], b0[r] + k % nb[r]
 
 
-def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of two nodes whatever their order."""
-    return mix64(np.minimum(a, b).view(np.uint64) + mix64(np.maximum(a, b).view(np.uint64)))
-
-
 class Walker:
     """Links of one chunk of trie nodes: document pairs whose paths stay in the budget and whose fingerprints are near."""
 
@@ -233,27 +229,6 @@ class Walker:
             x, y = np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
         return at, n, two, x, y
 
-    def apart(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, part: np.ndarray, share: tuple[float, float]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All near pairs between two parts whose hash lies in ``share``. The rows of a leaf are sorted by part."""
-        at, n, two, x, y = self.leaves(group, tail, lo, hi)
-        leaf = np.repeat(np.arange(len(at)), n)
-        run = np.concatenate(([0], np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0)) + 1))
-        rows = np.diff(np.append(run, len(part)))
-        first = np.searchsorted(run, at)
-        runs = np.diff(np.append(first, len(run)))
-        own = np.flatnonzero(~two & (runs > 1))  # leaves of one side have met in the child's own group
-        x, y = np.concatenate([own, np.minimum(x, y)]), np.concatenate([own, np.maximum(x, y)])
-        least, most = (np.uint64(min(int(v * 2.0**64), 2**64 - 1)) for v in share)
-        for i, j in _crossed(first[x], runs[x], first[y], runs[y]):
-            ok = (i < j) & (part[run[i]] != part[run[j]])
-            for a, b in _crossed(run[i[ok]], rows[i[ok]], run[j[ok]], rows[j[ok]]):
-                h = pair_hash(node[a], node[b])
-                own = (h >= least) & ((h < most) | (share[1] >= 1))
-                a, b = a[own], b[own]
-                near = self.distance(a, b) <= self.far
-                if near.any():
-                    yield a[near], b[near]
-
     def links(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A spanning forest of the near pairs."""
         at, n, two, x, y = self.leaves(group, tail, lo, hi)
@@ -280,23 +255,20 @@ class Walker:
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
-def _walk_sections(far: int, clear: int, share: tuple[float, float] | None = None):
+def _walk_sections(far: int, clear: int):
     """Arrow kernel over rows (byte, head, lo, hi, node, fp) sorted by the first four; lo and hi are the children of a
-    split node, -1 where a node is whole. With ``share`` the rows have their part, and all near pairs between parts
-    are given that it takes, else a spanning forest."""
+    split node, -1 where a node is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(byte: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(byte: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             rows, first = np.arange(len(byte)), byte - byte % 3
             tail = (fp[rows, first + (byte + 1) % 3].astype(np.int64) << 8) | fp[rows, first + (byte + 2) % 3]
             keys = np.stack([byte, head, lo, hi], axis=1)
             group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
-            order = np.lexsort((node, part, tail, group))
-            walker = Walker(np.ascontiguousarray(fp[order]), far, clear)
-            place, node, part = (group[order], tail[order], lo[order], hi[order]), node[order], part[order]
-            for x, y in walker.apart(*place, node, part, share) if share else [walker.links(*place)]:
-                a, b = node[x], node[y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+            order = np.lexsort((node, tail, group))
+            x, y = Walker(np.ascontiguousarray(fp[order]), far, clear).links(group[order], tail[order], lo[order], hi[order])
+            a, b = node[order][x], node[order][y]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
         held: list[tuple] = []
         n = 0
@@ -304,8 +276,8 @@ def _walk_sections(far: int, clear: int, share: tuple[float, float] | None = Non
             if not b.num_rows:
                 continue
             fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, BYTES)
-            byte, lo, hi, node, part = (b.column(c).to_numpy().astype(np.int64) for c in ("byte", "lo", "hi", "node", "part" if share else "node"))
-            held.append((byte, fp[np.arange(len(byte)), byte].astype(np.int64), lo, hi, node, part, fp))
+            byte, lo, hi, node = (b.column(c).to_numpy().astype(np.int64) for c in ("byte", "lo", "hi", "node"))
+            held.append((byte, fp[np.arange(len(byte)), byte].astype(np.int64), lo, hi, node, fp))
             n += b.num_rows
             if n < HELD_ROWS:
                 continue
@@ -313,23 +285,19 @@ def _walk_sections(far: int, clear: int, share: tuple[float, float] | None = Non
             last = np.flatnonzero(np.any([c != c[-1] for c in whole[:4]], axis=0))
             cut = last[-1] + 1 if len(last) else 0  # the last node may go on
             if cut:
-                yield from work(*[c[:cut] for c in whole])
+                yield work(*[c[:cut] for c in whole])
             held, n = [tuple(c[cut:] for c in whole)], n - cut
         if n:
-            yield from work(*[np.concatenate(c) for c in zip(*held, strict=True)])
+            yield work(*[np.concatenate(c) for c in zip(*held, strict=True)])
 
     return run
 
 
-def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES, share: tuple[float, float] | None = None) -> DataFrame:
-    """(src, dst): for every group of near fingerprints a spanning forest of its nearest pairs, by section.
-
-    With ``share``, ``distinct`` has a part, and these are all near pairs between two parts whose hash is in ``share``.
-    """
-    more = ["part"] if share else []
+def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES) -> DataFrame:
+    """(src, dst): for every group of near fingerprints a spanning forest of its nearest pairs, by section."""
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("byte"), "node", "fp", *more)
-    rows = rows.select("byte", F.expr("substring(fp, byte + 1, 1)").alias("head"), "node", "fp", *more)
+    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("byte"), "node", "fp")
+    rows = rows.select("byte", F.expr("substring(fp, byte + 1, 1)").alias("head"), "node", "fp")
     whole = F.lit(-1)
     big = staged(rows.groupBy("byte", "head").count().where(F.col("count") > max_leaves).select("byte", "head", F.lit(True).alias("split")), "wide-nodes")
     if big.isEmpty():
@@ -342,11 +310,89 @@ def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEA
         rows = rows.withColumn("mask", F.explode(F.when(F.col("split"), masks).otherwise(F.array(F.lit(0)))))
         other = F.col("below").bitwiseXOR(F.col("mask"))
         pick = lambda c: F.when(F.col("split"), c).otherwise(whole)
-        rows = rows.select("byte", "head", "node", "fp", *more, pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
+        rows = rows.select("byte", "head", "node", "fp", pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
     keys = ["byte", "head", "lo", "hi"]
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp", *more)
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp")
     far, clear = _expected_bits(similarity, SPREAD), _expected_bits((1 + similarity) / 2, 0)
-    return dealt.mapInArrow(_walk_sections(far, clear, share), "src long, dst long").distinct()
+    return dealt.mapInArrow(_walk_sections(far, clear), "src long, dst long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share: common shingles by a product of 0-1 matrices, others by their pairs."""
+    m = len(sets)
+    both = np.zeros((m, m), np.float32)
+    owner = np.repeat(np.arange(m), [len(h) for h in sets])
+    h = np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    n = np.diff(np.append(at, len(h)))
+    few = (n > 1) & (n <= DENSE)
+    for a, b in _crossed(at[few], n[few], at[few], n[few]):
+        np.add.at(both, (owner[a], owner[b]), 1)
+    many = np.flatnonzero(n > DENSE)
+    for i in range(0, len(many), 4096):
+        column = many[i : i + 4096]
+        has = np.zeros((m, len(column)), np.float32)
+        rows = np.concatenate([owner[at[c] : at[c] + n[c]] for c in column])
+        has[rows, np.repeat(np.arange(len(column)), n[column])] = 1
+        both += has @ has.T
+    return both
+
+
+def _across(similarity: float):
+    """Arrow kernel over rows (comp, lo, hi, node, part, shingles) sorted by the first three, which name a pair of
+    blocks: a spanning forest of all links between different parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            node, part = (np.array([r[i] for r in rows], np.int64) for i in (3, 4))
+            if len(set(part.tolist())) < 2:
+                return
+            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            size = np.array([len(h) for h in sets], np.float32)
+            both = shared_counts(sets)
+            # as float32 counts are whole numbers up to 2 ** 24; the test itself is in double
+            x, y = np.nonzero(np.triu(both >= 0.99 * similarity * (size[:, None] + size - both), 1) & (part[:, None] != part))
+            b = both[x, y].astype(float)
+            ok = b >= similarity * (size[x].astype(float) + size[y] - b)
+            a, b = forest(node[x[ok]], node[y[ok]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if held and held[-1][:3] != row[:3]:
+                    yield from work(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield from work(held)
+
+    return run
+
+
+def links_across(near: DataFrame, edges: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links between the parts of each group of near texts that ``linked`` leaves in several parts.
+
+    near: the nodes of ``edges``. A large group is cut into blocks by a hash, and each two of them are compared, so
+    no task holds more than two blocks.
+    """
+    n = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    group = components(edges)
+    rows = near.join(group, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+    rows = rows.join(linked, "node", "left").select("node", "comp", F.coalesce("root", "node").alias("part"))
+    rows = staged(rows, "near-parts")
+    unstaged(group)
+    open_ = rows.groupBy("comp").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("comp")
+    rows = rows.join(open_, "comp").join(sets, "node")
+    size = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).alias("blocks"))
+    rows = rows.join(size, "comp").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    keys = ["comp", "lo", "hi"]
+    rows = rows.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "part", "shingles")
+    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, "node")
+    return dealt.mapInArrow(_across(similarity), "src long, dst long").distinct()
 
 
 def _checked(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -412,23 +458,16 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     sets = staged(_sets(docs, nodes, distinct, shingle), "shingles")
     links = staged(verified(edges, sets, similarity).unionByName(few_links(distinct, similarity)), "near-links")
-    # a pair that the first walk passed over has a link at both ends, so the other nodes need no further walk
-    near = staged(distinct.join(nodes, "node", "left_semi").select("node", "fp"), "wide-near")
-    unstaged(edges)
-    linked, walks = components(links), [links]
-    for share in zip((0, *SHARES), SHARES, strict=False):
-        parts = near.join(linked, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("part"))
-        edges = staged(candidates(parts, similarity, max_leaves, share), "wide-links")
-        more = staged(verified(edges, sets, similarity), "near-links")
-        unstaged(edges)
-        walks.append(more)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            unstaged(linked)
-            linked = components(links)
+    near = staged(nodes, "wide-near")
+    linked = components(links)
+    more = staged(links_across(near, edges, linked, sets, similarity), "near-links")
+    tables = [edges, near, sets, links, more]
+    if not more.isEmpty():
+        unstaged(linked)
+        linked = components(links.unionByName(more))
     linked_all = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     inside = staged(distinct.select("node", "least").join(linked_all, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
-    for gone in (linked, near, sets, *walks):
+    for gone in (linked, *tables):
         unstaged(gone)
     ids = inside.groupBy("root").agg(F.min("least").alias("component_id"))
     known = inside.join(ids, "root").select("node", "root", "component_id")
