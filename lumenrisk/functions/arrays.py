@@ -140,7 +140,7 @@ def cgc_layer(token: Column, patches: Column, k: int = 5, pct: float = 0.0, weig
     return mean(top_values(cos, n))
 
 
-def atarget_visual(states: Column, positions: Column, target_dist: Column, embedding: Column, start: int, end: int, k: int = 32) -> Column:
+def atarget_visual(states: Column, positions: Column, target_dist: Column, embedding: Column, start: Column | int, end: Column | int, k: int = 32) -> Column:
     """Mean cosine of the target embedding with the k likeliest supports inside the visual range; 0 without any."""
     inside = F.filter(F.transform(positions, lambda p, i: F.when((p >= start) & (p < end), F.struct((-F.get(target_dist, i)).alias("w"), i.alias("i")))), lambda s: s.isNotNull())
     best = F.slice(F.array_sort(inside), F.lit(1), F.lit(k))
@@ -180,11 +180,11 @@ def argmax(v: Column) -> Column:
 
 
 def band_means(v: Column, bands: list[tuple[int, int]]) -> Column:
-    """Struct of (band, mean) for the bands that hold a layer; ends are cut to the number of layers."""
+    """Struct of (band, mean) for the bands that hold a layer; ends are cut to the number of layers. Names count from 1."""
     parts = []
     for a, b in bands:
         cut = F.slice(v, F.lit(a + 1), F.greatest(F.least(F.lit(b), F.size(v)) - a, F.lit(0)))
-        parts.append(F.struct(F.lit(f"{a}-{b}").alias("band"), F.when(F.size(cut) > 0, mean(cut)).alias("value")))
+        parts.append(F.struct(F.lit(f"{max(a, 1)}-{b}").alias("band"), F.when(F.size(cut) > 0, mean(cut)).alias("value")))
     return F.array(*parts)
 
 

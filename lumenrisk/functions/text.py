@@ -7,15 +7,30 @@ from pyspark.sql import functions as F
 
 QUESTION = r"(?i)Is there (?:a|an)\s+(.+?)\s+in the image"
 #: A token of the default tokenizer: a run of word characters, or one other mark.
-TOKEN = r"\w+|[^\w\s]"
+TOKEN = r"(?U)\w+|[^\w\s]"
 MENTION = r"[a-z]+(?:'[a-z]+)?"
-PROMPTS = {"_default": "USER: <image>\n{question} Please answer yes or no. ASSISTANT:"}
+# The question templates by model, and the one of all others.
+PROMPTS = {
+    "llava_1_5_7b": "USER: <image>\n{question}\nAnswer the question using a single word or phrase.\nASSISTANT:",
+    "llava_next_7b": "[INST] <image>\n{question}\nAnswer the question using a single word or phrase. [/INST]",
+    "_default": "{question}\nAnswer the question using a single word or phrase.",
+}
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def quoted(word: Column) -> Column:
+    """A pattern that matches the word itself."""
+    return F.regexp_replace(word, r"([^\p{L}\p{N}\s])", r"\\$1")
 
 
 def yes_no(text: Column) -> Column:
     """yes, no or unknown: by the first word, else by the first of yes, no that the text contains."""
-    low = F.lower(F.trim(text))
-    word = F.regexp_replace(F.get(F.split(low, r"\s+"), F.lit(0)), "[^a-z]", "")
+    low = F.lower(strip(text))
+    word = F.regexp_replace(F.get(F.split(low, r"(?U)\s+"), F.lit(0)), "[^a-z]", "")
     return (
         F.when(word.isin("yes", "no"), word).when(low.contains("yes"), "yes").when(low.contains("no"), "no").otherwise("unknown")
     )
@@ -46,7 +61,7 @@ def reply_labels(reply: Column) -> Column:
 
 
 def render_prompt(objects: Column, captions: Column) -> Column:
-    return F.format_string("Objects: %s\nCaptions:\n%s", F.to_json(objects), F.array_join(F.transform(captions, lambda c: F.concat(F.lit("- "), F.trim(c))), "\n"))
+    return F.format_string("Objects: %s\nCaptions:\n%s", F.to_json(objects), F.array_join(F.transform(captions, lambda c: F.concat(F.lit("- "), strip(c))), "\n"))
 
 
 def pope_prompt(model: Column, question: Column, prompts: dict[str, str] = PROMPTS) -> Column:
@@ -72,8 +87,7 @@ def token_spans(rows: DataFrame, id_col: str = "image_id") -> DataFrame:
     text, so where the first match lies outside, all do. Words are matched without regard to case on the original
     text, so that offsets are its own.
     """
-    quoted = F.concat(F.lit(r"(?i)\b\Q"), F.col("word"), F.lit(r"\E\b"))
-    pieces = F.split(F.col("text"), quoted, 2)
+    pieces = F.split(F.col("text"), F.concat(F.lit(r"(?iU)\b"), quoted(F.col("word")), F.lit(r"\b")), 2)
     found = rows.where(F.length("word") > 0).select(id_col, "text", "word", "label", "n_ids", pieces.alias("pieces")).where(F.size("pieces") > 1)
     before = F.get("pieces", F.lit(0))
     surface = F.substring(F.col("text"), F.length(before) + 1, F.length("word"))
@@ -123,7 +137,7 @@ def adapter_mentions(text: Column, spans: Column) -> Column:
 
 def object_position(text: Column, word: Column) -> Column:
     """Tokens before the word as a whole word, else as a substring; null where it doesn't occur."""
-    whole = F.regexp_instr(text, F.concat(F.lit(r"(?i)\b\Q"), word, F.lit(r"\E\b")))
+    whole = F.regexp_instr(text, F.concat(F.lit(r"(?iU)\b"), quoted(word), F.lit(r"\b")))
     plain = F.position(F.lower(word), F.lower(text))
     at = F.when(whole > 0, whole).otherwise(plain)
     return F.when(at > 0, n_tokens(F.substring(text, F.lit(1), at - 1)))

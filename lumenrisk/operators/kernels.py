@@ -25,17 +25,23 @@ def probability(x: np.ndarray) -> np.ndarray:
 def transport(source: np.ndarray, target: np.ndarray, cost: np.ndarray, solver: str = "linprog") -> float:
     """Exact discrete optimal transport by successive shortest paths with potentials.
 
-    Both named solvers have the same optimum, so the name is only checked.
+    Both named solvers have the same optimum, so the name is only checked. Where staying is free, equal distributions
+    cost nothing and two points have a closed form. A flow that can't be completed is an error, never a partial cost.
     """
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}")
     supply, demand = probability(source), probability(target)
     c = np.maximum(np.nan_to_num(np.asarray(cost, float), nan=1e6, posinf=1e6, neginf=1e6), 0.0)
     n, m, eps = len(supply), len(demand), 1e-13
+    if n == m and not c.diagonal().any():
+        if (supply == demand).all():
+            return 0.0
+        if n == 2:
+            return float(max(supply[0] - demand[0], 0) * c[0, 1] + max(demand[0] - supply[0], 0) * c[1, 0])
     flow, u, v = np.zeros((n, m)), np.zeros(n), np.zeros(m)
     for _ in range(50 * (n + m)):
         if supply.max(initial=0) <= eps or demand.max(initial=0) <= eps:
-            break
+            return float((flow * c).sum())
         ds, dt = np.where(supply > eps, 0.0, np.inf), np.full(m, np.inf)
         via_t, via_s = np.full(m, -1), np.full(n, -1)
         seen_s, seen_t = np.zeros(n, bool), np.zeros(m, bool)
@@ -45,7 +51,7 @@ def transport(source: np.ndarray, target: np.ndarray, cost: np.ndarray, solver:
             i, j = int(a.argmin()), int(b.argmin())
             if a[i] <= b[j]:
                 if a[i] == np.inf:
-                    return float((flow * c).sum())
+                    raise ArithmeticError("no path is left although mass is")
                 seen_s[i] = True
                 near = a[i] + reduced[i]
                 better = ~seen_t & (near < dt)
@@ -71,7 +77,7 @@ def transport(source: np.ndarray, target: np.ndarray, cost: np.ndarray, solver:
             flow[x, y] += sign * move
         supply[s] -= move
         demand[j] -= move
-    return float((flow * c).sum())
+    raise ArithmeticError("the transport did not settle")
 
 
 def cost_matrix(states: np.ndarray, s: np.ndarray, t: np.ndarray, mode: str, ld: float = 1, ls: float = 1, lt: float = 1, lint: float = 1) -> np.ndarray:
@@ -83,26 +89,46 @@ def cost_matrix(states: np.ndarray, s: np.ndarray, t: np.ndarray, mode: str, ld:
     return cost + ls * s[:, None] + lt * t[None, :] if mode == "direct" else cost
 
 
-def layer_risk(states: np.ndarray, source: np.ndarray, target: np.ndarray, semantic: np.ndarray, top_k: int = 64, mode: str = "direct", solver: str = "linprog") -> tuple[float, int]:
-    """Transport risk of a layer over the union of both distributions' top supports, and that union's size."""
+def layer_risk(states: np.ndarray, source: np.ndarray, target: np.ndarray, semantic: np.ndarray, top_k: int = 64, mode: str = "direct", solver: str = "linprog", lambdas: tuple[float, float, float, float] = (1, 1, 1, 1)) -> tuple[float, int]:
+    """Transport risk of a layer over the union of both distributions' top supports, and that union's size.
+
+    lambdas: weights of distance, source penalty, target penalty and interaction. The separable penalties of the
+    direct mode are fixed by the marginals, so they are added to the transport of the rest.
+    """
+    if mode not in COST_MODES:
+        raise ValueError(f"unknown cost mode {mode!r}")
     half = max(1, top_k // 2)
     top = lambda d: np.argsort(-d, kind="stable")[:half]
     keep = np.union1d(top(source), top(target))
     penalty = np.maximum(0.0, 1 - semantic[keep])
-    return transport(probability(source[keep]), probability(target[keep]), cost_matrix(states[keep], penalty, penalty, mode), solver), len(keep)
+    a, b = probability(source[keep]), probability(target[keep])
+    ld, ls, lt, lint = lambdas
+    risk = transport(a, b, cost_matrix(states[keep], penalty, penalty, "decomposed", ld, ls, lt, lint), solver)
+    return risk + (float(ls * a @ penalty + lt * b @ penalty) if mode == "direct" else 0.0), len(keep)
+
 
+def _matrices(column: pa.Array) -> list[np.ndarray]:
+    """Each row's array of arrays as a matrix, out of the column's flat values."""
+    inner = column.flatten()
+    values = inner.flatten().to_numpy(zero_copy_only=False).astype(float)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    wide = np.concatenate(([0], np.cumsum(inner.value_lengths().to_numpy(zero_copy_only=False))))
+    return [values[wide[b - n] : wide[b]].reshape(n, -1) for b, n in zip(ends, np.diff(np.append(0, ends)), strict=True)]
 
-def transport_risk(rows: DataFrame, top_k: int = 64, mode: str = "direct", solver: str = "linprog") -> DataFrame:
+
+def _vectors(column: pa.Array) -> list[np.ndarray]:
+    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1]) if len(column) else []
+
+
+def transport_risk(rows: DataFrame, top_k: int = 64, mode: str = "direct", solver: str = "linprog", lambdas: tuple[float, float, float, float] = (1, 1, 1, 1)) -> DataFrame:
     """``rows`` (support array<array<double>>, source_dist, target_dist, semantic) with risk and selected_support_size."""
     if mode not in COST_MODES or solver not in SOLVERS:
         raise ValueError("unknown cost mode or solver")
 
-    names = ("support", "source_dist", "target_dist", "semantic")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = zip(*[b.column(n).to_pylist() for n in names], strict=True)
-            got = [layer_risk(np.array(x, float), np.array(s, float), np.array(t, float), np.array(p, float), top_k, mode, solver) for x, s, t, p in each]
+            each = zip(_matrices(b.column("support")), *[_vectors(b.column(n)) for n in ("source_dist", "target_dist", "semantic")], strict=True)
+            got = [layer_risk(x, s, t, p, top_k, mode, solver, lambdas) for x, s, t, p in each]
             more = [pa.array([r for r, _ in got], pa.float64()), pa.array([k for _, k in got], pa.int32())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "risk", "selected_support_size"])
 
@@ -117,21 +143,30 @@ def layer_inputs(captures: DataFrame, tau: float = 0.07) -> DataFrame:
     return captures.withColumns({"source_dist": A.temperature_softmax(update, tau), "target_dist": A.renormalize(weights)})
 
 
-def layer_stats(captures: DataFrame, tau: float = 0.07, top_k: int = 64, mode: str = "direct") -> DataFrame:
-    """One row a layer: risk, prompt cosine, visual cosine, context confidence, support sizes."""
-    rows = transport_risk(layer_inputs(captures, tau), top_k, mode)
-    positions = F.transform("support", lambda s, i: i)
-    visual = A.atarget_visual(F.col("support"), positions, F.col("target_dist"), F.col("target_embedding"), 0, 1 << 30)
-    rows = rows.withColumns({"prompt_cosine": A.cosine(F.col("update"), F.col("prompt")), "visual_cosine": visual, "support_size": F.size("support")})
+def layer_stats(captures: DataFrame, tau: float = 0.07, top_k: int = 64, mode: str = "direct", solver: str = "linprog", lambdas: tuple[float, float, float, float] = (1, 1, 1, 1), visual_k: int = 32) -> DataFrame:
+    """One row a layer: risk, cosines of the predicting state with the prompt's last and mean state, visual cosine,
+    context confidence, support sizes.
+
+    captures: update (the feed-forward output at the predicting position), state (the layer's output there), support
+    (states), positions, attention, semantic, prompt_last, prompt_mean, prompt_probabilities (of the target by prompt
+    position), target_embedding, visual_start, visual_end.
+    """
+    rows = transport_risk(layer_inputs(captures, tau), top_k, mode, solver, lambdas)
+    visual = A.atarget_visual(F.col("support"), F.col("positions"), F.col("target_dist"), F.col("target_embedding"), F.col("visual_start"), F.col("visual_end"), visual_k)
+    rows = rows.withColumns({
+        "prompt_last_cosine": A.cosine(F.col("state"), F.col("prompt_last")), "prompt_mean_cosine": A.cosine(F.col("state"), F.col("prompt_mean")),
+        "prompt_confidence": A.mean(A.top_values(F.col("prompt_probabilities"), 3)), "visual_cosine": visual, "support_size": F.size("support"),
+    })
     return rows.withColumn("context_confidence", F.col("prompt_confidence") * F.col("visual_cosine"))
 
 
 def span_features(layers: DataFrame, key: str, baseline_layers: int = 10, start_layer: int = 15, alpha: float = 2.0) -> DataFrame:
-    """By span: the per-layer curves in layer order, the excess score and the feature vector."""
-    names = ("risk", "prompt_cosine", "visual_cosine", "context_confidence")
-    packed = layers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", *names))).alias("s"))
-    curves = packed.select(key, *[F.col(f"s.{n}").alias(n) for n in names])
-    vector = A.feature_vector(*[F.col(n) for n in names])
+    """By span: the per-layer curves in layer order, the excess score and the feature vector of four blocks: risk,
+    cosine with the prompt's last state, with its mean, context confidence."""
+    blocks = ("risk", "prompt_last_cosine", "prompt_mean_cosine", "context_confidence")
+    packed = layers.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", *blocks, "visual_cosine"))).alias("s"))
+    curves = packed.select(key, *[F.col(f"s.{n}").alias(n) for n in (*blocks, "visual_cosine")])
+    vector = A.feature_vector(*[F.col(n) for n in blocks])
     return curves.select("*", A.baseline_excess(F.col("risk"), baseline_layers, start_layer, alpha).alias("score"), vector.alias("feature_vector"))
 
 
@@ -155,7 +190,7 @@ def components(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
 
 
 def dispersion(attention: np.ndarray, pct: float = 0.1, connectivity: int = 8, min_area: int = 3) -> float:
-    """(1 - mass in connected foreground blobs) x normalised entropy of the background."""
+    """(1 - mass in connected foreground blobs) x entropy of the background over log of the number of patches."""
     a = np.asarray(attention, float)
     n = len(a)
     a = a - a.min()
@@ -169,7 +204,7 @@ def dispersion(attention: np.ndarray, pct: float = 0.1, connectivity: int = 8, m
     entropy = 0.0
     if len(back) >= 2 and back.sum() > 0:
         q = np.maximum(back / back.sum(), 1e-12)
-        entropy = float(-(q * np.log(q)).sum() / np.log(len(back)))
+        entropy = float(-(q * np.log(q)).sum() / np.log(n))
     h = max(d for d in range(1, int(n**0.5) + 1) if n % d == 0)
     label = components(fore.reshape(h, n // h), connectivity).ravel()
     ids, area = np.unique(label[label > 0], return_counts=True)
@@ -185,6 +220,22 @@ def ads_layer(attention: Column, pct: float = 0.1, connectivity: int = 8, min_ar
     return run(attention)
 
 
+def dispersion_scores(rows: DataFrame, key: str, pct: float = 0.1, connectivity: int = 8, min_area: int = 3, k_heads: int = 0, per_head_min: bool = False) -> DataFrame:
+    """(key, per_layer, score) from attention rows (key, layer, head, attention): the dispersion of each layer's map,
+    and its mean over the middle layers (NaN where there are none). ``per_head_min`` takes the strongest head alone."""
+    maps = top_heads(rows, [key, "layer"], 1 if per_head_min else k_heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [dispersion(a, pct, connectivity, min_area) for a in _vectors(b.column("attention"))]
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("layer"), pa.array(got, pa.float64())], names=[key, "layer", "ads"])
+
+    schema = T.StructType([maps.schema[key], maps.schema["layer"], T.StructField("ads", T.DoubleType())])
+    each = maps.select(key, "layer", "attention").mapInArrow(run, schema)
+    packed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("layer", "ads"))).alias("s"))
+    return packed.select(key, F.col("s.ads").alias("per_layer")).select("*", A.mean(A.middle(F.col("per_layer"))).alias("score"))
+
+
 def top_heads(rows: DataFrame, keys: list[str], k: int = 0) -> DataFrame:
     """Mean attention map over the heads of a layer, or over the k heads with most mass (ties by head)."""
     mass = rows.withColumn("mass", A.total(A.doubles(F.col("attention"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,10 @@ def binary_metrics(rows: DataFrame, predicted: str, label: str = "label") -> Dat
 
 
 def confusion_matrix(rows: DataFrame, predicted: str, label: str = "label") -> DataFrame:
-    return rows.groupBy(F.col(label).alias("label")).pivot(predicted, [0, 1]).count().na.fill(0, ["0", "1"]).toDF("label", "pred_0", "pred_1")
+    """(label, pred_0, pred_1) for both labels, whether rows have them or not."""
+    c = confusion(rows, predicted, label)
+    row = lambda y, a, b: F.struct(F.lit(y).alias("label"), F.col(a).alias("pred_0"), F.col(b).alias("pred_1"))
+    return c.select(F.inline(F.array(row(0, "tn", "fp"), row(1, "fn", "tp"))))
 
 
 def classification_report(rows: DataFrame, predicted: str, label: str = "label") -> DataFrame:
@@ -88,7 +92,8 @@ def roc_auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
 def mann_whitney(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     """One row (u, z, p) for class 1 against class 0: two-sided, with tie and continuity correction.
 
-    For a smaller class of 8 rows at most, without ties, p is exact; its distribution depends on the sizes only.
+    For a smaller class of 8 rows at most, without ties, p is exact, as long as the sizes' product is at most 40 million
+    (beyond it the normal approximation is exact to more digits than a double of the sum). NaN without one of the classes.
     """
     d = running(_by_score(rows, score, label), "s", ["neg"])
     t = F.col("pos") + F.col("neg")
@@ -102,27 +107,40 @@ def mann_whitney(rows: DataFrame, score: str, label: str = "label") -> DataFrame
 
     @F.pandas_udf("double")
     def p_value(zs: pd.Series, u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([_exact_p(a, int(b), int(c)) if min(b, c) <= 8 and not e and min(b, c) > 0 else math.erfc(x / math.sqrt(2)) if x == x else float("nan") for x, a, b, c, e in zip(zs, u, n1, n0, ties, strict=True)])
+        return pd.Series([two_sided(*x) for x in zip(zs, u, n1, n0, ties, strict=True)])
 
     return a.select("u", z.alias("z"), p_value(z, "u", "n1", "n0", "ties").alias("p"))
 
 
-def _exact_p(u: float, n1: int, n0: int) -> float:
-    """Two-sided p by counting the rank sums: ways[k][s] of k picks with sum s."""
-    if n1 * n0 * min(n1, n0) > 5_000_000:
+def two_sided(z: float, u: float, n1: float, n0: float, ties: float) -> float:
+    if min(n1, n0) <= 0:
         return float("nan")
-    k = min(n1, n0)
-    ways = [[0] * (n1 * n0 + 1) for _ in range(k + 1)]
-    ways[0][0] = 1
-    for i in range(n1 + n0):
-        for j in range(min(k, i + 1), 0, -1):
-            shift = i - (j - 1)
-            if shift > n1 * n0:
-                continue
-            for s in range(n1 * n0, shift - 1, -1):
-                ways[j][s] += ways[j - 1][s - shift]
-    most = max(u, n1 * n0 - u)
-    return min(1.0, 2 * sum(ways[k][math.ceil(most) :]) / math.comb(n1 + n0, k))
+    if min(n1, n0) <= 8 and not ties and n1 * n0 <= 40_000_000:
+        return exact_p(u, int(n1), int(n0))
+    return math.erfc(z / math.sqrt(2)) if z == z else 1.0  # all values equal: no evidence
+
+
+def exact_p(u: float, n1: int, n0: int) -> float:
+    """Two-sided p without ties: twice the share of the C(n1 + n0, k) rank sets with a statistic as far out as u.
+
+    The sets with statistic s are counted by the Gaussian binomial (1 - q^(n+1)) ... (1 - q^(n+k)) / (1 - q) ... (1 - q^k).
+    Dividing is a running sum in steps of 1 to k, whose total gives all smaller statistics at once; the 2^k signed terms
+    of the product only shift it.
+    """
+    k, n = min(n1, n0), max(n1, n0)
+    least = int(min(u, n1 * n0 - u))
+    ways = np.zeros(least + 1)
+    ways[0] = 1
+    for step in (1, *range(1, k + 1)):  # the first 1: up to each statistic
+        rows = -(-len(ways) // step)
+        wide = np.zeros(rows * step)
+        wide[: len(ways)] = ways
+        ways = np.cumsum(wide.reshape(rows, step), axis=0).ravel()[: least + 1]
+    terms = {0: 1}
+    for i in range(1, k + 1):
+        for shift, sign in list(terms.items()):
+            terms[shift + n + i] = terms.get(shift + n + i, 0) - sign
+    return min(1.0, 2 * sum(sign * ways[least - shift] for shift, sign in sorted(terms.items()) if shift <= least) / math.comb(n + k, k))
 
 
 def threshold_sweep(rows: DataFrame, score: str, label: str = "label", n: int = THRESHOLDS) -> DataFrame:
@@ -175,7 +193,7 @@ def band_tests(rows: DataFrame, curve: str, label: str = "label", bands: list[tu
     out = None
     for band in bands:
         one = rows.select(F.get(band_means(F.col(curve), [band]), F.lit(0))["value"].alias("v"), F.col(label).alias("label"))
-        found = mann_whitney(one, "v").select(F.lit(f"{band[0]}-{band[1]}").alias("band"), "u", "z", "p")
+        found = mann_whitney(one, "v").select(F.lit(f"{max(band[0], 1)}-{band[1]}").alias("band"), "u", "z", "p")
         out = found if out is None else out.union(found)
     return out
 

@@ -10,13 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import drivers as D
 from ..functions import arrays as A
 from ..functions import positions as P
 from ..functions import text as X
+from ..operators import captions as C
+from ..operators import captures as Z
 from ..operators import kernels as K
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import relational as R
+from ..sources import providers, readers
+from ..sources.staging import scratch
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -91,18 +96,27 @@ def roc_auc(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.roc_auc(_curves(spark, d).withColumn("s", F.get("v", F.lit(0))), "s"), "auc")
 
 
+def _erfc(z: str) -> str:
+    """Two-sided p of a normal deviate, by the series of the error function."""
+    x = f"({z} / sqrt(2.0::DOUBLE))"
+    return f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda k: (1 - 2 * (k % 2)) * {x} ** (2 * k + 1) / (gamma(k + 1.0::DOUBLE) * (2 * k + 1))))"
+
+
+_Z = "greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1))))"
+
+
 @query(f"""
 WITH rows AS ({_SCORED}), t AS (SELECT sum(pos * (before + neg / 2.0)) AS u, sum(pos)::DOUBLE AS n1, sum(neg)::DOUBLE AS n0, sum((pos + neg)::DOUBLE ** 3 - (pos + neg)) AS ties FROM ({_BEFORE}))
-SELECT round(u, 6) AS u, round(greatest(abs(u - n1 * n0 / 2) - 0.5, 0) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))), 6) AS z FROM t""")
+SELECT round(u, 6) AS u, round({_Z}, 6) AS z, round({_erfc(_Z)}, 6) AS p FROM t""")
 def mann_whitney(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(M.mann_whitney(_scored(spark, d), "score").select("u", "z"), "u", "z")
+    return _rounded(M.mann_whitney(_scored(spark, d), "score"), "u", "z", "p")
 
 
 def _judged(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"), (1 - F.col("quality")).alias("predicted"))
 
 
-@query("SELECT toxic AS label, count(*) FILTER (quality = 1) AS pred_0, count(*) FILTER (quality = 0) AS pred_1 FROM labels GROUP BY toxic")
+@query("SELECT y::INT AS label, count(*) FILTER (toxic = y AND quality = 1) AS pred_0, count(*) FILTER (toxic = y AND quality = 0) AS pred_1 FROM labels, range(2) t(y) GROUP BY y")
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
     return M.confusion_matrix(_judged(spark, d), "predicted")
 
@@ -121,7 +135,7 @@ def classification_report(spark: SparkSession, d: str) -> DataFrame:
 
 _YES_NO = """SELECT conv_id, turn, CASE WHEN w IN ('yes', 'no') THEN w WHEN contains(low, 'yes') THEN 'yes' WHEN contains(low, 'no') THEN 'no' ELSE 'unknown' END AS answer,
   CASE WHEN turn % 4 < 2 THEN 'yes' ELSE 'no' END AS gt
-FROM (SELECT *, regexp_replace(regexp_split_to_array(low, '\\s+')[1], '[^a-z]', '', 'g') AS w FROM (SELECT *, lower(trim(text)) AS low FROM conversations WHERE role = 'assistant'))"""
+FROM (SELECT *, regexp_replace(regexp_split_to_array(low, '\\s+')[1], '[^a-z]', '', 'g') AS w FROM (SELECT *, lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS low FROM conversations WHERE role = 'assistant'))"""
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -162,52 +176,100 @@ def object_word_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH b(band, lo, hi) AS (VALUES ('0-10', 0, 10), ('10-15', 10, 15), ('15-20', 15, 20), ('20-25', 20, 25), ('25-33', 25, 33)),
+WITH b(band, lo, hi) AS (VALUES ('1-10', 0, 10), ('10-15', 10, 15), ('15-20', 15, 20), ('20-25', 20, 25), ('25-33', 25, 33)),
 e AS (SELECT band, (label < 5)::INT AS label, list_avg(a[lo + 1:hi]) AS m FROM ({_E}), b)
 SELECT band, label, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM e GROUP BY band, label""")
 def layerwise_bands(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.layer_bands(_curves(spark, d), "a"), "mean", "std")
 
 
-#: A vocabulary of single words for caption-like texts: word to object.
-VOCABULARY = {"that": "that", "with": "with", "from": "from", "this": "this", "was": "be", "are": "be", "were": "be", "trash": "trash", "clown": "clown", "idiot": "person", "moron": "person"}
+@query(f"""
+WITH b(band, lo, hi) AS (VALUES ('1-10', 0, 10), ('10-15', 10, 15), ('15-20', 15, 20), ('20-25', 20, 25), ('25-33', 25, 33)),
+e AS (SELECT band, (label < 5)::INT AS y, list_avg(a[lo + 1:hi]) AS s FROM ({_E}), b),
+g AS (SELECT band, s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM e GROUP BY band, s),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY band ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+t AS (SELECT band, sum(pos * (before + neg / 2.0)) AS u, sum(pos)::DOUBLE AS n1, sum(neg)::DOUBLE AS n0, sum((pos + neg)::DOUBLE ** 3 - (pos + neg)) AS ties FROM c GROUP BY band)
+SELECT band, round(u, 6) AS u, round({_Z}, 6) AS z, round({_erfc(_Z)}, 6) AS p FROM t""")
+def band_tests(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(M.band_tests(_curves(spark, d), "a"), "u", "z", "p")
+
+
+#: A vocabulary for caption-like texts: a word, or two, to its object. No pair ends with a word that begins another one.
+VOCABULARY = {
+    "that": "that", "with": "with", "from": "from", "this": "this", "was": "be", "are": "be", "were": "be", "trash": "trash", "clown": "clown", "idiot": "person", "moron": "person",
+    "of the": "of-the", "in the": "in-the", "de la": "de-la", "is": "be", "and": "and",
+}
 _VOC = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in VOCABULARY.items()) + "}"
-_MENTIONS = f"SELECT doc_id, o AS object FROM (SELECT doc_id, unnest(list_transform(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda w: {_VOC}[w])) AS o FROM documents WHERE lang = 'en') WHERE o IS NOT NULL"
-_TRUE = f"SELECT DISTINCT o FROM (SELECT unnest(list_transform(regexp_extract_all(lower(text), '[a-z]+(?:''[a-z]+)?'), lambda w: {_VOC}[w])) AS o FROM benchmark WHERE item_id % 2 = 0) WHERE o IS NOT NULL"
+_WORD = "[A-Za-z]+(?:''[A-Za-z]+)?"
+_TOKEN = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s]"
+
+
+def _mentions_sql(table: str, key: str) -> str:
+    """Rows (key, k, object, start, end, text): positions are sums over words and the gaps before them."""
+    return f"""
+  SELECT {key}, text, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS k, object, start, CASE WHEN pair THEN next_end ELSE start + len(w) END AS "end" FROM (
+    SELECT *, CASE WHEN coalesce(lag(pair) OVER p, false) THEN NULL WHEN pair THEN two ELSE one END AS object FROM (
+      SELECT *, two IS NOT NULL AS pair FROM (
+        SELECT *, {_VOC}[lower(w) || ' ' || lower(lead(w) OVER p)] AS two, {_VOC}[lower(w)] AS one, lead(start + len(w)) OVER p AS next_end FROM (
+          SELECT {key}, text, w, i, (sum(len(g)) OVER q + coalesce(sum(len(w)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS start FROM (
+            SELECT {key}, text, unnest(ws) AS w, unnest(gs[:len(ws)]) AS g, generate_subscripts(ws, 1) AS i FROM (
+              SELECT {key}, text, regexp_extract_all(text, '{_WORD}') AS ws, regexp_split_to_array(text, '{_WORD}') AS gs FROM {table}))
+          WINDOW q AS (PARTITION BY {key} ORDER BY i)) WINDOW p AS (PARTITION BY {key} ORDER BY i)))
+    WINDOW p AS (PARTITION BY {key} ORDER BY i)) WHERE object IS NOT NULL"""
+
+
+_TRUE = f"SELECT DISTINCT object FROM ({_mentions_sql('benchmark', 'item_id')})"
 
 
-def _mentions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = _table(spark, d, "documents").where("lang = 'en'")
-    truth = X.mentions(_table(spark, d, "benchmark").where("item_id % 2 = 0"), VOCABULARY, "item_id").select("object").distinct()
-    found = X.mentions(docs, VOCABULARY)
-    known = truth.withColumn("there", F.lit(1))
-    return docs, found.join(F.broadcast(known), "object", "left").withColumn("hallucinated", F.col("there").isNull().cast("int"))  # as many rows as the vocabulary has objects
+def _captioned(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as captions; the objects that are there are those of the benchmark's items."""
+    truth = C.mentions(_table(spark, d, "benchmark"), VOCABULARY, "item_id").agg(F.array_sort(F.collect_set("object")).alias("truth"))
+    return _table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(truth))  # one row, no more objects than the vocabulary
 
 
-@query(f"SELECT doc_id, object, count(*) AS n, (object NOT IN ({_TRUE}))::INT AS hallucinated FROM ({_MENTIONS}) GROUP BY doc_id, object")
+@query(f'SELECT doc_id, k::INT AS mention_index, object, substr(text, start + 1, "end" - start) AS surface, start, "end" FROM ({_mentions_sql("documents", "doc_id")})')
 def mentions(spark: SparkSession, d: str) -> DataFrame:
-    return _mentions(spark, d)[1].groupBy("doc_id", "object").agg(F.count("*").alias("n"), F.max("hallucinated").alias("hallucinated"))
+    return C.mentions(_table(spark, d, "documents"), VOCABULARY)
 
 
-@query(f"""
-WITH m AS (SELECT doc_id, count(*) AS m, count(*) FILTER (object NOT IN ({_TRUE})) AS h FROM ({_MENTIONS}) GROUP BY doc_id),
+_SPANS = f"""
+  SELECT doc_id, k::INT AS mention_index, object AS word, substr(text, start + 1, "end" - start) AS surface, start, "end", len(regexp_extract_all(substr(text, 1, start), '{_TOKEN}'))::INT AS "first",
+         len(regexp_extract_all(substr(text, start + 1, "end" - start), '{_TOKEN}'))::INT AS n_tokens, (object NOT IN ({_TRUE}))::INT AS label FROM ({_mentions_sql('documents', 'doc_id')})"""
+
+
+@query(f"WITH t AS ({_TRUE}), m AS ({_SPANS.replace(_TRUE, 'FROM t')}) SELECT * FROM m JOIN (SELECT doc_id, len(regexp_extract_all(text, '{_TOKEN}')) AS n FROM documents) USING (doc_id) WHERE \"first\" + n_tokens <= n".replace("SELECT * FROM m", "SELECT m.* FROM m"))
+def caption_spans(spark: SparkSession, d: str) -> DataFrame:
+    return C.caption_spans(_captioned(spark, d), VOCABULARY, "truth")
+
+
+_LABELLED = f"""
+WITH t AS ({_TRUE}), s AS ({_SPANS.replace(_TRUE, 'FROM t')}),
+m AS (SELECT doc_id, count(*) AS m, count(*) FILTER (label = 1) AS h, string_agg(word, ' ' ORDER BY "first", mention_index) FILTER (label = 1) AS bad FROM s GROUP BY doc_id)"""
+
+
+@query(_LABELLED + """
+SELECT doc_id, coalesce(m, 0) AS n_spans, coalesce(bad, '') AS hallucinated_words, round(coalesce(h / m, 0), 6) AS chair_i, (coalesce(h, 0) > 0)::INT AS chair_s FROM documents LEFT JOIN m USING (doc_id)""")
+def label_captions(spark: SparkSession, d: str) -> DataFrame:
+    out = D.label_captions(_captioned(spark, d), VOCABULARY, "truth", "doc_id")[0]
+    return out.select("doc_id", F.size("object_token_spans").cast("long").alias("n_spans"), F.array_join("hallucinated_words", " ").alias("hallucinated_words"), _r(F.col("chair_i")).alias("chair_i"), "chair_s")
+
+
+@query(_LABELLED + """,
 a AS (SELECT count(*) AS images, coalesce(sum(m), 0)::BIGINT AS object_mentions, coalesce(sum(h), 0)::BIGINT AS hallucinated_mentions, count(*) FILTER (h > 0) AS images_with_hallucination
-      FROM documents LEFT JOIN m USING (doc_id) WHERE lang = 'en')
+      FROM documents LEFT JOIN m USING (doc_id))
 SELECT *, round(coalesce(images_with_hallucination / nullif(images, 0), 0), 6) AS chair_s, round(coalesce(hallucinated_mentions / nullif(object_mentions, 0), 0), 6) AS chair_i FROM a""")
 def chair_summary(spark: SparkSession, d: str) -> DataFrame:
-    docs, found = _mentions(spark, d)
-    return _rounded(M.chair_summary(docs, found, "doc_id"), "chair_s", "chair_i")
+    return _rounded(D.label_captions(_captioned(spark, d), VOCABULARY, "truth", "doc_id")[1], "chair_s", "chair_i")
 
 
-@query(r"""
-WITH w(word, label) AS (VALUES ('that', 1), ('with', 0), ('of', 0), ('trash', 1)),
-d AS (SELECT doc_id, text, word, label, regexp_split_to_array(text, '(?i)\b' || word || '\b') AS p FROM documents, w WHERE lang = 'en' AND NOT regexp_matches(text, '[^\x00-\x7F]')),
-s AS (SELECT doc_id, word, label, len(p[1]) AS start, len(regexp_extract_all(p[1], '\w+|[^\w\s]')) AS first FROM d WHERE len(p) > 1)
-SELECT doc_id, word, label, start::INT AS start, first::INT AS "first", 1 AS n_tokens FROM s WHERE first < 200""")
+@query(rf"""
+WITH w(word, label) AS (VALUES ('that', 1), ('with', 0), ('of', 0), ('trash', 1), ('de la', 0)),
+d AS (SELECT doc_id, text, word, label, '(?is)^(|.*?[^\p{{L}}\p{{N}}\p{{M}}_])' || word || '(?:[^\p{{L}}\p{{N}}\p{{M}}_]|$)' AS p FROM documents, w),
+s AS (SELECT doc_id, word, label, regexp_extract(text, p, 1) AS before FROM d WHERE regexp_matches(text, p))
+SELECT doc_id, word, label, len(before)::INT AS start, len(regexp_extract_all(before, '{_TOKEN}'))::INT AS "first", CASE word WHEN 'de la' THEN 2 ELSE 1 END AS n_tokens FROM s""")
 def token_spans(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    words = X.candidate_words(F.array(F.lit("that"), F.lit("trash")), F.array(F.lit("with"), F.lit("of"), F.lit("that")))
-    rows = docs.select("doc_id", "text", F.lit(200).alias("n_ids"), F.inline(words))
+    words = X.candidate_words(F.array(F.lit("that"), F.lit("trash")), F.array(F.lit("with"), F.lit("of"), F.lit("that"), F.lit("de la")))
+    rows = _table(spark, d, "documents").select("doc_id", "text", X.n_tokens(F.col("text")).alias("n_ids"), F.inline(words))
     return X.token_spans(rows, "doc_id")
 
 
@@ -375,7 +437,7 @@ reach AS (SELECT vec_id, i AS a, i AS b FROM f UNION SELECT reach.vec_id, reach.
 area AS (SELECT vec_id, a, count(*) AS n FROM reach GROUP BY vec_id, a),
 mass AS (SELECT f.vec_id, coalesce(sum(p) FILTER (n >= 3), 0) AS m FROM f JOIN area ON area.vec_id = f.vec_id AND area.a = f.i GROUP BY f.vec_id),
 back AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS t FROM r WHERE NOT fore),
-ent AS (SELECT vec_id, -sum(greatest(p / t, 1e-12) * ln(greatest(p / t, 1e-12))) / ln(58) AS h FROM back GROUP BY vec_id)
+ent AS (SELECT vec_id, -sum(greatest(p / t, 1e-12) * ln(greatest(p / t, 1e-12))) / ln(64) AS h FROM back GROUP BY vec_id)
 SELECT vec_id, round((1 - m) * h, 6) AS ads FROM mass JOIN ent USING (vec_id)""")
 def ads_layers(spark: SparkSession, d: str) -> DataFrame:
     return _curves(spark, d).select("vec_id", _r(K.ads_layer(F.col("a"))).alias("ads"))
@@ -413,25 +475,127 @@ def target_dist(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _captures(spark: SparkSession, d: str) -> DataFrame:
-    """One row a layer: update, six supports, prompt, attention and probabilities from a vector's parts."""
+    """One row a layer from a vector's parts, with two supports, for which the exact transport has a closed form."""
     part = lambda i: F.slice("v", i * 8 + 1, F.lit(8))
-    x = _curves(spark, d)
-    return x.select(
-        F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), (F.col("vec_id") % 8).cast("int").alias("layer"), part(F.lit(0)).alias("update"),
-        F.transform(F.sequence(F.lit(1), F.lit(6)), part).alias("support"), part(F.lit(7)).alias("prompt"), F.slice("a", 1, 6).alias("attention"),
-        F.slice("a", 11, 6).alias("semantic"), part(F.lit(7)).alias("target_embedding"), F.array_max("a").alias("prompt_confidence"),
+    one = lambda i: part(F.lit(i))
+    return _vectors(spark, d).withColumn("a", F.transform("v", F.abs)).select(
+        F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), (F.col("vec_id") % 8).cast("int").alias("layer"), one(0).alias("update"), one(1).alias("state"),
+        F.array(one(2), one(3)).alias("support"), F.sequence(F.lit(0), F.lit(1)).alias("positions"), F.slice("a", 1, 2).alias("attention"), F.slice("a", 3, 2).alias("semantic"),
+        one(4).alias("prompt_last"), one(5).alias("prompt_mean"), F.slice("a", 5, 6).alias("prompt_probabilities"), one(6).alias("target_embedding"),
+        (F.col("label") % 3).cast("int").alias("visual_start"), F.lit(2).alias("visual_end"),
     )
 
 
-@query()
-def dgst_layers(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(K.layer_stats(_captures(spark, d)).select("sample", "layer", "risk", "prompt_cosine", "visual_cosine", "context_confidence", "support_size", "selected_support_size"), "risk", "prompt_cosine", "visual_cosine", "context_confidence")
+def _cos(x: str, y: str) -> str:
+    return f"list_dot_product({x}, {y}) / (sqrt(list_dot_product({x}, {x})) * sqrt(list_dot_product({y}, {y})))"
 
 
-@query()
-def dgst_spans(spark: SparkSession, d: str) -> DataFrame:
+_TRANSPORT = f"""
+WITH p AS (SELECT vec_id // 8 AS sample, (vec_id % 8)::INT AS layer, label, a, v[1:8] AS upd, v[9:16] AS st, v[17:24] AS s1, v[25:32] AS s2, v[33:40] AS pl, v[41:48] AS pm, v[49:56] AS te FROM ({_E})),
+q AS (SELECT *, 1 / (1 + exp(({_cos("upd", "s2")} - {_cos("upd", "s1")}) / 0.07)) AS a1, (a[1] * a[3]) / (a[1] * a[3] + a[2] * a[4]) AS b1, 1 - a[3] AS p1, 1 - a[4] AS p2,
+             greatest(0, 1 - {_cos("s1", "s2")}) AS dist, list_sum(list_reverse_sort(a[5:10])[1:3]) / 3 AS conf FROM p),
+layers AS (SELECT sample, layer, abs(a1 - b1) * dist * (1 + p1 + p2) + a1 * p1 + (1 - a1) * p2 + b1 * p1 + (1 - b1) * p2 AS risk, {_cos("st", "pl")} AS prompt_last_cosine, {_cos("st", "pm")} AS prompt_mean_cosine,
+                  CASE label % 3 WHEN 0 THEN ({_cos("te", "s1")} + {_cos("te", "s2")}) / 2 WHEN 1 THEN {_cos("te", "s2")} ELSE 0 END AS visual_cosine, conf FROM q)"""
+
+
+@query(f"""{_TRANSPORT}
+SELECT sample, layer, round(risk, 6) + 0 AS risk, round(prompt_last_cosine, 6) + 0 AS prompt_last_cosine, round(prompt_mean_cosine, 6) + 0 AS prompt_mean_cosine, round(visual_cosine, 6) + 0 AS visual_cosine,
+       round(conf, 6) + 0 AS prompt_confidence, round(conf * visual_cosine, 6) + 0 AS context_confidence, 2 AS support_size, 2 AS selected_support_size FROM layers""")
+def transport_layers(spark: SparkSession, d: str) -> DataFrame:
+    names = ("risk", "prompt_last_cosine", "prompt_mean_cosine", "visual_cosine", "prompt_confidence", "context_confidence")
+    return _rounded(K.layer_stats(_captures(spark, d)).select("sample", "layer", *names, "support_size", "selected_support_size"), *names)
+
+
+@query(f"""{_TRANSPORT},
+s AS (SELECT sample, list(risk ORDER BY layer) AS r, list(prompt_last_cosine ORDER BY layer) AS l, list(prompt_mean_cosine ORDER BY layer) AS m, list(conf * visual_cosine ORDER BY layer) AS c FROM layers GROUP BY sample),
+t AS (SELECT *, list_avg(r[1:3]) + 2 * list_aggregate(r[1:3], 'stddev_pop') AS cut FROM s)
+SELECT sample, round(coalesce(list_sum(list_transform(r[4:], lambda x: greatest(0, x - cut))), 0), 6) + 0 AS score, 4 * len(r) AS width,
+       array_to_string(list_transform(list_concat(list_concat(r, l), list_concat(m, c)), lambda x: round(x * 10000)::BIGINT), ',') AS feature_vector FROM t""")
+def transport_spans(spark: SparkSession, d: str) -> DataFrame:
     s = K.span_features(K.layer_stats(_captures(spark, d)), "sample", baseline_layers=3, start_layer=4)
-    return s.select("sample", _r(F.col("score")).alias("score"), F.size("feature_vector").alias("width"))
+    vector = F.array_join(F.transform("feature_vector", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")
+    return s.select("sample", _r(F.col("score")).alias("score"), F.size("feature_vector").alias("width"), vector.alias("feature_vector"))
+
+
+@query()
+def transport_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Six supports a layer, other weights, and a selection of four: held against brute force in the tests."""
+    part = lambda i: F.slice("v", i * 8 + 1, F.lit(8))
+    rows = _curves(spark, d).select("vec_id", F.transform(F.sequence(F.lit(1), F.lit(6)), part).alias("support"), A.renormalize(F.slice("a", 1, 6)).alias("source_dist"), A.renormalize(F.slice("a", 11, 6)).alias("target_dist"), F.slice("a", 21, 6).alias("semantic"))
+    return K.transport_risk(rows, 4, lambdas=(1.0, 0.5, 0.25, 2.0)).select("vec_id", _r(F.col("risk")).alias("risk"), "selected_support_size")
+
+
+def _hidden(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Two layers over eight positions a sample: layer outputs, attention of two heads, plan, targets, probabilities."""
+    e = _vectors(spark, d).select("vec_id", "v", F.transform("v", F.abs).alias("a"), F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), (F.col("vec_id") % 8).cast("int").alias("position"))
+    layers = e.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("layer"))
+    cut = lambda k: F.slice("v", F.col("layer") * 24 + 8 * k + 1, F.lit(8))
+    hidden = layers.select("sample", "layer", "position", cut(0).alias("h_prev"), cut(1).alias("o_attn"), cut(2).alias("o_ffn"))
+    heads = layers.select("sample", "layer", F.col("position").alias("query"), "a", F.explode(F.array(F.lit(0), F.lit(1))).alias("head"))
+    attention = heads.select("sample", "layer", "head", "query", F.slice("a", F.col("head") * 8 + F.col("layer") * 16 + 1, F.lit(8)).alias("weights"))
+    samples = e.select("sample").distinct()
+    plan = samples.select("sample", F.array(*map(F.lit, (0, 1, 2, 4))).alias("support_positions"), F.array(*map(F.lit, (0, 3, 4))).alias("prompt_positions"), F.lit(1).alias("visual_start"), F.lit(3).alias("visual_end"))
+    tables = e.select(F.col("vec_id").alias("token_id"), F.slice("v", 57, 8).alias("embedding"))
+    targets = samples.select("sample", F.lit(0).alias("span_idx"), (F.col("sample") * 8).alias("target_token_id"), (F.col("sample") % 2 + 5).cast("int").alias("prediction_position"))
+    targets = Z.embedding_for_token(targets, tables.where("token_id % 16 = 0"), tables, 8)
+    probabilities = layers.select("sample", F.lit(0).alias("span_idx"), "layer", "position", F.get("a", F.col("layer") + 50).alias("probability"))
+    return hidden, attention, plan, targets, probabilities
+
+
+_HIDDEN = f"""
+e AS (SELECT vec_id // 8 AS sample, vec_id % 8 AS position, v, a FROM ({_E})), l AS (SELECT * FROM e, range(2) t(layer)),
+h AS (SELECT sample, layer, position, a, list_transform(range(1, 9), lambda i: v[layer * 24 + i] + v[layer * 24 + 8 + i]) AS mid, v[layer * 24 + 17:layer * 24 + 24] AS ffn FROM l),
+s AS (SELECT *, list_transform(range(1, 9), lambda i: mid[i] + ffn[i]) AS out FROM h),
+g AS (SELECT sample, layer, sum(list_sum(mid)) FILTER (position IN (0, 1, 2, 4)) AS support, count(*) FILTER (position IN (0, 1, 2, 4)) AS n, sum(list_sum(out)) FILTER (position = 4) AS last, sum(list_sum(out)) FILTER (position IN (0, 3, 4)) / 3 AS mean,
+             sum(a[layer + 51]) FILTER (position IN (0, 1, 2, 4)) AS semantic, sum(a[layer + 51]) FILTER (position IN (0, 3, 4)) AS confident FROM s GROUP BY sample, layer HAVING n = 4),
+o AS (SELECT sample, layer, list_sum(ffn) AS upd, list_sum(out) AS state, list_transform([1, 2, 3, 5], lambda i: (a[layer * 16 + i] + a[8 + layer * 16 + i]) / 2) AS att FROM s WHERE position = sample % 2 + 5),
+x AS (SELECT sample, list_sum(v[57:64]) AS te FROM e WHERE position = 0)"""
+
+
+@query(f"""WITH {_HIDDEN}
+SELECT sample, 0 AS span_idx, layer::INT AS layer, n::INT AS n_support, round(upd, 6) + 0 AS upd, round(state, 6) + 0 AS state, round(support, 6) + 0 AS support, round(att[1] - att[2] + 2 * att[3] - att[4], 6) + 0 AS attention,
+       round(last, 6) + 0 AS prompt_last, round(mean, 6) + 0 AS prompt_mean, round(semantic, 6) + 0 AS semantic, round(confident, 6) + 0 AS confident, round(te, 6) + 0 AS target FROM g JOIN o USING (sample, layer) JOIN x USING (sample)""")
+def capture_assembly(spark: SparkSession, d: str) -> DataFrame:
+    c = Z.assemble(*_hidden(spark, d))
+    at = lambda i: F.get("attention", F.lit(i))
+    sums = {"upd": A.total(F.col("update")), "state": A.total(F.col("state")), "support": A.total(F.transform("support", A.total)), "attention": at(0) - at(1) + 2 * at(2) - at(3), "prompt_last": A.total(F.col("prompt_last")), "prompt_mean": A.total(F.col("prompt_mean")), "semantic": A.total(F.col("semantic")), "confident": A.total(F.col("prompt_probabilities")), "target": A.total(F.col("target_embedding"))}
+    return c.where(F.size("support") == 4).select("sample", "span_idx", "layer", F.size("support").alias("n_support"), *[_r(v).alias(n) for n, v in sums.items()])
+
+
+@query(f"""WITH {_HIDDEN}, w AS (SELECT sample, layer, position, layer * 16 AS b, a FROM l WHERE position = 6)
+SELECT sample, layer::INT AS layer, head::INT AS head, round(list_sum(a[b + head * 8 + 2:b + head * 8 + 3]), 6) AS patch_mass, round(list_sum(a[b + head * 8 + 1:b + head * 8 + 1]) + list_sum(a[b + head * 8 + 4:b + head * 8 + 6]) + a[b + head * 8 + 8], 6) AS text_mass
+FROM w, range(2) t(head)""")
+def attention_slices(spark: SparkSession, d: str) -> DataFrame:
+    rows = Z.attention_rows(_hidden(spark, d)[1], F.lit(6), 1, 3)
+    return rows.select("sample", "layer", "head", _r(A.total(F.col("patch_attention"))).alias("patch_mass"), _r(A.total(F.col("text_attention"))).alias("text_mass"))
+
+
+@query(f"""WITH {_HIDDEN}
+SELECT sample, layer::INT AS layer, round(sum(list_sum(out)) FILTER (position = 5), 6) + 0 AS token, count(*) FILTER (position IN (1, 2))::INT AS n_patches, round(sum(out[1]) FILTER (position = 2), 6) + 0 AS second FROM s
+WHERE position IN (1, 2, 5) GROUP BY sample, layer HAVING count(*) = 3""")
+def state_slices(spark: SparkSession, d: str) -> DataFrame:
+    rows = Z.token_and_patches(_hidden(spark, d)[0], 5, 1, 3).where(F.col("token").isNotNull() & (F.size("patches") == 2))
+    return rows.select("sample", "layer", _r(A.total(F.col("token"))).alias("token"), F.size("patches").alias("n_patches"), _r(F.get(F.get("patches", F.lit(1)), F.lit(0))).alias("second"))
+
+
+@query(f"""
+WITH RECURSIVE m AS (SELECT vec_id // 8 AS sample, (vec_id % 8) // 2 AS layer, list_transform(range(1, 65), lambda i: i) AS idx, list(a ORDER BY vec_id) AS hs FROM ({_E}) GROUP BY vec_id // 8, (vec_id % 8) // 2),
+a AS (SELECT sample, layer, sample * 4 + layer AS vec_id, list_transform(idx, lambda i: list_avg(list_transform(hs, lambda h: h[i]))) AS a FROM m),
+n AS (SELECT sample, layer, vec_id, list_transform(a, lambda x: x - list_min(a)) AS b FROM a),
+u AS (SELECT vec_id, unnest(b) / list_sum(b) AS p, unnest(range(64)) AS i FROM n),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) <= 6 AS fore FROM u),
+f AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x, p FROM r WHERE fore),
+reach AS (SELECT vec_id, i AS a, i AS b FROM f UNION SELECT reach.vec_id, reach.a, g.i FROM reach JOIN f h ON h.vec_id = reach.vec_id AND h.i = reach.b JOIN f g ON g.vec_id = h.vec_id AND abs(g.x - h.x) <= 1 AND abs(g.y - h.y) <= 1),
+area AS (SELECT vec_id, a, count(*) AS n FROM reach GROUP BY vec_id, a),
+mass AS (SELECT f.vec_id, coalesce(sum(p) FILTER (n >= 3), 0) AS m FROM f JOIN area ON area.vec_id = f.vec_id AND area.a = f.i GROUP BY f.vec_id),
+back AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS t FROM r WHERE NOT fore),
+ent AS (SELECT vec_id, -sum(greatest(p / t, 1e-12) * ln(greatest(p / t, 1e-12))) / ln(64) AS h FROM back GROUP BY vec_id),
+each AS (SELECT sample, layer, (1 - m) * h AS ads, count(*) OVER (PARTITION BY sample) AS layers FROM mass JOIN ent USING (vec_id) JOIN n USING (vec_id))
+SELECT sample, max(layers)::INT AS n_layers, round(avg(ads) FILTER (layer >= 1 AND layer < 3), 6) AS score FROM each WHERE layers = 4 GROUP BY sample""")
+def ads_score(spark: SparkSession, d: str) -> DataFrame:
+    x = _curves(spark, d).select(F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), F.floor((F.col("vec_id") % 8) / 2).cast("int").alias("layer"), (F.col("vec_id") % 2).alias("head"), F.col("a").alias("attention"))
+    s = K.dispersion_scores(x, "sample")
+    return s.where(F.size("per_layer") == 4).select("sample", F.size("per_layer").alias("n_layers"), _r(F.col("score")).alias("score"))
 
 
 @query(f"""
@@ -519,12 +683,128 @@ def block_importance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.block_importance(model, val, 16), "importance")
 
 
-@query()
-def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
-    """The threshold detector on each baseline column of the vectors read as logits."""
-    rows = _curves(spark, d).select("label", A.token_stats(F.col("v")).alias("s"), A.svar_score(F.col("a")).alias("svar")).select("label", "s.nll", "s.entropy", "svar")
+def _detector_sql(rows: str) -> str:
+    """The threshold detector's row for each baseline of ``rows`` (baseline, s, y)."""
+    return f"""
+WITH rows AS ({rows}), span AS (SELECT baseline, min(s) AS lo, max(s) AS hi FROM rows GROUP BY baseline),
+taus AS (SELECT baseline, i, lo + i * (hi - lo) / 199.0::DOUBLE AS tau FROM span, range(200) t(i)),
+c AS (SELECT baseline, i, tau, count(*) FILTER (s > tau AND y = 1) AS tp, count(*) FILTER (s > tau AND y = 0) AS fp,
+             count(*) FILTER (s <= tau AND y = 1) AS fn, count(*) FILTER (s <= tau AND y = 0) AS tn FROM rows JOIN taus USING (baseline) GROUP BY baseline, i, tau),
+m AS (SELECT baseline, i, tau, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r,
+             CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f, (tp + tn) / (tp + fp + fn + tn) AS acc FROM c),
+best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY baseline ORDER BY f DESC, i) = 1),
+g AS (SELECT baseline, s, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM rows GROUP BY baseline, s),
+k AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY baseline ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g),
+auc AS (SELECT baseline, {_AUC} AS auc FROM k GROUP BY baseline)
+SELECT baseline, i::INT AS i, round(tau, 6) AS tau, round(p, 6) AS "precision", round(r, 6) AS recall, round(f, 6) AS f1, round(acc, 6) AS accuracy, round(auc, 6) AS auc FROM best JOIN auc USING (baseline)"""
+
+
+_BASELINES = f"""
+  SELECT unnest(['head', 'svar']) AS baseline, unnest([a[1], list_sum(a[10:35])]) AS s, (label < 5)::INT AS y FROM ({_E})"""
+
+
+@query(_detector_sql(_BASELINES))
+def attention_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold detector on single attention values: one head's, and the share of early middle layers."""
+    rows = _curves(spark, d).select("label", F.get("a", F.lit(0)).alias("head"), A.svar_score(F.col("a")).alias("svar"))
+    return _baselines(rows, ("head", "svar"))
+
+
+def _baselines(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     out = None
-    for name in ("nll", "entropy", "svar"):
+    for name in names:
         one = _rounded(M.evaluate_threshold(rows, name), "tau", "precision", "recall", "f1", "accuracy", "auc").select(F.lit(name).alias("baseline"), "*")
         out = one if out is None else out.union(one)
     return out
+
+
+@query(f"""WITH docs AS ({_SCORED}), s AS (SELECT *, CASE WHEN ('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5 THEN 'train' ELSE 'test' END AS split FROM docs),
+r AS (SELECT 'x' AS baseline, doc_id, s, y FROM s WHERE split = 'test'), f AS ({_detector_sql("SELECT baseline, s, y FROM r")})
+SELECT (SELECT count(DISTINCT doc_id) FROM r) AS test_images, (SELECT count(*) FROM r) AS test_object_tokens, (SELECT count(*) FROM r WHERE y = 1) AS test_hallucinated_tokens, f.* EXCLUDE (baseline) FROM f""")
+def evaluate_detection_only(spark: SparkSession, d: str) -> DataFrame:
+    rows = _scored(spark, d)
+    out = D.evaluate_detection_only(rows, R.hash_split(rows.select("doc_id"), "doc_id", [("train", 0.5), ("test", 0.5)]), "score", "doc_id")
+    return _rounded(out, "tau", "precision", "recall", "f1", "accuracy", "auc")
+
+
+_LOGIT_BASELINES = f"""
+  SELECT unnest(['nll', 'entropy']) AS baseline, unnest([-ln(list_max(p)), -list_sum(list_transform(p, lambda y: y * ln(y))) / ln(64)]) AS s, (label < 5)::INT AS y
+  FROM (SELECT label, list_transform(e, lambda y: y / list_sum(e)) AS p FROM (SELECT label, list_transform(v, lambda x: exp(x - list_max(v))) AS e FROM ({_E})))"""
+
+
+@query(_detector_sql(_LOGIT_BASELINES))
+def baseline_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The threshold detector on the columns of the vectors read as logits."""
+    rows = _curves(spark, d).select("label", A.token_stats(F.col("v")).alias("s")).select("label", "s.nll", "s.entropy")
+    return _baselines(rows, ("nll", "entropy"))
+
+
+_QUESTIONS = r"""SELECT *, lower(trim(regexp_extract('Is there a ' || split_part(text, ' ', 1) || ' in the image?', '(?i)Is there (?:a|an)\s+(.+?)\s+in the image', 1))) AS object_word
+  FROM (SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, text FROM conversations WHERE role = 'assistant')"""
+
+
+def _questions(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """Questions about the first word of each answer, written as one JSON object a line, and their folder."""
+    c = _table(spark, d, "conversations").where("role = 'assistant'")
+    file = F.format_string("COCO_val2014_%012d.jpg", "conv_id")
+    q = c.select(F.concat(F.lit("Is there a "), F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" in the image?")).alias("text"), file.alias("image"), F.when(F.col("turn") % 4 < 2, " Yes").otherwise("no").alias("label"), (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"))
+    folder = scratch(spark, "questions")
+    q.write.json(f"{folder}/coco_pope_random.jsonl")
+    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("generated_text")), folder
+
+
+@query(f"""SELECT question_id, conv_id AS image_id, printf('/images/COCO_val2014_%012d.jpg', conv_id) AS image_path, object_word, CASE WHEN turn % 4 < 2 THEN 'yes' ELSE 'no' END AS gt_label
+FROM ({_QUESTIONS}) WHERE object_word <> ''""")
+def question_scan(spark: SparkSession, d: str) -> DataFrame:
+    _, folder = _questions(spark, d)
+    return readers.pope_questions(spark, folder, split="random", images_dir="/images").select("question_id", "image_id", "image_path", "object_word", "gt_label")
+
+
+@query(f"""SELECT question_id, md5('USER: <image>' || chr(10) || 'Is there a ' || split_part(text, ' ', 1) || ' in the image?' || chr(10) || 'Answer the question using a single word or phrase.' || chr(10) || 'ASSISTANT:') AS prompt,
+  answer AS model_answer, CASE answer WHEN 'yes' THEN (gt = 'no')::INT ELSE -1 END AS label FROM ({_YES_NO}) JOIN ({_QUESTIONS}) USING (conv_id, turn) WHERE object_word <> ''""")
+def pope_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    answers, folder = _questions(spark, d)
+    rows = D.pope_rows(readers.pope_questions(spark, folder, split="random"), answers, model="llava_1_5_7b")
+    return rows.select("question_id", F.md5("prompt").alias("prompt"), "model_answer", "label")
+
+
+@query("SELECT doc_id AS image_id, n_chars, md5(text) AS text FROM documents")
+def json_map_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Rows written as JSON objects keyed by id, and read back."""
+    path = scratch(spark, "json-map")
+    readers.save_json(_table(spark, d, "documents").select("doc_id", "n_chars", "text"), path, "doc_id")
+    return readers.json_map(spark, path, "n_chars:long,text:string").select("image_id", "n_chars", F.md5("text").alias("text"))
+
+
+@query("SELECT conv_id AS image_id, count(*) AS n FROM conversations WHERE trim(text) <> '' AND conv_id IN (SELECT doc_id FROM documents) GROUP BY conv_id")
+def caption_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Caption lines of known images with a caption."""
+    path = scratch(spark, "captions")
+    readers.save_json(_table(spark, d, "conversations").select(F.col("conv_id").alias("image_id"), F.col("text").alias("caption")), path)
+    found = readers.caption_rows(spark, path, _table(spark, d, "documents").select(F.col("doc_id").alias("image_id")))
+    return found.groupBy("image_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id AS image_id, n_chars FROM documents")
+def incremental_sink(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents are written first; a second run adds what is still pending, and nothing twice."""
+    path, rows = scratch(spark, "features"), _table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), "n_chars")
+    done = readers.read_or_empty(spark, path, rows.schema)
+    readers.append_rows(R.pending(rows.join(_table(spark, d, "labels").select(F.col("doc_id").alias("image_id")), "image_id", "left_semi"), done), path)
+    readers.append_rows(R.pending(rows, readers.read_or_empty(spark, path, rows.schema)), path)
+    return readers.read_or_empty(spark, path, rows.schema)
+
+
+@query("SELECT page_id AS image_id, CASE WHEN page_id % 7 > 0 THEN lower(url) END AS generated_text, CASE WHEN page_id % 7 = 0 THEN 'ValueError: no text' END AS error FROM pages")
+def provider_rows(spark: SparkSession, d: str) -> DataFrame:
+    """A provider over partitions: an item that fails gives an error, its batch still gives results."""
+    rows = _table(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.when(F.col("page_id") % 7 > 0, F.col("url")).otherwise("").alias("text"))
+    return D.generate(rows, lambda: providers.build("echo", {}))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS k FROM documents QUALIFY k <= 100")
+def first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The limit that is the feature: the 100 longest documents."""
+    rows = _table(spark, d, "documents").select("doc_id", F.struct((-F.col("n_chars")).alias("n"), "doc_id").alias("key"))
+    top = R.first_rows(rows, "key", 100).select(F.collect_list("key").alias("keys"))  # one row of 100 keys
+    return top.select(F.posexplode(F.array_sort("keys")).alias("k", "key")).select("key.doc_id", (F.col("k") + 1).cast("long").alias("k"))

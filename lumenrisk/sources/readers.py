@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,8 +15,37 @@ CAPTIONS = "annotations array<struct<id:long,image_id:long,caption:string>>"
 QUESTIONS = "text string, image string, label string, question_id long"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any store that Spark reads has the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def required(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        if path and not exists(spark, path):
+            raise FileNotFoundError(path)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): the lines of a text file with their 0-based number; blank lines count but are left out.
+
+    Lines are numbered inside their split, and splits by how many lines stand before them: one small row a split.
+    """
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("m"))
+    split, inside = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(split.alias("split")).count().select("split", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    out = rows.withColumn("split", split).join(F.broadcast(sizes), "split")  # one row a split
+    return out.select((F.col("before") + inside).alias("line"), "value").where(F.trim("value") != "")
+
+
 def coco_samples(spark: SparkSession, instances: str, captions: str, images_dir: str = "", n: int | None = None, seed: int = 42) -> DataFrame:
-    """(image_id, file_name, image_path, annotations, coco_objects, captions) from two caption JSON documents."""
+    """(image_id, file_name, image_path, annotations, coco_objects, captions) from two caption JSON documents.
+
+    A missing path is an error. ``n`` draws that many images by a hash of id and ``seed``.
+    """
+    required(spark, instances, captions, images_dir)
     doc = spark.read.schema(INSTANCES).json(instances, multiLine=True)
     images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name", F.concat_ws("/", F.lit(images_dir), "file_name").alias("image_path"))
     cats = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
@@ -32,11 +61,23 @@ def existing_files(samples: DataFrame, folder: str) -> DataFrame:
     return samples.join(files, "file_name", "left_semi")
 
 
-def pope_questions(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """(question_id, image_id, image_file, question, object_word, gt_label); the id defaults to the 0-based line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value")).where(F.trim("value") != "")
-    q = lines.select("line", F.from_json("value", QUESTIONS).alias("q")).select("line", "q.*")
-    q = q.select(F.coalesce("question_id", F.col("line").cast("long")).alias("question_id"), X.image_id(F.col("image")).alias("image_id"), F.col("image").alias("image_file"), F.col("text").alias("question"), X.object_word(F.col("text")).alias("object_word"), F.lower(F.trim("label")).alias("gt_label"))
+def question_file(spark: SparkSession, folder: str, split: str) -> str:
+    """The first of the four names that a split's questions can have."""
+    names = [f"{prefix}pope_{split}.{end}" for end in ("json", "jsonl") for prefix in ("coco_", "")]
+    for name in names:
+        if exists(spark, f"{folder}/{name}"):
+            return f"{folder}/{name}"
+    raise FileNotFoundError(f"no questions of split {split!r} in {folder}; expected one of {names}")
+
+
+def pope_questions(spark: SparkSession, path: str, n: int | None = None, split: str | None = None, images_dir: str = "") -> DataFrame:
+    """(question_id, image_id, image_file, image_path, question, object_word, gt_label); the id defaults to the 0-based
+    line. ``path`` is a file, or with ``split`` a folder. Questions of another form are left out."""
+    path = question_file(spark, path, split) if split else path
+    required(spark, path)
+    q = numbered_lines(spark, path).select("line", F.from_json("value", QUESTIONS).alias("q")).select("line", "q.*")
+    where = F.concat_ws("/", F.lit(images_dir), "image") if images_dir else F.col("image")
+    q = q.select(F.coalesce("question_id", F.col("line").cast("long")).alias("question_id"), X.image_id(F.col("image")).alias("image_id"), F.col("image").alias("image_file"), where.alias("image_path"), F.col("text").alias("question"), X.object_word(F.col("text")).alias("object_word"), F.lower(X.strip(F.col("label"))).alias("gt_label"))
     return R.first_rows(q.where(F.col("object_word").isNotNull()), "question_id", n)
 
 
@@ -49,14 +90,20 @@ def caption_rows(spark: SparkSession, path: str, samples: DataFrame) -> DataFram
     return out
 
 
-def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """(key, value columns) of a JSON object keyed by ids."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,struct<{value}>>").alias("m"))
-    return whole.select(F.explode("m").alias("key", "v")).select(F.col("key").cast("long").alias("image_id"), "v.*")
+def json_map(spark: SparkSession, path: str, value: str, whole: bool = False) -> DataFrame:
+    """(image_id, value columns) of JSON objects keyed by ids: one object a line, or with ``whole`` one over many lines."""
+    required(spark, path)
+    maps = spark.read.text(path, wholetext=whole).select(F.from_json("value", f"map<string,struct<{value}>>").alias("m"))
+    return maps.select(F.explode("m").alias("key", "v")).select(F.col("key").cast("long").alias("image_id"), "v.*")
 
 
-def save_json(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+def save_json(rows: DataFrame, path: str, key: str | None = None) -> None:
+    """One JSON object a line; with ``key`` each is keyed by the row's id, as ``json_map`` reads it."""
+    if key is None:
+        rows.write.mode("overwrite").json(path)
+        return
+    value = F.struct(*[c for c in rows.columns if c != key])
+    rows.select(F.to_json(F.create_map(F.col(key).cast("string"), value)).alias("value")).write.mode("overwrite").text(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
@@ -66,6 +113,13 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A table that may not have been written yet."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    """``kind``: the model class of pyspark.ml; nothing is ever unpickled."""
+    return kind.load(path)

@@ -12,14 +12,20 @@ from pyspark.sql.streaming import StreamingQuery
 def process_new(spark: SparkSession, source: str, schema: T.StructType | str, target: str, checkpoint: str, work: Callable[[DataFrame], DataFrame], key: str = "image_id") -> StreamingQuery:
     """Run ``work`` on the rows of files not seen yet, and append; a rerun goes on where the last one ended.
 
-    Ids that the target already holds are left out in each batch, so state does not grow in the stream itself.
+    Ids that were worked on before are left out in each batch, whether they gave rows or not: they stand in a table of
+    their own beside ``target``, of ids only, so state does not grow in the stream itself.
     """
     from ..operators.relational import pending
     from ..sources.readers import append_rows, read_or_empty
 
+    done_path = f"{target.rstrip('/')}-done"
+
     def batch(rows: DataFrame, _: int) -> None:
-        done = read_or_empty(spark, target, T.StructType([f for f in rows.schema if f.name == key]))
-        append_rows(work(pending(rows.dropDuplicates([key]), done, key)), target)
+        done = read_or_empty(spark, done_path, T.StructType([f for f in rows.schema if f.name == key]))
+        fresh = pending(rows.dropDuplicates([key]), done, key).persist()
+        append_rows(work(fresh), target)
+        append_rows(fresh.select(key), done_path)
+        fresh.unpersist()
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

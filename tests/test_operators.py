@@ -113,7 +113,7 @@ def test_sources(spark, tmp_path):
     doc = {"images": [{"id": 2, "file_name": "b.jpg"}, {"id": 1, "file_name": "a.jpg"}], "categories": [{"id": 7, "name": "cat"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 7}, {"id": 2, "image_id": 1, "category_id": 8}]}
     (tmp_path / "i.json").write_text(json.dumps(doc))
     (tmp_path / "c.json").write_text(json.dumps({"annotations": [{"id": 1, "image_id": 1, "caption": "z"}, {"id": 2, "image_id": 1, "caption": "a"}]}))
-    got = {r.image_id: r for r in readers.coco_samples(spark, str(tmp_path / "i.json"), str(tmp_path / "c.json"), "/x").collect()}
+    got = {r.image_id: r for r in readers.coco_samples(spark, str(tmp_path / "i.json"), str(tmp_path / "c.json"), str(tmp_path)).collect()}
     assert got[1].coco_objects == ["cat"] and got[1].captions == ["z", "a"] and got[2].annotations == [] and got[2].captions == []
     (tmp_path / "p.jsonl").write_text('{"text":"Is there a Cat in the image?","image":"x_000000000012.jpg","label":"yes"}\n\n{"text":"huh","image":"1.jpg","label":"no"}\n{"text":"Is there an owl in the image?","image":"3.jpg","label":"no"}\n')
     assert [(r.question_id, r.image_id, r.object_word) for r in readers.pope_questions(spark, str(tmp_path / "p.jsonl")).orderBy("question_id").collect()] == [(0, 12, "cat"), (3, 3, "owl")]
