@@ -186,8 +186,8 @@ def test_saved_models_and_training(spark, tmp_path):
     assert drivers.report(out["detection"], "test").first().line.startswith("[test]  test_images=")
     x = L.feature_matrix(rows.withColumn("none", F.lit(None).cast("array<double>")), "none", "feature_vector")
     assert x.first().x == data[0][1]
-    model = L.build("rf", {"n_estimators": 2, "max_depth": 2}, 4).fit(x)
+    model = L.build("rf", {"n_estimators": 20, "max_depth": 3}, 4).fit(x)
     readers.save_model(model, str(tmp_path / "m"))
-    assert readers.load_model(RandomForestClassificationModel, str(tmp_path / "m")).getNumTrees == 2
+    assert readers.load_model(RandomForestClassificationModel, str(tmp_path / "m")).getNumTrees == 20
     got = {r.block: r.importance for r in L.block_importance(model, x, 1, repeats=2).collect()}
     assert len(got) == 4 and got[0] > max(got[1], got[2], got[3])
