@@ -270,7 +270,7 @@ def one_of_each(docs: DataFrame, found: DataFrame, key: str, named: Callable[[Da
     columns = docs.columns
     ids = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))).alias("least"))
     # the ids that go are fewer than those that stay: as long as they are small enough to broadcast, no text is moved
-    gone = ids.where("n > 1 OR NOT least").select("doc_id")
+    gone = staged(ids.where("n > 1 OR NOT least").select("doc_id"), "gone-ids")
     kept = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").select(*columns)
     roots = found.select(F.col(key).alias("__key"), F.col("root").alias("__root"), F.col("component_id").alias("__least")).distinct()
     repeated = ids.where("n > 1 AND least").select("doc_id")

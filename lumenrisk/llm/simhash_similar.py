@@ -435,7 +435,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, shingle: int)
         node, sets = zip(*[shingle_set(t, shingle) for t in texts], strict=True) if texts else ((), ())
         return {"node": np.array(node, np.uint64).view(np.int64), "shingles": [h.tobytes() for h in sets]}
 
-    wanted = distinct.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id"))
+    # a table's size is known before the join is planned, so texts are not shuffled for a short list of ids
+    wanted = staged(distinct.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")), "wanted-ids")
     slim = docs.select("doc_id", "text")
     slim = slim.join(wanted, "doc_id", "left_semi").unionByName(slim.where("doc_id is null"))
     found = per_document(slim, kernel, [field("node", T.LongType()), field("shingles", T.BinaryType())], keep=[])
