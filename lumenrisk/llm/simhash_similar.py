@@ -10,10 +10,10 @@ A section is walked in three rotations by bytes: paths that differ in at most tw
 bytes, so that byte is the key by which Spark deals the leaves. A node with too many leaves is taken a byte further
 down in Spark, as pairs of its children.
 
-The walk sends a spanning forest of the near pairs to the exact check, which joins most of a group at little cost.
-An edge of it that fails can hide a link between other members of the group. So every group of near fingerprints that
-the check leaves in several parts is compared as a whole: its shingle sets are dealt in pairs of blocks, shared
-shingles are counted for all pairs of two blocks at once, and what goes on is a spanning forest of the true links.
+The walk gives a spanning forest of the near pairs, whose components are groups of near fingerprints. The shingle sets
+of a group that fits in one task are dealt there once, shared shingles are counted for all its pairs, and what goes on
+is a spanning forest of the true links. In a larger group the edges of the forest are checked first, which joins most
+of it at little cost; if that leaves it in several parts, it is compared as a whole too, dealt in pairs of blocks.
 
 Fingerprints of few shingles are coarse. Texts of at most 13 distinct shingles are therefore also linked exactly: sets
 of a similarity of 0.8 become equal when at most two shingles of each are left out, so they meet at a common subset.
@@ -372,27 +372,27 @@ def _across(similarity: float):
     return run
 
 
-def links_across(near: DataFrame, edges: DataFrame, linked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(src, dst): links between the parts of each group of near texts that ``linked`` leaves in several parts.
+def compared(rows: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): a spanning forest of all links between the parts of each block pair (comp, lo, hi) of ``rows``."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = ["comp", "lo", "hi"]
+    dealt = rows.select(*keys, "node", "part", "shingles").repartition(n, *keys).sortWithinPartitions(*keys, "node")
+    return dealt.mapInArrow(_across(similarity), "src long, dst long")
+
 
-    near: the nodes of ``edges``. A large group is cut into blocks by a hash, and each two of them are compared, so
-    no task holds more than two blocks.
+def links_across(sets: DataFrame, big: DataFrame, linked: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links between the parts of each group in ``big`` that ``linked`` leaves in several parts.
+
+    Such a group is cut into blocks by a hash, and each two of them are compared, so no task holds more than two blocks.
     """
-    n = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    group = components(edges)
-    rows = near.join(group, "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
-    rows = rows.join(linked, "node", "left").select("node", "comp", F.coalesce("root", "node").alias("part"))
-    rows = staged(rows, "near-parts")
-    unstaged(group)
+    rows = sets.select("node", "comp").join(big, "comp").join(linked, "node", "left")
+    rows = staged(rows.select("node", "comp", "blocks", F.coalesce("root", "node").alias("part")), "near-parts")
     open_ = rows.groupBy("comp").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("comp")
-    rows = rows.join(open_, "comp").join(sets, "node")
-    size = rows.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES)).alias("blocks"))
-    rows = rows.join(size, "comp").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.join(open_, "comp").join(sets.select("node", "shingles"), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    keys = ["comp", "lo", "hi"]
     rows = rows.select("comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "part", "shingles")
-    dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys, "node")
-    return dealt.mapInArrow(_across(similarity), "src long, dst long").distinct()
+    return compared(rows, similarity).distinct()
 
 
 def _checked(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -428,19 +428,20 @@ def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return _checked(others.join(hubs, ["src", "block"]), similarity)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the nodes; each text is taken from the document with its smallest id."""
+def _sets(docs: DataFrame, group: DataFrame, distinct: DataFrame, shingle: int) -> DataFrame:
+    """(node, comp, size, shingles) of the nodes in ``group``; each text is taken from the document with its smallest id."""
 
     def kernel(texts: list[str]) -> dict:
         node, sets = zip(*[shingle_set(t, shingle) for t in texts], strict=True) if texts else ((), ())
         return {"node": np.array(node, np.uint64).view(np.int64), "shingles": [h.tobytes() for h in sets]}
 
     # a table's size is known before the join is planned, so texts are not shuffled for a short list of ids
-    wanted = staged(distinct.join(nodes, "node", "left_semi").select(F.col("least").alias("doc_id")), "wanted-ids")
+    wanted = staged(distinct.join(group, "node", "left_semi").select(F.col("least").alias("doc_id")), "wanted-ids")
     slim = docs.select("doc_id", "text")
     slim = slim.join(wanted, "doc_id", "left_semi").unionByName(slim.where("doc_id is null"))
     found = per_document(slim, kernel, [field("node", T.LongType()), field("shingles", T.BinaryType())], keep=[])
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    once = found.join(group, "node").groupBy("node").agg(F.first("comp").alias("comp"), F.first("shingles").alias("shingles"))
+    return once.select("node", "comp", F.length("shingles").alias("size"), "shingles")
 
 
 def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_leaves: int = MAX_LEAVES) -> DataFrame:
@@ -456,16 +457,28 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     distinct = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("few").alias("few"), F.count("*").alias("rows")), "wide-fp")
     empty = F.lit(xxhash.xxh64_intdigest(b"") - (1 << 64))
     edges = staged(candidates(distinct.where(F.col("node") != empty).select("node", "fp"), similarity, max_leaves), "wide-links")
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    sets = staged(_sets(docs, nodes, distinct, shingle), "shingles")
-    links = staged(verified(edges, sets, similarity).unionByName(few_links(distinct, similarity)), "near-links")
-    near = staged(nodes, "wide-near")
+    stars = components(edges)
+    group = stars.select("node", F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
+    sets = staged(_sets(docs, group, distinct, shingle), "shingles")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_NODES), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks")
+    big = staged(sets.groupBy("comp").agg(blocks).where("blocks > 1"), "big-groups")
+    zero = F.lit(0).cast("long")
+    small = sets.join(big, "comp", "left_anti").select("comp", zero.alias("lo"), zero.alias("hi"), "node", F.col("node").alias("part"), "shingles")
+    links = compared(small, similarity).unionByName(few_links(distinct, similarity))
+    tables = [edges, stars, sets, big]
+    crowded = not big.isEmpty()
+    if crowded:
+        inner = group.join(big, "comp", "left_semi").select(F.col("node").alias("src"))
+        links = links.unionByName(verified(edges.join(inner, "src", "left_semi"), sets.join(big, "comp", "left_semi"), similarity))
+    links = staged(links, "near-links")
     linked = components(links)
-    more = staged(links_across(near, edges, linked, sets, similarity), "near-links")
-    tables = [edges, near, sets, links, more]
-    if not more.isEmpty():
-        unstaged(linked)
-        linked = components(links.unionByName(more))
+    tables.append(links)
+    if crowded:
+        more = staged(links_across(sets, big, linked, similarity), "near-links")
+        tables.append(more)
+        if not more.isEmpty():
+            unstaged(linked)
+            linked = components(links.unionByName(more))
     linked_all = linked.union(linked.select(F.col("root").alias("node"), "root").distinct())
     inside = staged(distinct.select("node", "least").join(linked_all, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root")), "wide-roots")
     for gone in (linked, *tables):
