@@ -151,8 +151,12 @@ class Classifier:
         x[-3], x[-2], x[-1] = min(hits, 3), math.log1p(float(x[:-3].sum())), hits > 0
         return x
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(x @ self.w + self.b, -30, 30).astype(float)))
+    def score(self, text: str) -> float:
+        """Of one text by itself, as an exactly rounded sum, so that no other row of a batch has a part in it."""
+        x = self.features(text)
+        at = np.flatnonzero(x)
+        z = math.fsum([*(x[at].astype(float) * self.w[at]).tolist(), self.b])
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
 
 def fit_linear(x: np.ndarray, p: np.ndarray, rounds: int = 300, l2: float = 2e-4) -> tuple[np.ndarray, float]:
@@ -204,7 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     gain = p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q))
     best = counts.where((F.col("toxic") >= max(LEAST, n.toxic * LEAST_SHARE)) & (p / q >= LIFT)).orderBy(gain.desc(), "term").limit(TERMS).select("term").collect()
     terms = [r.term for r in best]
-    blank = Classifier({t: i for i, t in enumerate(terms)}, len(LEXICON), np.zeros(len(terms) + 3, np.float32), 0.0)
+    blank = Classifier({t: i for i, t in enumerate(terms)}, len(LEXICON), np.zeros(len(terms) + 3), 0.0)
     graded = grades(terms)
 
     def shown(texts: list[str]) -> dict:
@@ -217,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, sample
     votes = np.array([r.votes for r in got])
     model = label_model(votes, sum(r.label for r in got) / len(got))
     w, b = fit_linear(x, model.posterior(votes))
-    return Classifier(blank.index, blank.fixed, w.astype(np.float32), b), model
+    return Classifier(blank.index, blank.fixed, w, b), model
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
@@ -225,8 +229,7 @@ def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def kernel(texts: list[str]) -> dict:
-        c = shared.value
-        return {"score": c.score(np.stack([c.features(t) for t in texts])) if texts else []}
+        return {"score": [shared.value.score(t) for t in texts]}
 
     return per_document(docs, kernel, [field("score", T.DoubleType())])
 

@@ -370,6 +370,27 @@ def test_toxicity_is_repeatable(spark):
     assert np.mean([p == (i % 5 == 0 or i >= 300) for i, (_, p) in got[0].items()]) > 0.95
 
 
+def test_scores_do_not_depend_on_the_batch(spark):
+    """The quality scores of three layouts agree to the last bit; so do both classifiers' scores row by row."""
+    rows = [(i, " ".join([text(i, 20 + i % 50), "$$$ ### " * (i % 7)]), "en", "a") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 7 < 4), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = []
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[1::2] + rows[::2], 7)):
+        found = quality_fm.classify(table(spark, order).repartition(parts), labels.repartition(parts))
+        got.append({r["doc_id"]: (r["score"], r["predicted"]) for r in every(found)})
+    assert got[0] == got[1] == got[2]
+    rng = np.random.default_rng(5)
+    d = quality_fm.WORDS + quality_fm.STATS + quality_fm.EXTRA
+    x = (rng.random((200, d)) * (rng.random((200, d)) < 0.1)).astype(np.float32)
+    m = quality_fm.Machine(np.zeros(d - quality_fm.WORDS), np.ones(d - quality_fm.WORDS), 0.1, rng.normal(size=d), rng.normal(size=(d, 8)))
+    assert m.score(x).tolist() == [m.score(r[None])[0] for r in x]
+    c = toxicity.Classifier({w: i for i, w in enumerate(WORDS)}, 0, rng.normal(size=len(WORDS) + 3), -1.0)
+    words = [" ".join(rng.choice(WORDS, 9)) for _ in range(50)]
+    for t in words:
+        f = c.features(t).astype(float)
+        assert c.score(t) == pytest.approx(1 / (1 + math.exp(1.0 - f @ c.w)), rel=1e-12)
+
+
 def plain_label_model(votes, prior, rounds):
     """EM with loops: the table of log P(vote | class), and the posteriors under it with each voter's weight."""
     n, m = len(votes), len(votes[0])
