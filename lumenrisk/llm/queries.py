@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, langid, licenses, lm_scores, mixing, quality_fm, quality_rules, secrets, simhash_dedup, toxicity
+from . import conversations, decontam, langid, licenses, lm_scores, mixing, quality_fm, quality_rules, secrets, simhash_dedup, toxicity
 from .common import fold, table
 
 
@@ -58,12 +58,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    ten = (op1_secret_scan, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_toxicity, op7_license_scan, op8_lm_scores, op9_mixing, op10_language_id, pipeline)
+    ten = (op1_secret_scan, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_toxicity, op7_license_scan, op8_lm_scores, op9_mixing, op10_language_id, op12_conversation_repair, pipeline)
     return {f.__name__: f for f in ten}
 
 
@@ -138,5 +142,53 @@ SELECT doc_id, size, p.source_size, target,
 FROM ranked s JOIN passes p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN edge e ON s.source IS NOT DISTINCT FROM e.source"""
 
 
+_REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(k, ''), lambda c: ascii(c)::BIGINT),
+             lambda acc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(acc, b)), 4294967295), 4294967295) % 20 AS kind
+  FROM keyed
+), hurt AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, role[1] AS c, lag(role[1]) OVER w AS before
+  FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), judged AS (
+  SELECT *, bare = '' AS blank, bare <> '' AND again > 1 AS duplicate, bare <> '' AND again = 1 AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+         CASE WHEN bare <> '' AND again = 1 AND right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS more FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM judged GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'a': '', 't': ''} AS s0, {'c': 1000000000000::BIGINT, 'a': '', 't': ''} AS s1,
+         {'c': 1000000000000::BIGINT, 'a': '', 't': ''} AS s2, {'c': 1000000000000::BIGINT, 'a': '', 't': ''} AS s3 FROM counts
+  UNION ALL
+  SELECT w.conv_id, r.i,
+    {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t},
+    list_min([{'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t}] || CASE WHEN NOT blank AND NOT duplicate AND r.c = 's' THEN [{'c': s0.c + more, 'a': s0.a || 'K', 't': s0.t || chr(10) || role || ':' || text}] ELSE [] END),
+    list_min([{'c': x2.c + 4, 'a': x2.a || 'D', 't': x2.t}] || CASE WHEN blank OR duplicate THEN [] ELSE list_concat(
+      [{'c': s.c + 3 + more, 'a': s.a || 'R', 't': s.t || chr(10) || 'user:' || text} FOR s IN [s0, s1, x3]],
+      CASE WHEN r.c = 'u' THEN [{'c': s.c + more, 'a': s.a || 'K', 't': s.t || chr(10) || role || ':' || text} FOR s IN [s0, s1, x3]] ELSE [] END) END),
+    list_min([{'c': x3.c + 4, 'a': x3.a || 'D', 't': x3.t}] || CASE WHEN blank OR duplicate THEN [] ELSE list_concat([{'c': x2.c + 3 + more, 'a': x2.a || 'R', 't': x2.t || chr(10) || 'assistant:' || text}],
+      CASE WHEN r.c = 'a' THEN [{'c': x2.c + more, 'a': x2.a || 'K', 't': x2.t || chr(10) || role || ':' || text}] ELSE [] END) END)
+  FROM (
+    SELECT *, list_min([s3, {'c': x2.c + 3, 'a': x2.a || 'I', 't': x2.t || chr(10) || 'assistant:'}]) AS x3
+    FROM (SELECT *, list_min([s2] || [{'c': s.c + 3, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'} FOR s IN [s0, s1, s3]]) AS x2 FROM walk)
+  ) w JOIN judged r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1
+), ended AS (
+  SELECT w.conv_id, list_min([s0, s3, {'c': x2.c + 3, 'a': x2.a || 'I', 't': x2.t || chr(10) || 'assistant:'}]) AS best
+  FROM (SELECT *, list_min([s2] || [{'c': s.c + 3, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'} FOR s IN [s0, s1]]) AS x2 FROM walk) w
+  JOIN counts n ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND n.n = w.i
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": _license_sql(), "op8_lm_scores": _LM_SQL, "op9_mixing": _MIX_SQL}
+    return {"op12_conversation_repair": _REPAIR_SQL, "op7_license_scan": _license_sql(), "op8_lm_scores": _LM_SQL, "op9_mixing": _MIX_SQL}
