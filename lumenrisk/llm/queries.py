@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import conversations, decontam, langid, licenses, lm_scores, mixing, quality_fm, quality_rules, secrets, simhash_dedup, toxicity
+from . import conversations, decontam, divergence, langid, licenses, lm_scores, mixing, nearest, quality_fm, quality_rules, secrets, simhash_dedup, toxicity
 from .common import fold, table
 
 
@@ -58,16 +58,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    ten = (op1_secret_scan, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_toxicity, op7_license_scan, op8_lm_scores, op9_mixing, op10_language_id, op12_conversation_repair, pipeline)
+    ten = (op1_secret_scan, op2_benchmark_decontamination, op3_quality_rules, op4_simhash_near_dedup, op5_quality_classifier, op6_toxicity, op7_license_scan, op8_lm_scores, op9_mixing, op10_language_id, op11_source_divergence, op12_conversation_repair, op13_nearest_neighbours, pipeline)
     return {f.__name__: f for f in ten}
 
 
@@ -190,5 +198,31 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id"""
 
 
+_DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), words AS MATERIALIZED (SELECT d, lang, source, unnest(w) AS term FROM docs),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+used AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY lang, source),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+ps AS MATERIALIZED (
+  SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN totals t USING (lang, source) LEFT JOIN used u USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce((SELECT sum(abs(x.p - y.p)) FROM ps x JOIN ps y ON x.lang = y.lang AND x.term = y.term
+         WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+), terms AS (
+  SELECT lang, source, term AS item, (p - q)::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank FROM ps WHERE c > 0 AND p > q
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, rank::INT FROM terms WHERE rank <= 50"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_conversation_repair": _REPAIR_SQL, "op7_license_scan": _license_sql(), "op8_lm_scores": _LM_SQL, "op9_mixing": _MIX_SQL}
+    return {"op11_source_divergence": _DIVERGENCE_SQL, "op12_conversation_repair": _REPAIR_SQL, "op7_license_scan": _license_sql(), "op8_lm_scores": _LM_SQL, "op9_mixing": _MIX_SQL}
