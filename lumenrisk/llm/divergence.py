@@ -21,7 +21,7 @@ from .common import staged
 #: Documents of its language that hold a kept term; scale of the probabilities; terms that are listed for a source.
 LEAST, SCALE, TOP = 30, 1_000_000_000, 50
 #: Bytes of text that are sorted at once, or one text if it is longer; pointers that plain sorting takes over from.
-SHARD, SMALL = 1 << 22, 1 << 12
+SHARD, SMALL = 1 << 23, 1 << 15
 
 _BYTES = np.arange(256)
 _IS_UPPER = (_BYTES >= 65) & (_BYTES <= 90)
@@ -42,50 +42,65 @@ def word_pointers(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return start, end - start, np.searchsorted(offsets, start, "right") - 1
 
 
-def _keys(data: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
+#: Keeps the first so many of eight bytes.
+_MASK = np.array([((1 << 8 * n) - 1) << 8 * (8 - n) for n in range(9)], np.uint64)
+
+
+#: The last of eight bytes; a word goes on if it isn't 0.
+_MORE = np.uint64(255)
+
+
+def _keys(eights: np.ndarray, start: np.ndarray, length: np.ndarray, depth: int) -> np.ndarray:
     """The eight bytes at ``depth`` of each word as one number that sorts like them; bytes beyond the word are 0."""
-    left = np.clip(length - depth, 0, 8)
-    raw = data[np.minimum(start[:, None] + (depth + np.arange(8)), len(data) - 1)]
-    raw[np.arange(8) >= left[:, None]] = 0
-    return np.ascontiguousarray(raw).view(">u8").ravel().astype(np.uint64)
+    return eights[start + depth].astype(np.uint64) & _MASK[np.clip(length - depth, 0, 8)]
 
 
 def multikey_quicksort(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the pointers, whether a run of equal words starts there).
 
-    Slices are split in three around a pivot's eight bytes; the middle part goes on with the next eight. Pointers that
-    are equal keep their order. Small slices are ordered by one key at a time. No word has a byte 0, so a key that
-    ends in 0 ends the word.
+    Slices are split in three around a pivot's eight bytes; the middle part goes on with the next eight. What falls
+    below ``SMALL`` pointers is ordered by the same eight bytes, all such slices at once. Pointers that are equal keep
+    their order. No word has a byte 0, so a key that ends in 0 ends the word.
     """
-    order = np.arange(len(start))
-    first = np.zeros(len(start), bool)
-    todo = [(0, len(start), 0)] if len(start) else []
-    while todo:
-        lo, hi, depth = todo.pop()
-        own = order[lo:hi]
-        key = _keys(data, start[own], length[own], depth)
-        if hi - lo > SMALL:
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray(len(data) + 1, ">u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    order, first = np.arange(len(start)), np.zeros(len(start), bool)
+    slices, depth = np.array([[0, len(start)]] if len(start) else []).reshape(-1, 2).astype(np.int64), 0
+    while len(slices):
+        todo, small, later = [tuple(s) for s in slices[slices[:, 1] - slices[:, 0] > SMALL].tolist()], [], []
+        while todo:
+            lo, hi = todo.pop()
+            if hi - lo <= SMALL:
+                small.append((lo, hi))
+                continue
+            own = order[lo:hi]
+            key = _keys(eights, start[own], length[own], depth)
             pivot = np.sort(key[[0, (hi - lo) // 2, hi - lo - 1]])[1]
-            parts = [key < pivot, key == pivot, key > pivot]
-            order[lo:hi] = np.concatenate([own[p] for p in parts])
-            n, m = int(parts[0].sum()), int(parts[1].sum())
-            todo += [x for x in ((lo, lo + n, depth), (lo + n + m, hi, depth)) if x[0] < x[1]]
-            if pivot & np.uint64(255):
-                todo.append((lo + n, lo + n + m, depth + 8))
-            else:
-                first[lo + n] = True
-            continue
-        by = np.argsort(key, kind="stable")
-        order[lo:hi], key = own[by], key[by]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        size = np.diff(np.append(edge, hi - lo))
-        first[lo + edge] = True
-        for at, n in zip(edge[more := (size > 1) & (key[edge] & np.uint64(255) > 0)].tolist(), size[more].tolist(), strict=True):
-            todo.append((lo + at, lo + at + n, depth + 8))
+            parts = [own[key < pivot], own[key == pivot], own[key > pivot]]
+            order[lo:hi] = np.concatenate(parts)
+            n, m = lo + len(parts[0]), hi - len(parts[2])
+            first[n] = True
+            todo += [x for x in ((lo, n), (m, hi)) if x[0] < x[1]]
+            if pivot & _MORE:
+                later.append((n, m))
+        small = np.concatenate((slices[slices[:, 1] - slices[:, 0] <= SMALL], np.array(small, np.int64).reshape(-1, 2)))
+        size = small[:, 1] - small[:, 0]
+        of = np.repeat(np.arange(len(small)), size)
+        at = np.arange(len(of)) + (small[:, 0] - (np.cumsum(size) - size))[of]
+        own = order[at]
+        key = _keys(eights, start[own], length[own], depth)
+        by = np.lexsort((key, of))
+        order[at], key = own[by], key[by]
+        edge = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), (of[1:] != of[:-1]) | (key[1:] != key[:-1]))))
+        first[at[edge]] = True
+        size = np.diff(np.append(edge, len(at)))
+        more = (size > 1) & (key[edge] & _MORE > 0)
+        slices = np.concatenate((np.stack((at[edge[more]], at[edge[more]] + size[more]), axis=1), np.array(later, np.int64).reshape(-1, 2)))
+        depth += 8
     return order, first
 
 
-def shard_counts(texts: pa.Array, group: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+def shard_counts(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(words, groups, counts, documents): of each word in each group of documents, from the runs of sorted pointers."""
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     body = texts.buffers()[2]
@@ -93,15 +108,26 @@ def shard_counts(texts: pa.Array, group: np.ndarray) -> tuple[list[bytes], np.nd
     start, length, doc = word_pointers(data, offsets - offsets[0])
     order, first = multikey_quicksort(data, start, length)
     if not len(order):
-        return [], *(np.zeros(0, np.int64) for _ in range(3))
-    run, doc = np.cumsum(first) - 1, doc[order]
+        return pa.array([], pa.binary()), *(np.zeros(0, np.int64) for _ in range(3))
+    doc = doc[order]
     fresh = first | np.concatenate(([True], doc[1:] != doc[:-1]))  # equal pointers stand in the documents' order
     wide = int(group.max()) + 1
-    cell, back = np.unique(run * wide + group[doc], return_inverse=True)
-    head = order[np.flatnonzero(first)]
-    raw = data.tobytes()
-    words = [raw[s : s + n] for s, n in zip(start[head].tolist(), length[head].tolist(), strict=True)]
-    return [words[r] for r in (cell // wide).tolist()], cell % wide, np.bincount(back), np.bincount(back, fresh).astype(np.int64)
+    cell = (np.cumsum(first) - 1) * wide + group[doc]
+    runs = int(first.sum())
+    if runs * wide <= 16 * len(order) + (1 << 20):
+        n = np.bincount(cell, minlength=runs * wide)
+        cells = np.flatnonzero(n)
+        n, docs = n[cells], np.bincount(cell, fresh, runs * wide)[cells].astype(np.int64)
+    else:
+        cells, back = np.unique(cell, return_inverse=True)
+        n, docs = np.bincount(back), np.bincount(back, fresh).astype(np.int64)
+    head = order[first]
+    # the distinct words as one buffer of bytes
+    size = length[head]
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    raw = data[np.arange(ends[-1]) + np.repeat(start[head] - ends[:-1], size)]
+    words = pa.Array.from_buffers(pa.binary(), runs, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return words.take(pa.array(cells // wide)), cells % wide, n, docs
 
 
 _COUNTED = T.StructType([T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("term", T.StringType()), T.StructField("n", T.LongType()), T.StructField("docs", T.LongType())])
@@ -126,7 +152,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 words, of, n, d = shard_counts(body.slice(lo, hi - lo), group)
                 names = list(known)
                 at = pa.array(of)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], pa.string()).take(at), pa.array([k[1] for k in names], pa.string()).take(at), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], schema=_ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in names], pa.string()).take(at), pa.array([k[1] for k in names], pa.string()).take(at), words.cast(pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], schema=_ARROW)
 
     found = docs.select(text("text"), text("lang"), text("source")).mapInArrow(count, _COUNTED)
     return found.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
