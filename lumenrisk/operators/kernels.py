@@ -245,12 +245,21 @@ def top_heads(rows: DataFrame, keys: list[str], k: int = 0) -> DataFrame:
     return packed.select(*keys, one.alias("attention"))
 
 
-def target_probabilities(states: DataFrame, weights: np.ndarray, batch: int = 64) -> DataFrame:
-    """(key, probability of ``target``) from hidden states and a broadcast output matrix (vocabulary x width).
+#: Bytes of an output matrix that are broadcast at most; a larger one comes as a table.
+BROADCAST_BYTES = 64 << 20
 
-    The matrix is a model's, its size fixed and known to the caller; ids out of range get 0.
+
+def target_probabilities(states: DataFrame, weights: np.ndarray | DataFrame, batch: int = 64) -> DataFrame:
+    """(key, probability of ``target``) from hidden states and an output matrix (vocabulary x width).
+
+    A table (token, w) is used in shards; an array is broadcast, if it is small enough. Ids out of range get 0.
     """
-    shared = states.sparkSession.sparkContext.broadcast(np.asarray(weights, float))
+    if isinstance(weights, DataFrame):
+        return sharded_probabilities(states, weights)
+    weights = np.asarray(weights, float)
+    if weights.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"a matrix of {weights.nbytes >> 20} MB is too large to broadcast; give it as a table (token, w)")
+    shared = states.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = shared.value
@@ -266,3 +275,34 @@ def target_probabilities(states: DataFrame, weights: np.ndarray, batch: int = 64
                 yield pd.DataFrame({"key": part["key"].to_numpy(), "probability": p})
 
     return states.select("key", "state", "target").mapInPandas(run, "key long, probability double")
+
+
+def sharded_probabilities(states: DataFrame, weights: DataFrame, shard: int = 4096, block: int = 1024) -> DataFrame:
+    """(key, probability) as above, with the matrix as a table (token long, w array) in shards of ``shard`` tokens.
+
+    A shard meets a block of states as two matrices in one task, which gives each state the largest logit, the sum of
+    exp(logit - largest) and the target's logit, if it is in the shard; an aggregate merges these by state. No task or
+    driver holds the matrix. States without any token get 0; ``key`` tells states apart.
+    """
+    blocks = max(-(-states.count() // block), 1)
+    of = F.floor(F.col("token") / shard).cast("long")
+    known = [r[0] for r in weights.select(of).distinct().collect()]  # vocabulary / shard numbers
+    left = states.select("key", F.col("state").cast("array<double>").alias("state"), F.col("target").cast("long").alias("target"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*[F.lit(k) for k in sorted(known)]) if known else F.array().cast("array<bigint>")).alias("shard"))
+    right = weights.select(F.col("token").cast("long").alias("token"), F.col("w").cast("array<double>").alias("w"), of.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
+    kind = states.schema["key"].dataType.simpleString()
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, w = (np.array(t.column(c).to_pylist(), float) for t, c in ((a, "state"), (b, "w")))
+        if not len(x) or not len(w):
+            return pa.table({"key": a.column("key").slice(0, 0), "top": pa.array([], pa.float64()), "rest": pa.array([], pa.float64()), "logit": pa.array([], pa.float64())})
+        logits = x @ w.T
+        top = logits.max(1)
+        place = {t: i for i, t in enumerate(b.column("token").to_pylist())}
+        at = [place.get(t) for t in a.column("target").to_pylist()]
+        return pa.table({"key": a.column("key"), "top": top, "rest": np.exp(logits - top[:, None]).sum(1), "logit": pa.array([None if j is None else float(logits[i, j]) for i, j in enumerate(at)], pa.float64())})
+
+    parts = left.groupBy("block", "shard").cogroup(right.groupBy("met", "own")).applyInArrow(meet, f"key {kind}, top double, rest double, logit double")
+    merged = parts.groupBy("key").agg(F.max("top").alias("top"), F.collect_list(F.struct("top", "rest")).alias("parts"), F.max("logit").alias("logit"))
+    total = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["rest"] * F.exp(p["top"] - F.col("top")))
+    found = merged.select("key", F.when(F.col("logit").isNotNull(), F.exp(F.least(F.lit(0.0), F.col("logit") - F.col("top") - F.log(total)))).alias("p"))
+    return states.select("key").join(found, "key", "left").select("key", F.coalesce("p", F.lit(0.0)).alias("probability"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
+from fractions import Fraction
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,26 +61,26 @@ def classification_report(rows: DataFrame, predicted: str, label: str = "label")
     return each.union(macro).union(weighted)
 
 
-def running(rows: DataFrame, order: str, sums: list[str], buckets: int = 256) -> DataFrame:
-    """``rows`` (one for each ``order`` value) with before_<sum>: the sum over all smaller values.
+def running(rows: DataFrame, order: str, sums: list[str], by: Sequence[str] = (), buckets: int = 256) -> DataFrame:
+    """``rows`` (one for each ``order`` value of a group) with before_<sum>: the sum over the group's smaller values.
 
     Values are cut into ranges at approximate quantiles; windows run inside a range and over the ranges' totals,
-    so no task sees all values.
+    so no task sees all values. ``by``: columns of few groups (the cuts and totals, ``buckets`` a group, are broadcast).
     """
-    cuts = sorted(set(rows.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.002)))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    cut = rows.withColumn("__b", F.size(F.filter(bounds, lambda c: c < F.col(order))))
-    over = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy("__b").agg(*[F.sum(s).alias(s) for s in sums])
-    totals = totals.select("__b", *[F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"__t_{s}") for s in sums])
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(F.broadcast(totals), "__b")  # at most ``buckets`` rows
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10 * buckets).alias("__cuts"))
+    cut = rows.join(F.broadcast(cuts), list(by)) if by else rows.crossJoin(F.broadcast(cuts))  # one row
+    cut = cut.withColumn("__b", F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(order)))).drop("__cuts")
+    over = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*by, "__b").agg(*[F.sum(s).alias(s) for s in sums])
+    totals = totals.select(*by, "__b", *[F.coalesce(F.sum(s).over(over), F.lit(0)).alias(f"__t_{s}") for s in sums])
+    inside = Window.partitionBy(*by, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(F.broadcast(totals), [*by, "__b"])  # at most ``buckets`` rows a group
     return out.withColumns({f"before_{s}": F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"__t_{s}") for s in sums}).drop("__b", *[f"__t_{s}" for s in sums])
 
 
-def _by_score(rows: DataFrame, score: str, label: str) -> DataFrame:
+def _by_score(rows: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
     y = F.col(label)
-    return labelled(rows, label).where(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
+    return labelled(rows, label).where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("s")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
 
 
 def roc_auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
@@ -89,15 +91,15 @@ def roc_auc(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     return agg.select(F.when(both > 0, F.col("u") / both).otherwise(F.lit(float("nan"))).alias("auc"), "n_pos", "n_neg")
 
 
-def mann_whitney(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
-    """One row (u, z, p) for class 1 against class 0: two-sided, with tie and continuity correction.
+def mann_whitney(rows: DataFrame, score: str, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+    """(``by``, u, z, p) for class 1 against class 0: two-sided, with tie and continuity correction; one row without ``by``.
 
-    For a smaller class of 8 rows at most, without ties, p is exact, as long as the sizes' product is at most 40 million
-    (beyond it the normal approximation is exact to more digits than a double of the sum). NaN without one of the classes.
+    For a smaller class of 8 rows at most, without ties, p is exact, whatever the size of the other class. NaN without
+    one of the classes.
     """
-    d = running(_by_score(rows, score, label), "s", ["neg"])
+    d = running(_by_score(rows, score, label, by), "s", ["neg"], by)
     t = F.col("pos") + F.col("neg")
-    a = d.agg(
+    a = d.groupBy(*by).agg(
         F.coalesce(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)), F.lit(0.0)).alias("u"),
         F.coalesce(F.sum("pos"), F.lit(0)).cast("double").alias("n1"), F.coalesce(F.sum("neg"), F.lit(0)).cast("double").alias("n0"), F.sum(t.cast("double") * t * t - t).alias("ties"),
     )
@@ -109,38 +111,51 @@ def mann_whitney(rows: DataFrame, score: str, label: str = "label") -> DataFrame
     def p_value(zs: pd.Series, u: pd.Series, n1: pd.Series, n0: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series([two_sided(*x) for x in zip(zs, u, n1, n0, ties, strict=True)])
 
-    return a.select("u", z.alias("z"), p_value(z, "u", "n1", "n0", "ties").alias("p"))
+    return a.select(*by, "u", z.alias("z"), p_value(z, "u", "n1", "n0", "ties").alias("p"))
 
 
 def two_sided(z: float, u: float, n1: float, n0: float, ties: float) -> float:
     if min(n1, n0) <= 0:
         return float("nan")
-    if min(n1, n0) <= 8 and not ties and n1 * n0 <= 40_000_000:
+    if min(n1, n0) <= 8 and not ties:
         return exact_p(u, int(n1), int(n0))
     return math.erfc(z / math.sqrt(2)) if z == z else 1.0  # all values equal: no evidence
 
 
+@lru_cache(16)
+def _numerator(k: int) -> tuple[int, list[int]]:
+    """(L, A) with 1 / ((1 - q)(1 - q)(1 - q^2) ... (1 - q^k)) = A(q) / (1 - q^L)^(k + 1), L the least common multiple."""
+    period = math.lcm(*range(1, k + 1))
+    a = [1] + [0] * ((k + 1) * period)
+    for step in (1, *range(1, k + 1)):  # times (1 - q^L) / (1 - q^step) = 1 + q^step + ... + q^(L - step)
+        for i in range(step, len(a)):
+            a[i] += a[i - step]
+        for i in range(len(a) - 1, period - 1, -1):
+            a[i] -= a[i - period]
+    return period, a
+
+
+def _partitions(m: int, k: int) -> int:
+    """How many partitions of numbers up to ``m`` have ``k`` parts at most: a polynomial in m on each of L residues."""
+    period, a = _numerator(k)
+    return sum(a[j] * math.comb((m - j) // period + k, k) for j in range(m % period, min(m, len(a) - 1) + 1, period) if a[j])
+
+
 def exact_p(u: float, n1: int, n0: int) -> float:
     """Two-sided p without ties: twice the share of the C(n1 + n0, k) rank sets with a statistic as far out as u.
 
     The sets with statistic s are counted by the Gaussian binomial (1 - q^(n+1)) ... (1 - q^(n+k)) / (1 - q) ... (1 - q^k).
-    Dividing is a running sum in steps of 1 to k, whose total gives all smaller statistics at once; the 2^k signed terms
-    of the product only shift it.
+    The 2^k signed terms of the product shift the partitions with k parts, which are counted in closed form in whole
+    numbers; so time and memory don't depend on n.
     """
     k, n = min(n1, n0), max(n1, n0)
     least = int(min(u, n1 * n0 - u))
-    ways = np.zeros(least + 1)
-    ways[0] = 1
-    for step in (1, *range(1, k + 1)):  # the first 1: up to each statistic
-        rows = -(-len(ways) // step)
-        wide = np.zeros(rows * step)
-        wide[: len(ways)] = ways
-        ways = np.cumsum(wide.reshape(rows, step), axis=0).ravel()[: least + 1]
     terms = {0: 1}
     for i in range(1, k + 1):
         for shift, sign in list(terms.items()):
             terms[shift + n + i] = terms.get(shift + n + i, 0) - sign
-    return min(1.0, 2 * sum(sign * ways[least - shift] for shift, sign in sorted(terms.items()) if shift <= least) / math.comb(n + k, k))
+    found = sum(sign * _partitions(least - shift, k) for shift, sign in terms.items() if shift <= least)
+    return min(1.0, float(Fraction(2 * found, math.comb(n + k, k))))
 
 
 def threshold_sweep(rows: DataFrame, score: str, label: str = "label", n: int = THRESHOLDS) -> DataFrame:
@@ -189,13 +204,11 @@ def layer_bands(rows: DataFrame, curve: str, label: str = "label", bands: list[t
 
 
 def band_tests(rows: DataFrame, curve: str, label: str = "label", bands: list[tuple[int, int]] = BANDS) -> DataFrame:
-    """(band, u, z, p): Mann-Whitney of the classes in each band."""
-    out = None
-    for band in bands:
-        one = rows.select(F.get(band_means(F.col(curve), [band]), F.lit(0))["value"].alias("v"), F.col(label).alias("label"))
-        found = mann_whitney(one, "v").select(F.lit(f"{max(band[0], 1)}-{band[1]}").alias("band"), "u", "z", "p")
-        out = found if out is None else out.union(found)
-    return out
+    """(band, u, z, p): Mann-Whitney of the classes in each band, ranked by band in one pass; NaN for a band without values."""
+    each = labelled(rows, label).select(F.col(label).alias("label"), F.inline(band_means(F.col(curve), bands))).select("label", "band", F.col("value").alias("v"))
+    found = mann_whitney(each.where("v is not null"), "v", by=["band"])
+    names = rows.sparkSession.createDataFrame([(f"{max(a, 1)}-{b}",) for a, b in bands], "band string")
+    return names.join(F.broadcast(found), "band", "left").select("band", F.coalesce("u", F.lit(0.0)).alias("u"), "z", F.coalesce("p", F.lit(float("nan"))).alias("p"))
 
 
 def chair_summary(images: DataFrame, mentions: DataFrame, key: str = "image_id", flag: str = "hallucinated") -> DataFrame:

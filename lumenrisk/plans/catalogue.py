@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,14 @@ from .. import drivers as D
 from ..functions import arrays as A
 from ..functions import positions as P
 from ..functions import text as X
+from ..operators import boosting as B
 from ..operators import captions as C
 from ..operators import captures as Z
 from ..operators import kernels as K
 from ..operators import learn as L
 from ..operators import metrics as M
 from ..operators import relational as R
+from ..operators import shapley as S
 from ..sources import providers, readers
 from ..sources.staging import scratch
 
@@ -660,6 +663,29 @@ def grid_search_gbt(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "gbt", {"n_estimators": 5, "max_depth": [2, 3], "learning_rate": 0.1})
 
 
+@query()
+def grid_search_xgb(spark: SparkSession, d: str) -> DataFrame:
+    return _grid(spark, d, "xgb", {"n_estimators": 4, "max_depth": [2, 3], "learning_rate": 0.3})
+
+
+_CUTS = [round(-0.3 + 0.05 * i, 2) for i in range(13)]
+
+
+@query(f"""
+WITH rows AS (SELECT v, (label < 5)::INT AS y FROM ({_E})), base AS (SELECT avg(y)::DOUBLE AS p, count(*)::DOUBLE AS n FROM rows),
+sums AS (SELECT f, c.edge, sum(p - y) FILTER (v[f] < c.edge) AS gl, p * (1 - p) * count(*) FILTER (v[f] < c.edge) AS hl, sum(p - y) AS g, p * (1 - p) * n AS h
+         FROM rows, base, range(1, 65) t(f), (SELECT unnest({_CUTS}::DOUBLE[]) AS edge) c GROUP BY f, c.edge, p, n),
+gains AS (SELECT *, (gl ** 2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g ** 2 / (h + 1)) / 2 AS gain FROM sums WHERE hl >= 1 AND h - hl >= 1)
+SELECT (f - 1)::INT AS feature, round(edge, 6) AS edge, round(-0.3 * gl / (hl + 1), 6) AS left_value, round(-0.3 * (g - gl) / (h - hl + 1), 6) AS right_value, round(hl, 6) AS left_cover, round(h - hl, 6) AS right_cover
+FROM gains ORDER BY round(gain, 6) DESC, feature, edge LIMIT 1""")
+def second_order_stump(spark: SparkSession, d: str) -> DataFrame:
+    rows = _curves(spark, d).select(F.col("v").alias("x"), "label")
+    t = B.fit(rows, 64, n_estimators=1, max_depth=1, learning_rate=0.3, cuts=[_CUTS] * 64).trees[0]
+    found = [(t.feature[0], t.at[0], t.value[t.left[0]], t.value[t.right[0]], t.cover[t.left[0]], t.cover[t.right[0]])] if t.left[0] >= 0 else []
+    names = ("edge", "left_value", "right_value", "left_cover", "right_cover")
+    return _rounded(spark.createDataFrame(found, "feature int, " + ", ".join(f"{n} double" for n in names)), *names)
+
+
 @query()
 def grid_search_rf(spark: SparkSession, d: str) -> DataFrame:
     return _grid(spark, d, "rf", {"n_estimators": [5, 10], "max_depth": 5})
@@ -683,6 +709,37 @@ def block_importance(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(L.block_importance(model, val, 16), "importance")
 
 
+@query()
+def tree_shapley(spark: SparkSession, d: str) -> DataFrame:
+    _, _, train, val = _detector(spark, d)
+    model = L.build("xgb", {"n_estimators": 4, "max_depth": 3, "learning_rate": 0.3}, 64).fit(train)
+    return _rounded(S.layer_importance(S.tree_shapley(model, S.explained(val)), 16), "importance")
+
+
+@query()
+def kernel_shapley(spark: SparkSession, d: str) -> DataFrame:
+    _, _, train, val = _detector(spark, d)
+    model = L.build("mlp", {"hidden_layer_sizes": (8,), "max_iter": 30}, 64).fit(train)
+    score = lambda rows: L.predict(model, rows.withColumn("features", array_to_vector("x")))
+    return _rounded(S.layer_importance(S.kernel_shapley(score, S.explained(val), train, "vec_id", 64, most=10, drawn=128), 16), "importance")
+
+
+_LENS = """
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+w AS (SELECT token, list(m ORDER BY i) AS w FROM (SELECT label AS token, i, avg(e[i]) AS m FROM v, range(1, 65) t(i) GROUP BY label, i) GROUP BY token),
+z AS (SELECT vec_id, label, token, list_dot_product(e, w) AS z FROM v, w)
+SELECT vec_id AS key, round(max(exp(z)) FILTER (token = label) / sum(exp(z)), 6) AS probability FROM z GROUP BY vec_id"""
+
+
+@query(_LENS)
+def logit_lens(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's probability of its own label, with the labels' mean vectors as a sharded output matrix."""
+    v = _vectors(spark, d)
+    each = v.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    w = each.groupBy(F.col("label").cast("long").alias("token")).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select("token", F.col("s.m").alias("w"))
+    return _rounded(K.sharded_probabilities(v.select(F.col("vec_id").alias("key"), F.col("v").alias("state"), F.col("label").alias("target")), w, shard=4), "probability")
+
+
 def _detector_sql(rows: str) -> str:
     """The threshold detector's row for each baseline of ``rows`` (baseline, s, y)."""
     return f"""

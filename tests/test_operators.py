@@ -130,3 +130,42 @@ def test_resume_stream(spark, tmp_path):
     spark.createDataFrame([(2, "b"), (3, "c")], rows.schema).write.mode("append").parquet(src)
     go()
     assert sorted(r.image_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("broken", ["work", "rows", "ids"])
+def test_resume_is_exactly_once(spark, tmp_path, monkeypatch, broken):
+    """A batch that breaks off before, between or after its two writes and is tried again gives its rows once."""
+    from lumenrisk.streaming import resume
+
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    schema = "image_id long, text string"
+    spark.createDataFrame([(1, "a"), (2, "bb")], schema).write.parquet(src)
+    work = lambda d: d.where("image_id <> 2").select("image_id", F.length("text").alias("n"))
+    go = lambda w=work: resume.process_new(spark, src, schema, out, ck, w).awaitTermination()
+    go()
+    spark.createDataFrame([(2, "bb"), (3, "ccc"), (4, "dddd")], schema).write.mode("append").parquet(src)
+    if broken == "work":
+        with pytest.raises(Exception, match="no work"):
+            go(lambda d: (_ for _ in ()).throw(RuntimeError("no work")))
+    else:
+        from pyspark.sql.readwriter import DataFrameWriter
+
+        real = DataFrameWriter.parquet
+
+        def fails(self, path, *a, **b):
+            if broken == "rows" and "-done/" in path:
+                raise RuntimeError("lost")
+            real(self, path, *a, **b)
+            if broken == "ids" and "-done/" in path:
+                raise RuntimeError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(DataFrameWriter, "parquet", fails)
+            with pytest.raises(Exception, match="lost"):
+                go()
+        if broken == "rows":
+            assert sorted(r.image_id for r in resume.committed(spark, out).collect()) == [1]
+    go()
+    go()
+    assert sorted((r.image_id, r.n) for r in resume.committed(spark, out).collect()) == [(1, 1), (3, 3), (4, 4)]
+    assert sorted(r.image_id for r in spark.read.parquet(out).collect()) == [1, 3, 4]

@@ -28,6 +28,13 @@ def test_exact_p_against_all_rank_sets():
             want = min(1.0, 2 * sum(x >= max(u, n1 * n0 - u) for x in us) / len(us))
             assert M.exact_p(u, n1, n0) == pytest.approx(want, abs=1e-12)
     assert 0.9 < M.exact_p(4e5 - 3000, 8, 100_000) < 1
+    big = 50_000_000
+    assert M.exact_p(0, 1, big) == pytest.approx(2 / (big + 1), rel=1e-9)
+    assert M.exact_p(1, big, 1) == pytest.approx(4 / (big + 1), rel=1e-9)
+    assert M.exact_p(2, 2, big) == pytest.approx(2 * 4 / math.comb(big + 2, 2), rel=1e-9)  # sums 0, 1, 2 (twice)
+    assert M.exact_p(3, 8, big) == pytest.approx(2 * 7 / math.comb(big + 8, 8), rel=1e-9)  # 1 + 1 + 2 + 3 partitions
+    assert M.exact_p(12345, 1, big) == pytest.approx(2 * 12346 / (big + 1), rel=1e-9)
+    assert M.exact_p(4 * big, 8, big) == 1.0
     assert M.two_sided(2.0, 0, 9, 10, 0) == pytest.approx(math.erfc(2 / math.sqrt(2)))
     assert M.two_sided(float("nan"), 0, 3, 4, 10) == 1.0 and math.isnan(M.two_sided(0.0, 0, 0, 4, 0))
 
@@ -120,6 +127,20 @@ def test_target_probabilities(spark):
     assert got[2] == pytest.approx(1 / (1 + 2 * math.e))
 
 
+def test_sharded_probabilities_equal_the_dense_form(spark):
+    rng = np.random.default_rng(1)
+    w = rng.normal(size=(50, 6)) * 3
+    data = [(i, rng.normal(size=6).tolist(), int(rng.integers(-3, 55))) for i in range(40)]
+    rows = spark.createDataFrame(data, "key long, state array<double>, target int").repartition(3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "token long, w array<double>")
+    dense = {r.key: r.probability for r in K.target_probabilities(rows, w).collect()}
+    for shard, block in ((7, 9), (50, 1000), (1, 40)):
+        assert {r.key: r.probability for r in K.sharded_probabilities(rows, table, shard, block).collect()} == pytest.approx(dense)
+    assert {r.probability for r in K.target_probabilities(rows, table.where("false")).collect()} == {0.0}
+    with pytest.raises(ValueError, match="too large"):
+        K.target_probabilities(rows, np.zeros((1 << 20, 16)))
+
+
 def test_positions(spark):
     got = spark.range(1).select(
         P.text_positions(F.lit(5), F.array(F.lit(1), F.lit(2)), F.lit(4)), P.image_input(F.array(F.lit(9)), -7, F.lit(2), F.array(F.lit(8))),
@@ -139,13 +160,44 @@ def test_providers(spark):
 
 
 def test_config(tmp_path):
-    made = {"models": {"a": {"num_layers": 2}}, "feature_extraction": {"ads": {"connectivity": 8}, "cgc": {}, "t": {"tau": 0.1}}, "dataset": {"seed": 1}, "classifiers": {"rf": {}}}
-    (tmp_path / "c.json").write_text(json.dumps(made))
-    c = config.load_config(str(tmp_path / "c.json"))
-    assert config.model_cfg(c, "a") == {"num_layers": 2} and config.dispersion_cfg(c) == {"connectivity": 8} and config.transport_cfg(c) == {"tau": 0.1}
-    assert config.dataset_cfg(c) == {"seed": 1} and config.classifier_cfgs(c) == {"rf": {}} and config.grounding_cfg(c) == {}
-    with pytest.raises(ValueError, match="is not configured"):
-        config.model_cfg(c, "b")
+    given = {
+        "models": {"a": {"num_layers": 2, "vision_token": "<v>"}}, "feature_extraction": {"other": {"tau": 1}, "ads": {"connectivity": 4}},
+        "dataset": {"seed": 1}, "classifiers": {"rf": {"max_depth": [None, 3]}}, "pope": {"splits": ["random"]},
+    }
+    (tmp_path / "c.json").write_text(json.dumps(given))
+    c = config.load(str(tmp_path / "c.json"), transport="other")
+    assert c.model("a").num_layers == 2 and c.model("a").num_visual_tokens is None and c.model("a").extras == {"vision_token": "<v>"}
+    assert c.dispersion == config.Dispersion(connectivity=4) and c.grounding == config.Grounding() and c.transport.tau == 1.0 and isinstance(c.transport.tau, float)
+    assert c.dataset.seed == 1 and c.dataset.train_ratio == 0.9 and c.classifiers == {"rf": {"max_depth": [None, 3]}} and c.questions.splits == ("random",)
+    with pytest.raises(config.SettingsError, match="models.b is missing; there are a"):
+        c.model("b")
+    with pytest.raises(AttributeError):
+        c.dataset.seed = 2
+    assert config.settings({}).transport == config.Transport()
+
+
+@pytest.mark.parametrize(
+    "given,wrong",
+    [
+        ({"models": {"a": {}}}, "models.a.num_layers is missing"),
+        ({"models": {"a": {"num_layers": "2"}}}, "models.a.num_layers must be int"),
+        ({"models": {"a": {"num_layers": True}}}, "models.a.num_layers must be int"),
+        ({"feature_extraction": {"more": {}}}, "feature_extraction.more is not known"),
+        ({"feature_extraction": {"ads": {"size": 3}}}, "feature_extraction.ads.size is not known"),
+        ({"feature_extraction": {"ads": {"connectivity": 5}}}, "feature_extraction.ads: connectivity must be 4 or 8"),
+        ({"feature_extraction": {"cgc": {"mid_layer_pct": [0.2]}}}, "mid_layer_pct must be a list of 2"),
+        ({"dataset": {"train_ratio": 1}}, "dataset: train_ratio"),
+        ({"dataset": []}, None),
+        ({"dataset": [1]}, "dataset must be a mapping"),
+        ({"extra": 1}, "extra: not known"),
+    ],
+)
+def test_config_errors_name_the_place(given, wrong):
+    if wrong is None:
+        assert config.settings(given).dataset == config.Dataset()
+        return
+    with pytest.raises(config.SettingsError, match=wrong.replace("[", r"\[")):
+        config.settings(given)
 
 
 def test_question_files(spark, tmp_path):
