@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.bytepairs import BytePairs
+
 WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -39,6 +41,15 @@ def token_counter(text: str, encode: Encode | None) -> Callable[[int, int], int]
     return lambda a, b: bisect_left(starts, b) if a == 0 else len(TOKEN.findall(text[a:b]))
 
 
+def token_spans(text: str, encode: Encode | BytePairs | None) -> Callable[[int, int], tuple[int, int]]:
+    """(first token, number of tokens) of a piece of a text. A tokenizer with offsets encodes the text once; any other
+    one encodes the text before a piece, and the piece."""
+    if isinstance(encode, BytePairs):
+        return encode.encode(text).span
+    count = token_counter(text, encode)
+    return lambda a, b: (count(0, a), count(a, b))
+
+
 def _per_text(rows: DataFrame, keep: list[str], fields: dict[str, T.DataType], kernel: Callable[..., list[tuple]], more: list[str]) -> DataFrame:
     """One row for each tuple that ``kernel`` gives for a text and the ``more`` columns of its row."""
     slim = rows.select(*keep, F.coalesce("text", F.lit("")).alias("__text"), *[F.col(c).alias(f"__{c}") for c in more])
@@ -65,20 +76,20 @@ def mentions(docs: DataFrame, vocabulary: dict[str, str], id_col: str = "doc_id"
     return _per_text(docs, [id_col], fields, lambda t: [(k, o, t[a:b], a, b) for k, (o, a, b) in enumerate(mentions_of(t, vocabulary))], [])
 
 
-def caption_spans(docs: DataFrame, vocabulary: dict[str, str], truth: str, id_col: str = "doc_id", encode: Encode | None = None, n_ids: str | None = None) -> DataFrame:
+def caption_spans(docs: DataFrame, vocabulary: dict[str, str], truth: str, id_col: str = "doc_id", encode: Encode | BytePairs | None = None, n_ids: str | None = None) -> DataFrame:
     """(id, mention_index, word, surface, start, end, first, n_tokens, label) of every mention, in the order of its first
     token; ``truth`` is a column of the objects that are there, label 1 marks others.
 
-    ``encode`` is any tokenizer's text-to-ids function; mentions without tokens, or whose last token lies behind the
+    ``encode`` is a tokenizer with offsets, or any text-to-ids function; mentions without tokens, or whose last token lies behind the
     response's ``n_ids`` tokens (the text's own number where no column is named), are left out.
     """
     kinds = {"mention_index": T.IntegerType(), "word": T.StringType(), "surface": T.StringType(), "start": T.IntegerType(), "end": T.IntegerType(), "first": T.IntegerType(), "n_tokens": T.IntegerType(), "label": T.IntegerType()}
 
     def kernel(text: str, there: list | None, limit: int | None = None) -> list[tuple]:
-        count, known, out = token_counter(text, encode), set(there or ()), []
-        last = limit if limit is not None else count(0, len(text))
+        span, known, out = token_spans(text, encode), set(there or ()), []
+        last = limit if limit is not None else sum(span(0, len(text)))
         for k, (o, a, b) in enumerate(mentions_of(text, vocabulary)):
-            first, n = count(0, a), count(a, b)
+            first, n = span(a, b)
             if n and first + n <= last:
                 out.append((k, o, text[a:b], a, b, first, n, int(o not in known)))
         return sorted(out, key=lambda s: (s[5], s[0]))

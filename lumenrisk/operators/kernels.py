@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays as A
+from .simplex import network_simplex
 
 SOLVERS, COST_MODES = ("linprog", "emd"), ("direct", "decomposed")
 
@@ -23,9 +24,8 @@ def probability(x: np.ndarray) -> np.ndarray:
 
 
 def transport(source: np.ndarray, target: np.ndarray, cost: np.ndarray, solver: str = "linprog") -> float:
-    """Exact discrete optimal transport by successive shortest paths with potentials.
-
-    Both named solvers have the same optimum, so the name is only checked. Where staying is free, equal distributions
+    """Exact discrete optimal transport: ``linprog`` by successive shortest paths with potentials, ``emd`` by the network
+    simplex. Both have the same optimum. Where staying is free, equal distributions
     cost nothing and two points have a closed form. A flow that can't be completed is an error, never a partial cost.
     """
     if solver not in SOLVERS:
@@ -38,6 +38,8 @@ def transport(source: np.ndarray, target: np.ndarray, cost: np.ndarray, solver:
             return 0.0
         if n == 2:
             return float(max(supply[0] - demand[0], 0) * c[0, 1] + max(demand[0] - supply[0], 0) * c[1, 0])
+    if solver == "emd":
+        return network_simplex(supply, demand, c) if n and m else 0.0
     flow, u, v = np.zeros((n, m)), np.zeros(n), np.zeros(m)
     for _ in range(50 * (n + m)):
         if supply.max(initial=0) <= eps or demand.max(initial=0) <= eps:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import layer_slice
-from . import boosting
+from . import boosting, network
 from .metrics import binary_metrics, labelled, roc_auc
 
 KINDS, SCORINGS = ("xgb", "gbt", "rf", "mlp"), ("f1", "accuracy")
@@ -27,29 +28,36 @@ def feature_matrix(rows: DataFrame, vector: str, fallback: str | None = None, la
 
 
 @dataclass(frozen=True)
-class Booster:
-    """``boosting.fit`` in the shape of an estimator; ``params`` are its options."""
+class Own:
+    """A trainer of this package in the shape of an estimator; ``params`` are its options."""
 
     params: dict
     width: int
+    trainer: Callable
 
-    def fit(self, rows: DataFrame) -> boosting.BoostedTrees:
-        return boosting.fit(rows, self.width, **self.params)
+    def fit(self, rows: DataFrame):
+        return self.trainer(rows, self.width, **self.params)
 
 
 def build(kind: str, params: dict, width: int):
-    """``xgb``: boosted trees with second-order gains; ``gbt``: Spark's own; ``rf``; ``mlp``. Defaults: 500 trees of depth 6
-    at a rate of 0.05, 400 trees of depth 10, 128 hidden units and 500 rounds. A depth of None is Spark's deepest, 30; learning_rate_init is the
-    step of the solver that uses one (``sgd``: gradient descent, else a quasi-Newton method)."""
+    """``xgb``: boosted trees with second-order gains; ``gbt``: Spark's own; ``rf``; ``mlp``.
+
+    Defaults: 500 trees of depth 6 at a rate of 0.05, 400 trees of depth 10, 128 hidden units and 500 rounds (passes
+    under ``adam``, the default solver; ``sgd`` is gradient descent, ``lbfgs`` a quasi-Newton method). A depth of None is
+    Spark's deepest, 30; learning_rate_init is the step of ``adam`` and ``sgd``.
+    """
     if kind == "xgb":
-        return Booster({**params}, width)
+        return Own({**params}, width, boosting.fit)
     if kind == "gbt":
         return GBTClassifier(labelCol="label", seed=42, maxIter=params.get("n_estimators", 500), maxDepth=params.get("max_depth", 6), stepSize=params.get("learning_rate", 0.05))
     if kind == "rf":
         return RandomForestClassifier(labelCol="label", seed=42, numTrees=params.get("n_estimators", 400), maxDepth=min(params.get("max_depth", 10) or 30, 30))
     if kind == "mlp":
-        solver = "gd" if params.get("solver", "adam") == "sgd" else "l-bfgs"
-        return MultilayerPerceptronClassifier(labelCol="label", seed=42, maxIter=params.get("max_iter", 500), layers=[width, *params.get("hidden_layer_sizes", (128,)), 2], solver=solver, stepSize=params.get("learning_rate_init", 0.001))
+        hidden, solver = tuple(params.get("hidden_layer_sizes", (128,))), params.get("solver", "adam")
+        if solver == "adam":
+            return Own({**{k: v for k, v in params.items() if k != "solver"}, "hidden_layer_sizes": hidden}, width, network.fit)
+        solver = {"sgd": "gd", "lbfgs": "l-bfgs"}[solver]
+        return MultilayerPerceptronClassifier(labelCol="label", seed=42, maxIter=params.get("max_iter", 500), layers=[width, *hidden, 2], solver=solver, stepSize=params.get("learning_rate_init", 0.001))
     raise ValueError(f"unknown classifier {kind!r}; one of {KINDS}")
 
 
@@ -65,7 +73,7 @@ def classes(rows: DataFrame) -> int:
 
 
 def predict(model, rows: DataFrame) -> DataFrame:
-    if isinstance(model, boosting.BoostedTrees):
+    if isinstance(model, (boosting.BoostedTrees, network.Network)):
         return model.transform(rows)
     return model.transform(rows).withColumn("score", F.get(vector_to_array("probability"), F.lit(1))).withColumn("predicted", F.col("prediction").cast("int"))
 
