@@ -15,6 +15,10 @@ from .common import lower_ascii
 
 #: A sentence ends at ., ! or ? before white space, or at a line with nothing but white space and comment marks.
 SENTENCE_END = r"[.!?]+[\x20\x09\x0D\n]+|\n[\x20\x09\x0D*#/;-]*\n[\x20\x09\x0D\n]*"
+#: Abbreviations that end no sentence, in lower case with what surrounds them, and what they become.
+ABBREVIATIONS: tuple[tuple[str, str], ...] = ((" v. ", " v "), (" v.\n", " v "), (" ver. ", " ver "), (" no. ", " no "))
+#: How a normalised tag line begins, the words between the licences of its expression, and a part of a name that has one of these.
+TAG_LINE, OPERATORS, LATER = "spdx license identifier ", " (?:or|and|with) ", " or later"
 #: What normalisation turns into one space, after A-Z are lower-cased.
 OTHER = r"[^a-z0-9]+"
 #: Every known sentence has one of these, so a text without any is not cut up.
@@ -25,6 +29,8 @@ TAGGED: tuple[str, ...] = (
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0",
     "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
     "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "Unlicense", "Zlib",
+    # deprecated ones, still in use
+    "AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0",
 )
 # Normalised sentences that well-known licences consist of or are referred to by.
 SENTENCES: dict[str, str] = {
@@ -36,7 +42,13 @@ SENTENCES: dict[str, str] = {
     "you may obtain a copy of the license at": "apache-copy",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-warranty",
     "see the license for the specific language governing permissions and limitations under the license": "apache-see",
+    "licensed under the apache license version 2 0 see license": "apache-ref",
+    "licensed under the apache license version 2 0 see license for details": "apache-ref",
     "released under the mit license": "mit-ref",
+    "licensed under the mit license see license": "mit-ref",
+    "licensed under the mit license see license for details": "mit-ref",
+    "licensed under the mit license see the license file for details": "mit-ref",
+    "this project is licensed under the mit license see the license file for details": "mit-ref",
     "licensed under the mit license": "mit-ref",
     "this project is licensed under the mit license": "mit-ref",
     "mit license": "mit-title",
@@ -56,6 +68,22 @@ SENTENCES: dict[str, str] = {
     "licensed under the gnu affero general public license version 3": "agpl3-ref",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-grant",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-grant",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-grant",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "you should have received a copy of the gnu lesser general public license along with this library": "lgpl-copy",
+    "you should have received a copy of the gnu affero general public license along with this program": "agpl-copy",
+    "gnu general public license version 2 june 1991": "gpl2-title",
+    "gnu general public license version 3 29 june 2007": "gpl3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl21-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl3-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl3-title",
+    "boost software license version 1 0 august 17th 2003": "boost-title",
+    "distributed under the boost software license version 1 0": "boost-ref",
+    "mozilla public license version 2 0": "mpl-title",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl-copy",
     "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "gpl-warranty",
     "you should have received a copy of the gnu general public license along with this program": "gpl-copy",
     "licensed under cc by nc 4 0": "cc-by-nc-ref",
@@ -99,8 +127,21 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-2.0", ("gpl2-ref", "gpl-copy")),
     ("GPL-2.0", ("gpl2-ref",)),
+    ("GPL-3.0", ("gpl3-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("LGPL-2.1", ("lgpl21-grant", "lgpl-warranty", "lgpl-copy")),
+    ("LGPL-2.1", ("lgpl21-grant",)),
+    ("LGPL-2.1", ("lgpl21-title",)),
+    ("LGPL-3.0", ("lgpl3-grant", "lgpl-warranty", "lgpl-copy")),
+    ("LGPL-3.0", ("lgpl3-grant",)),
+    ("LGPL-3.0", ("lgpl3-title",)),
     ("LGPL-3.0", ("lgpl3-ref",)),
+    ("AGPL-3.0", ("agpl3-grant", "gpl-warranty", "agpl-copy")),
+    ("AGPL-3.0", ("agpl3-grant",)),
+    ("AGPL-3.0", ("agpl3-title",)),
     ("AGPL-3.0", ("agpl3-ref",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-ref",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
@@ -112,7 +153,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("bsd3-ref",)),
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
+    ("MPL-2.0", ("mpl-ref", "mpl-copy")),
     ("MPL-2.0", ("mpl-ref",)),
+    ("MPL-2.0", ("mpl-title",)),
     ("all-rights-reserved", ("reserved",)),
 ) + tuple((tag, (f"spdx-{tag}",)) for tag in TAGGED)
 
@@ -122,10 +165,25 @@ def sentence_ids(text: Column, sentences: dict[str, str]) -> Column:
     if unclear := [s for s in sentences if not any(c in s for c in CLUES)]:
         raise ValueError(f"sentences without a clue: {unclear}")
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    name = lambda s: F.try_element_at(known, F.trim(F.regexp_replace(s, OTHER, " ")))
-    lines = lambda s: F.array_compact(F.transform(F.split(s, "\n"), name))
-    pieces = F.transform(F.split(lower_ascii(text), SENTENCE_END), lambda s: F.struct(s.alias("s"), name(s).alias("id")))
-    ids = F.flatten(F.transform(pieces, lambda p: F.when(p["id"].isNotNull(), F.array(p["id"])).when(p["s"].contains("\n"), lines(p["s"])).otherwise(F.array().cast("array<string>"))))
+    normal = lambda s: F.trim(F.regexp_replace(F.replace(s, F.lit("+"), F.lit(f"{LATER} ")), OTHER, " "))
+    one = lambda n: F.array_compact(F.array(F.try_element_at(known, n)))
+
+    def of_line(s: Column) -> Column:
+        """Identifiers of a single line: of each licence of a tag's expression, else of the line as a sentence."""
+        n = normal(s)
+        parts = F.split(F.replace(F.substr(n, F.lit(len(TAG_LINE) + 1)), F.lit(LATER), F.lit("+")), OPERATORS)
+        tags = F.transform(parts, lambda p: F.try_element_at(known, F.concat(F.lit(TAG_LINE), F.replace(F.trim(p), F.lit("+"), F.lit(LATER)))))
+        return F.when(n.startswith(TAG_LINE), F.array_compact(tags)).otherwise(one(n))
+
+    def of_piece(s: Column) -> Column:
+        """Those of a sentence of several lines, or of its lines where it isn't known as a whole."""
+        whole = one(normal(s))
+        return F.when(~s.contains("\n"), of_line(s)).when(F.size(whole) > 0, whole).otherwise(F.flatten(F.transform(F.split(s, "\n"), of_line)))
+
+    clear = lower_ascii(text)
+    for a, b in ABBREVIATIONS:
+        clear = F.replace(clear, F.lit(a), F.lit(b))
+    ids = F.flatten(F.transform(F.split(clear, SENTENCE_END), of_piece))
     clue = F.lower(text)
     maybe = F.lit(False)
     for c in CLUES:

@@ -88,14 +88,21 @@ def _license_sql() -> str:
     texts = [(name, _quote("".join(f";{i};" for i in rule))) for name, rule in licenses.RULES]
     steps = ", ".join(f"replace(s{i}, {t}, '#') AS s{i + 1}" for i, (_, t) in enumerate(texts))
     cases = ", ".join(f"CASE WHEN contains(s{i}, {t}) THEN {_quote(name)} END" for i, (name, t) in enumerate(texts))
-    known_as = lambda c: f"{known}[trim(regexp_replace({c}, {_quote(licenses.OTHER)}, ' ', 'g'))]"
+    normal = lambda c: f"trim(regexp_replace(replace({c}, '+', {_quote(licenses.LATER + ' ')}), {_quote(licenses.OTHER)}, ' ', 'g'))"
+    tag, later = _quote(licenses.TAG_LINE), _quote(licenses.LATER)
+    line = lambda c: f"""CASE WHEN starts_with({normal(c)}, {tag})
+        THEN list_transform(regexp_split_to_array(replace(substr({normal(c)}, {len(licenses.TAG_LINE) + 1}), {later}, '+'), {_quote(licenses.OPERATORS)}), lambda x: {known}[{tag} || replace(trim(x), '+', {later})])
+        ELSE [{known}[{normal(c)}]] END"""
+    clear = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for x, y in licenses.ABBREVIATIONS:
+        clear = f"replace({clear}, {_quote(x)}, {_quote(y)})"
     return f"""
 WITH cut AS (
-  SELECT doc_id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_quote(licenses.SENTENCE_END)}) AS pieces
+  SELECT doc_id, regexp_split_to_array({clear}, {_quote(licenses.SENTENCE_END)}) AS pieces
   FROM documents
 ), ids AS (
-  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN {known_as('p')} IS NOT NULL THEN [{known_as('p')}]
-    ELSE list_transform(CASE WHEN contains(p, chr(10)) THEN string_split(p, chr(10)) ELSE [] END, lambda s: {known_as('s')}) END)), lambda i: i IS NOT NULL) AS ids FROM cut
+  SELECT doc_id, list_filter(flatten(list_transform(pieces, lambda p: CASE WHEN NOT contains(p, chr(10)) THEN {line('p')}
+    WHEN {known}[{normal('p')}] IS NOT NULL THEN [{known}[{normal('p')}]] ELSE flatten(list_transform(string_split(p, chr(10)), lambda s: {line('s')})) END)), lambda i: i IS NOT NULL) AS ids FROM cut
 ), seqs AS (
   SELECT doc_id, ids, ';' || array_to_string(ids, ';;') || ';' AS s0, {steps} FROM ids
 )
