@@ -1,8 +1,8 @@
 """Secret scan: fixed pattern kinds, and dictionary-primed zstandard novelty for what the patterns miss.
 
 A candidate is a mixed string near a sensitive word, before or behind it or grown together with it. It is compressed
-with a dictionary made of common identifiers and of the text around it; the bytes it adds, against its length, say
-how much of it neither the identifiers nor the neighbourhood explain. Incompressible ones are reported as kind
+with a dictionary made of common identifiers, of the words that the corpus itself uses most around sensitive places,
+and of the text around it; the bytes it adds, against its length, say how much of it neither explains. Incompressible ones are reported as kind
 ``novel``. What the patterns find is measured in the same way and keeps its place whatever the measure.
 """
 
@@ -27,7 +27,11 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(r"passphrase|passw|pwd|secret|token|api.?key|access.?key|private.?key|authori[sz]|bearer|credential|signature", re.I | re.A)
 REACH, BACK, AROUND = 64, 32, 512
 #: Characters of a candidate; those under ``LONG`` need a digit and a letter, longer ones two kinds of characters.
-CANDIDATE, SHORT, LONG = re.compile(r"[A-Za-z0-9+/_=~.-]{12,}"), 12, 16
+CANDIDATE, SHORT, LONG = re.compile(r"[A-Za-z0-9+/_=~.!#@$%^&*-]{12,}"), 12, 16
+#: Marks around a candidate that are not part of it; an address of mail, which is no secret.
+_OUTER, MAIL = "+/_=~.!#@$%^&*-", re.compile(r"[A-Za-z0-9+_.-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+#: Parts of names (letters of one case, or a capital and small ones) that are counted, the documents that must have one, how many are taken.
+PART, LEAST_DOCS, TAKEN = re.compile(r"[A-Z]?[a-z]{3,20}|[A-Z]{4,20}"), 5, 500
 #: Names that code uses around secrets; strings made of them are no secrets.
 IDENTIFIERS = (
     "access_key access_token account administrator algorithm api_key application argument attribute authenticate "
@@ -56,17 +60,42 @@ def _packed(raw: bytes, primer: str) -> int:
     return len(zstandard.ZstdCompressor(dict_data=known, compression_params=_PARAMS).compress(raw))
 
 
-_FRAME = _packed(b"", IDENTIFIERS)
+#: What stands before a candidate in its frame: known text, so that a block with matches is begun already and a match
+#: inside the candidate costs no more than itself.
+_ANCHOR = IDENTIFIERS[:96].encode()
 
 
 def novelty(candidate: str, around: str) -> float:
-    """Bytes that the candidate adds to its primed frame, over its own bytes."""
-    raw = candidate.encode("utf-8", "surrogatepass")
-    return (_packed(raw, IDENTIFIERS + " " + around) - _FRAME) / max(len(raw), 1)
+    """Bytes that the candidate adds to its primed frame, over its own bytes. ``around``: the corpus's words and the
+    neighbourhood."""
+    raw, primer = candidate.encode("utf-8", "surrogatepass"), f"{IDENTIFIERS} {around}"
+    return (_packed(_ANCHOR + raw, primer) - _packed(_ANCHOR, primer)) / max(len(raw), 1)
 
 
-def _novelty_at(text: str, a: int, b: int) -> float:
-    return novelty(text[a:b], text[max(0, a - AROUND) : a] + text[b : b + AROUND])
+def _novelty_at(text: str, a: int, b: int, words: str) -> float:
+    return novelty(text[a:b], words + text[max(0, a - AROUND) : a] + text[b : b + AROUND])
+
+
+def parts_near(text: str) -> set[str]:
+    """Parts of names around the sensitive words of a text, each once; linear in the text."""
+    out, until = set(), 0
+    for m in CONTEXT.finditer(text):
+        a, b = max(until, m.start() - AROUND), m.end() + AROUND
+        if a < b:
+            out.update(p[0] for p in PART.finditer(text, a, min(b, len(text))))
+            until = b
+    return out
+
+
+def corpus_words(docs: DataFrame) -> str:
+    """The ``TAKEN`` parts of names that most documents have around sensitive words, the most frequent one last.
+
+    They are counted over all documents, as an aggregate by part. Parts are plain words, so a secret that many copies
+    of a document repeat can't enter and explain itself.
+    """
+    each = per_document(docs, lambda ts: {"parts": [sorted(parts_near(t)) for t in ts]}, [field("parts", T.ArrayType(T.StringType()))], keep=())
+    counts = each.select(F.explode("parts").alias("part")).groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    return "".join(f"{r.part} " for r in reversed(counts.orderBy(F.desc("n"), "part").limit(TAKEN).collect()))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -98,8 +127,8 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 
 def _mixed(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
     own = text[a:b]
-    a, b = a + len(own) - len(own.lstrip("+/_=~.-")), b - (len(own) - len(own.rstrip("+/_=~.-"))) if own.strip("+/_=~.-") else a
-    if b - a < SHORT:
+    a, b = a + len(own) - len(own.lstrip(_OUTER)), b - (len(own) - len(own.rstrip(_OUTER))) if own.strip(_OUTER) else a
+    if b - a < SHORT or MAIL.fullmatch(text, a, b):
         return
     own = text[a:b]
     digit, lower, upper = (any(f(c) for c in own) for f in (str.isdigit, str.islower, str.isupper))
@@ -107,7 +136,7 @@ def _mixed(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         yield a, b
 
 
-def novel_spans(text: str, taken: Sequence[tuple[int, int, str]], threshold: float) -> list[tuple[int, int, str, float]]:
+def novel_spans(text: str, taken: Sequence[tuple[int, int, str]], threshold: float, words: str = "") -> list[tuple[int, int, str, float]]:
     """Incompressible candidates near a sensitive word that overlap no given span."""
     found = []
     ends, starts, until = [], [], 0
@@ -121,16 +150,16 @@ def novel_spans(text: str, taken: Sequence[tuple[int, int, str]], threshold: flo
         i = bisect_left(ends, a + 1)
         if i < len(starts) and starts[i] < b:
             continue
-        new = _novelty_at(text, a, b)
+        new = _novelty_at(text, a, b, words)
         if new >= threshold:
             found.append((a, b, "novel", new))
     return found
 
 
-def spans_of(text: str, threshold: float) -> list[tuple[int, int, str, float]]:
+def spans_of(text: str, threshold: float, words: str = "") -> list[tuple[int, int, str, float]]:
     """All spans with their novelty, by start and then by kind as listed."""
     base = base_spans(text)
-    every = [(a, b, k, _novelty_at(text, a, b)) for a, b, k in base] + novel_spans(text, base, threshold)
+    every = [(a, b, k, _novelty_at(text, a, b, words)) for a, b, k in base] + novel_spans(text, base, threshold, words)
     return sorted(every, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -138,13 +167,14 @@ def scan(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(doc_id, spans): spans is an array of (kind, start, end, novelty) in code points, ends exclusive.
 
     Every row gives a row, with an empty array for null, empty or clean texts; repeated rows repeat; spans that begin
-    at one place stand in the order of their kinds; very long texts are read whole, in time that grows with their
+    at one place stand in the order of their kinds; words of equal frequency are ordered by code point; very long texts are read whole, in time that grows with their
     length; an empty table gives an empty result; other columns don't take part, whatever their names.
     """
+    words = corpus_words(docs)
     one = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("novelty", T.DoubleType())])
 
     def kernel(texts: list[str]) -> dict:
-        return {"spans": [[{"kind": k, "start": a, "end": b, "novelty": new} for a, b, k, new in spans_of(t, threshold)] for t in texts]}
+        return {"spans": [[{"kind": k, "start": a, "end": b, "novelty": new} for a, b, k, new in spans_of(t, threshold, words)] for t in texts]}
 
     return per_document(docs, kernel, [field("spans", T.ArrayType(one))])
 
@@ -156,9 +186,11 @@ def redact(docs: DataFrame, threshold: float = 0.9, mark: str = "[SECRET]") -> D
     empty table gives an empty result; other columns stay as they are, whatever their names.
     """
 
+    words = corpus_words(docs)
+
     def clean(t: str) -> str:
         out, at = [], 0
-        for a, b, *_ in spans_of(t, threshold):
+        for a, b, *_ in spans_of(t, threshold, words):
             if b > at:
                 out += [t[at:a], mark] if a >= at else []
                 at = b
