@@ -1,13 +1,17 @@
 """Near-duplicate groups by word shingle similarity, found through wide SimHash fingerprints in binary tries.
 
 A similarity of 0.8 moves about 15 % of a fingerprint's bits, too many for one trie with a guaranteed radius. So
-the fingerprint is 384 bits wide and cut into 16 sections of 24 bits; each section is a trie of its own, walked
-with a budget of two bits. A pair of similarity 0.8 stays in the budget of a section with probability 0.27, of at
-least one section with 0.994 (0.9: more than 0.9999). A pair of leaves goes on if the whole fingerprints agree
-well enough, and the exact Jaccard similarity of the distinct shingles decides each link.
+the fingerprint is cut into 16 sections of three bytes or more; each section is a trie of its own, walked with a
+budget of a bit less than it has bytes. A pair of similarity 0.8 stays in the budget of a section with probability
+0.26 to 0.29, of at least one section with 0.99 or more (0.9: more than 0.9999). A pair of leaves goes on if the whole
+fingerprints agree well enough, and the exact Jaccard similarity of the distinct shingles decides each link.
 
-A section is walked in three rotations by bytes: paths that differ in at most two bits agree on one of the three
-bytes, so that byte is the key by which Spark deals the leaves. A node with too many leaves is taken a byte further
+Sections grow with the number of texts (``section_bytes``): a text meets others by chance in n V / 2^bits leaves of a
+section, where V counts the paths in the budget. Another byte lowers that some fourteenfold at the same recall, so
+a text's comparisons stay bounded as n grows, and the walk linear but for its 16 rows a byte.
+
+A section is walked in one rotation for each byte: paths that differ in fewer bits than there are bytes agree on one
+byte, so that byte is the key by which Spark deals the leaves. A node with too many leaves is taken a byte further
 down in Spark, as pairs of its children.
 
 The walk gives a spanning forest of the near pairs, whose components are groups of near fingerprints. The shingle sets
@@ -21,6 +25,7 @@ of a similarity of 0.8 become equal when at most two shingles of each are left o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -36,8 +41,9 @@ from .decontam import mix64, shingle_hashes
 from .simhash_dedup import components, forest, frequent, one_of_each, walk
 
 SHINGLE, SIMILARITY = 5, 0.8
-WORDS = 6
-BYTES, BITS, BUDGET = 8 * WORDS, 64 * WORDS, 2
+#: Sections, their bytes at least and at most, and the comparisons by chance that a text may have in a section.
+SECTIONS, NARROW, WIDE, CHANCE = 16, 3, 6, 64
+BYTES = SECTIONS * NARROW
 #: Leaves under one node that a single task takes; larger ones are split along the trie.
 MAX_LEAVES = 2_000_000
 #: Rows that a walk holds before it works on the complete trie nodes among them.
@@ -54,13 +60,21 @@ FEW, SPREAD = 13, 3.5
 BLOCK_NODES, BLOCK_BYTES, DENSE = 1024, 16 << 20, 32
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _STEP = 0x9E3779B97F4A7C15
-_SEEDS = np.array([(i * _STEP) & (1 << 64) - 1 for i in range(1, WORDS + 1)], np.uint64)
+_SEEDS = np.array([(i * _STEP) & (1 << 64) - 1 for i in range(1, SECTIONS * WIDE // 8 + 1)], np.uint64)
+
+
+def section_bytes(texts: int) -> int:
+    """Bytes of a section, so that a text meets at most ``CHANCE`` of ``texts`` others by chance in each."""
+    for size in range(NARROW, WIDE):
+        if texts * sum(math.comb(8 * size, i) for i in range(size)) <= CHANCE << 8 * size:
+            return size
+    return WIDE
 
 
-def _expected_bits(similarity: float, spread: float) -> int:
+def _expected_bits(similarity: float, spread: float, bits: int = 8 * BYTES) -> int:
     """Bits in which fingerprints of sets of a Jaccard similarity differ, plus ``spread`` standard deviations."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(BITS * p + spread * np.sqrt(BITS * p * (1 - p)))
+    return int(bits * p + spread * np.sqrt(bits * p * (1 - p)))
 
 
 def shingle_set(text: str, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
@@ -70,22 +84,22 @@ def shingle_set(text: str, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(b" ".join(w)), np.unique(shingle_hashes(x, min(shingle, len(w)))) if w else np.empty(0, np.uint64)
 
 
-def wide_fingerprint(h: np.ndarray) -> bytes:
-    """SimHash of a set of hashes: a bit is 1 if set in over half of them."""
-    at, counts = np.arange(BYTES) * 256, np.zeros(BYTES * 256, np.int64)
+def wide_fingerprint(h: np.ndarray, width: int = BYTES) -> bytes:
+    """SimHash of a set of hashes in ``width`` bytes: a bit is 1 if set in over half of them."""
+    at, counts = np.arange(width) * 256, np.zeros(width * 256, np.int64)
     for i in range(0, len(h), 1 << 14):
-        many = mix64(h[i : i + (1 << 14), None] + _SEEDS).view(np.uint8)
-        counts += np.bincount((many + at).ravel(), minlength=BYTES * 256)
-    return np.packbits(2 * (counts.reshape(BYTES, 256) @ _BYTE_BITS) > len(h), bitorder="little").tobytes()
+        many = mix64(h[i : i + (1 << 14), None] + _SEEDS[: width // 8]).view(np.uint8)
+        counts += np.bincount((many + at).ravel(), minlength=width * 256)
+    return np.packbits(2 * (counts.reshape(width, 256) @ _BYTE_BITS) > len(h), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, width: int = BYTES) -> DataFrame:
     """(doc_id, node, fp, few): node names the word sequence; few holds the shingles where those are few."""
 
     def kernel(texts: list[str]) -> dict:
         node, sets = zip(*[shingle_set(t, shingle) for t in texts], strict=True) if texts else ((), ())
         few = [h.tobytes() if 0 < len(h) <= FEW else None for h in sets]
-        return {"node": np.array(node, np.uint64).view(np.int64), "fp": [wide_fingerprint(h) for h in sets], "few": few}
+        return {"node": np.array(node, np.uint64).view(np.int64), "fp": [wide_fingerprint(h, width) for h in sets], "few": few}
 
     return per_document(docs, kernel, [field("node", T.LongType()), field("fp", T.BinaryType()), field("few", T.BinaryType())])
 
@@ -161,8 +175,8 @@ def _crossed(a0: np.ndarray, na: np.ndarray, b0: np.ndarray, nb: np.ndarray) ->
 class Walker:
     """Links of one chunk of trie nodes: document pairs whose paths stay in the budget and whose fingerprints are near."""
 
-    def __init__(self, fp: np.ndarray, far: int, clear: int) -> None:
-        self.wide, self.far, self.clear = fp.view(np.uint64), far, clear
+    def __init__(self, fp: np.ndarray, far: int, clear: int, size: int = NARROW) -> None:
+        self.wide, self.far, self.clear, self.size = fp.view(np.uint64), far, clear, size
         self.found: list[np.ndarray] = []
         self.root = np.arange(len(fp))
         self.count = 0
@@ -208,24 +222,25 @@ class Walker:
     def leaves(self, group: np.ndarray, tail: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
         """First row and size of each leaf, whether it is one of two children, and the pairs of leaves in the budget.
 
-        group: number of each row's trie node or pair of its children lo and hi; tail: 16 bits below the node, sorted.
+        group: number of each row's trie node or pair of its children lo and hi; tail: the section's bits below the node, sorted.
         """
-        both = (group.astype(np.int64) << 16) | tail
+        below, budget = 8 * (self.size - 1), self.size - 1
+        both = (group.astype(np.int64) << below) | tail
         at = np.concatenate(([0], np.flatnonzero(np.diff(both)) + 1))
         n = np.diff(np.append(at, len(both)))
         tops = np.concatenate(([0], np.flatnonzero(np.diff(group[at])) + 1))
         stops = np.append(tops[1:], len(at))
         two = lo[at] != hi[at]
-        leaf = tail[at].astype(np.uint64) << np.uint64(48)
+        leaf = tail[at].astype(np.uint64) << np.uint64(64 - below)
         one, pair = ~two[tops], two[tops]
-        x, y = walk(leaf, np.stack([tops, stops, tops, stops], axis=1)[one], np.zeros(one.sum(), np.int64), 0, BUDGET)
+        x, y = walk(leaf, np.stack([tops, stops, tops, stops], axis=1)[one], np.zeros(one.sum(), np.int64), 0, budget)
         if pair.any():
-            low = np.concatenate(([0], np.cumsum(tail[at] >> 8 == lo[at])))
+            low = np.concatenate(([0], np.cumsum(tail[at] >> below - 8 == lo[at])))
             mids = tops + low[stops] - low[tops]
             apart = np.bitwise_count(lo[at][tops] ^ hi[at][tops]).astype(np.int64)
             sides = np.stack([tops, mids, mids, stops], axis=1)
             pair &= (tops < mids) & (mids < stops)
-            more = walk(leaf, sides[pair], apart[pair], 8, BUDGET)
+            more = walk(leaf, sides[pair], apart[pair], 8, budget)
             x, y = np.concatenate([x, more[0]]), np.concatenate([y, more[1]])
         return at, n, two, x, y
 
@@ -255,18 +270,19 @@ class Walker:
         return np.empty(0, np.int64), np.empty(0, np.int64)
 
 
-def _walk_sections(far: int, clear: int):
+def _walk_sections(far: int, clear: int, size: int):
     """Arrow kernel over rows (byte, head, lo, hi, node, fp) sorted by the first four; lo and hi are the children of a
     split node, -1 where a node is whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(byte: np.ndarray, head: np.ndarray, lo: np.ndarray, hi: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            rows, first = np.arange(len(byte)), byte - byte % 3
-            tail = (fp[rows, first + (byte + 1) % 3].astype(np.int64) << 8) | fp[rows, first + (byte + 2) % 3]
+            rows, first, tail = np.arange(len(byte)), byte - byte % size, np.zeros(len(byte), np.int64)
+            for i in range(1, size):
+                tail = tail << 8 | fp[rows, first + (byte + i) % size]
             keys = np.stack([byte, head, lo, hi], axis=1)
             group = np.concatenate(([0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))))
             order = np.lexsort((node, tail, group))
-            x, y = Walker(np.ascontiguousarray(fp[order]), far, clear).links(group[order], tail[order], lo[order], hi[order])
+            x, y = Walker(np.ascontiguousarray(fp[order]), far, clear, size).links(group[order], tail[order], lo[order], hi[order])
             a, b = node[order][x], node[order][y]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
@@ -275,7 +291,7 @@ def _walk_sections(far: int, clear: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, BYTES)
+            fp = np.frombuffer(b"".join(b.column("fp").to_pylist()), np.uint8).reshape(-1, SECTIONS * size)
             byte, lo, hi, node = (b.column(c).to_numpy().astype(np.int64) for c in ("byte", "lo", "hi", "node"))
             held.append((byte, fp[np.arange(len(byte)), byte].astype(np.int64), lo, hi, node, fp))
             n += b.num_rows
@@ -293,19 +309,19 @@ def _walk_sections(far: int, clear: int):
     return run
 
 
-def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES) -> DataFrame:
+def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEAVES, size: int = NARROW) -> DataFrame:
     """(src, dst): for every group of near fingerprints a spanning forest of its nearest pairs, by section."""
     n = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(BYTES - 1))).alias("byte"), "node", "fp")
+    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(SECTIONS * size - 1))).alias("byte"), "node", "fp")
     rows = rows.select("byte", F.expr("substring(fp, byte + 1, 1)").alias("head"), "node", "fp")
     whole = F.lit(-1)
     big = staged(rows.groupBy("byte", "head").count().where(F.col("count") > max_leaves).select("byte", "head", F.lit(True).alias("split")), "wide-nodes")
     if big.isEmpty():
         rows = rows.select("*", whole.alias("lo"), whole.alias("hi"))
     else:
-        below = F.expr("cast(conv(hex(substring(fp, byte - byte % 3 + (byte + 1) % 3 + 1, 1)), 16, 10) as int)")
-        masks = F.array(*[F.lit(m) for m in range(256) if m.bit_count() <= BUDGET])
-        # at most 48 x 256 nodes: their list is safe to broadcast
+        below = F.expr(f"cast(conv(hex(substring(fp, byte - byte % {size} + (byte + 1) % {size} + 1, 1)), 16, 10) as int)")
+        masks = F.array(*[F.lit(m) for m in range(256) if m.bit_count() < size])
+        # at most 96 x 256 nodes: their list is safe to broadcast
         rows = rows.join(F.broadcast(big), ["byte", "head"], "left").withColumn("below", below)
         rows = rows.withColumn("mask", F.explode(F.when(F.col("split"), masks).otherwise(F.array(F.lit(0)))))
         other = F.col("below").bitwiseXOR(F.col("mask"))
@@ -313,8 +329,9 @@ def candidates(distinct: DataFrame, similarity: float, max_leaves: int = MAX_LEA
         rows = rows.select("byte", "head", "node", "fp", pick(F.least("below", other)).alias("lo"), pick(F.greatest("below", other)).alias("hi"))
     keys = ["byte", "head", "lo", "hi"]
     dealt = rows.repartition(n, *keys).sortWithinPartitions(*keys).select("byte", "lo", "hi", "node", "fp")
-    far, clear = _expected_bits(similarity, SPREAD), _expected_bits((1 + similarity) / 2, 0)
-    return dealt.mapInArrow(_walk_sections(far, clear), "src long, dst long").distinct()
+    bits = 8 * SECTIONS * size
+    far, clear = _expected_bits(similarity, SPREAD, bits), _expected_bits((1 + similarity) / 2, 0, bits)
+    return dealt.mapInArrow(_walk_sections(far, clear, size), "src long, dst long").distinct()
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -444,7 +461,7 @@ def _sets(docs: DataFrame, group: DataFrame, distinct: DataFrame, shingle: int)
     return once.select("node", "comp", F.length("shingles").alias("size"), "shingles")
 
 
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_leaves: int = MAX_LEAVES) -> DataFrame:
+def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, max_leaves: int = MAX_LEAVES, section: int | None = None) -> DataFrame:
     """(doc_id, node, component_id, root) for every row of ``docs``; component_id is the group's smallest doc_id.
 
     Words are lower-cased in A-Z. Null, empty and wordless texts are copies of each other and of nothing else;
@@ -452,11 +469,13 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float
     part but is never the smallest id (component_id is null if its group has none). An empty table gives an empty
     result; very long texts are read whole; other columns don't take part. Every link is exact. Links between texts of
     at most ``FEW`` distinct shingles are all found; others by the fingerprints, with the recall that the README gives.
+    ``section``: bytes of a section; by default as the number of rows demands.
     """
-    fps = staged(fingerprints(docs, shingle), "wide-fps")
+    size = section or section_bytes(docs.count())
+    fps = staged(fingerprints(docs, shingle, SECTIONS * size), "wide-fps")
     distinct = staged(fps.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("few").alias("few"), F.count("*").alias("rows")), "wide-fp")
     empty = F.lit(xxhash.xxh64_intdigest(b"") - (1 << 64))
-    edges = staged(candidates(distinct.where(F.col("node") != empty).select("node", "fp"), similarity, max_leaves), "wide-links")
+    edges = staged(candidates(distinct.where(F.col("node") != empty).select("node", "fp"), similarity, max_leaves, size), "wide-links")
     stars = components(edges)
     group = stars.select("node", F.col("root").alias("comp")).union(stars.select("root", "root").distinct())
     sets = staged(_sets(docs, group, distinct, shingle), "shingles")

@@ -172,13 +172,13 @@ def test_texts_of_few_words_are_linked_exactly(spark):
     assert got == want and 60 < len(set(want.values())) < 240
 
 
-def reachable_groups(texts):
-    """Groups by all pairs that are similar and whose fingerprints are near in a section and as a whole."""
+def reachable_groups(texts, size=3):
+    """Groups by all pairs that are similar and whose fingerprints are near in a section of ``size`` bytes and as a whole."""
     ids = sorted(texts)
     sets = [simhash_similar.shingle_set(texts[i])[1] for i in ids]
-    fp = np.stack([np.frombuffer(simhash_similar.wide_fingerprint(h), np.uint8) for h in sets])
+    fp = np.stack([np.frombuffer(simhash_similar.wide_fingerprint(h, 16 * size), np.uint8) for h in sets])
     bits = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(int)
-    near = (bits.reshape(len(ids), len(ids), 16, 3).sum(-1) <= 2).any(-1) & (bits.sum(-1) <= simhash_similar._expected_bits(0.8, simhash_similar.SPREAD))
+    near = (bits.reshape(len(ids), len(ids), 16, size).sum(-1) < size).any(-1) & (bits.sum(-1) <= simhash_similar._expected_bits(0.8, simhash_similar.SPREAD, 128 * size))
     root = {i: i for i in ids}
     for a, b in np.argwhere(near).tolist():
         both = len(np.intersect1d(sets[a], sets[b]))
@@ -195,3 +195,29 @@ def test_groups_whose_pairs_straddle_the_similarity(spark, many):
     docs = table(spark, [(i, t, "a") for i, t in texts.items()])
     got = {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs).collect()}
     assert got == reachable_groups(texts)
+
+
+@pytest.mark.parametrize("size,leaves", [(4, 1 << 20), (5, 40), (6, 1 << 20)])
+def test_wider_sections_find_what_they_reach(spark, size, leaves):
+    texts = {1000 * g + i: edited(text(700 + g, 150), 1000 * g + i, 1 + i % 3) for g in range(6) for i in range(15)}
+    docs = table(spark, [(i, t, "a") for i, t in texts.items()])
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_documents(docs, section=size, max_leaves=leaves).collect()}
+    assert got == reachable_groups(texts, size)
+
+
+def test_sections_grow_with_the_texts_at_the_same_recall():
+    assert [simhash_similar.section_bytes(n) for n in (0, 256_410, 3_000_000, 10_000_000, 500_000_000, 5 * 10**9, 10**12)] == [3, 3, 3, 4, 5, 6, 6]
+    rng, found = np.random.default_rng(8), {s: [0, 0] for s in (3, 4, 5, 6)}
+    for _ in range(400):  # sets of a similarity of 0.80 to 0.84
+        n = int(rng.integers(40, 400))
+        both = round(n * rng.uniform(0.80, 0.84))
+        h = rng.integers(0, 1 << 63, n, dtype=np.int64).view(np.uint64)
+        a, b = h[: both + (n - both) // 2], np.concatenate((h[:both], h[both + (n - both) // 2 :]))
+        for size, count in found.items():
+            x, y = (np.frombuffer(simhash_similar.wide_fingerprint(v, 16 * size), np.uint8) for v in (a, b))
+            bits = np.bitwise_count(x ^ y).astype(int)
+            count[0] += (bits.reshape(16, size).sum(1) < size).any() and bits.sum() <= simhash_similar._expected_bits(0.8, simhash_similar.SPREAD, 128 * size)
+            count[1] += 1
+    recalls = {s: k / n for s, (k, n) in found.items()}
+    print(recalls)
+    assert min(recalls.values()) > 0.98
