@@ -89,12 +89,13 @@ def quantile_cuts(rows: DataFrame, width: int, bins: int) -> list[list[float]]:
     return [sorted({v for v in found[str(f)] or () if v > found[f"least{f}"]}) for f in range(width)]
 
 
-def fit(rows: DataFrame, width: int, n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, reg_lambda: float = 1.0, gamma: float = 0.0, min_child_weight: float = 1.0, bins: int = 128, cuts: list[list[float]] | None = None) -> BoostedTrees:
+def fit(rows: DataFrame, width: int, n_estimators: int = 500, max_depth: int = 6, learning_rate: float = 0.05, reg_lambda: float = 1.0, gamma: float = 0.0, min_child_weight: float = 1.0, bins: int = 128, cuts: list[list[float]] | None = None, base_score: float | None = None) -> BoostedTrees:
     """Trees for the logistic loss from ``rows`` (x: array of ``width``, label 0 or 1), grown level by level.
 
     A split's gain is GL^2 / (HL + lambda) + GR^2 / (HR + lambda) - G^2 / (H + lambda), half of it, less gamma; ties go to
     the first feature and bin, missing values to the left. A leaf is worth -rate G / (H + lambda). ``cuts``: for each
-    feature the rising values from which its bins begin, in place of quantiles; fewer than 255.
+    feature the rising values from which its bins begin, in place of quantiles; fewer than 255. ``base_score``: the
+    probability before the first tree, by default the labels' mean.
     """
     cuts = cuts or quantile_cuts(rows, width, min(bins, MISSING))
     shared_cuts = rows.sparkSession.sparkContext.broadcast([np.array(c) for c in cuts])
@@ -111,6 +112,7 @@ def fit(rows: DataFrame, width: int, n_estimators: int = 500, max_depth: int = 6
     rate = packed.agg(F.avg("y")).first()[0]
     if rate is None:
         raise ValueError("boosting needs rows")
+    rate = rate if base_score is None else base_score
     rate = min(max(rate, 1e-9), 1 - 1e-9)
     model = BoostedTrees([], math.log(rate / (1 - rate)))
     margins = _Margins(packed, width, cuts)

@@ -42,12 +42,12 @@ class Own:
 def build(kind: str, params: dict, width: int):
     """``xgb``: boosted trees with second-order gains; ``gbt``: Spark's own; ``rf``; ``mlp``.
 
-    Defaults: 500 trees of depth 6 at a rate of 0.05, 400 trees of depth 10, 128 hidden units and 500 rounds (passes
+    Defaults: 500 trees of depth 6 at a rate of 0.05 (``xgb`` starts from even odds), 400 trees of depth 10, 128 hidden units and 500 rounds (passes
     under ``adam``, the default solver; ``sgd`` is gradient descent, ``lbfgs`` a quasi-Newton method). A depth of None is
     Spark's deepest, 30; learning_rate_init is the step of ``adam`` and ``sgd``.
     """
     if kind == "xgb":
-        return Own({**params}, width, boosting.fit)
+        return Own({"base_score": 0.5, **params}, width, boosting.fit)
     if kind == "gbt":
         return GBTClassifier(labelCol="label", seed=42, maxIter=params.get("n_estimators", 500), maxDepth=params.get("max_depth", 6), stepSize=params.get("learning_rate", 0.05))
     if kind == "rf":
