@@ -8,10 +8,14 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import relational as R
-
-IMAGE = "struct<id:long,file_name:string>"
-INSTANCES = f"images array<{IMAGE}>, categories array<struct<id:long,name:string>>, annotations array<struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>"
-CAPTIONS = "annotations array<struct<id:long,image_id:long,caption:string>>"
+from .json_parts import array_elements, map_entries
+
+INSTANCES = {
+    "images": "struct<id:long,file_name:string>",
+    "categories": "struct<id:long,name:string>",
+    "annotations": "struct<id:long,image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>",
+}
+CAPTIONS = {"annotations": "struct<id:long,image_id:long,caption:string>"}
 QUESTIONS = "text string, image string, label string, question_id long"
 
 
@@ -41,16 +45,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coco_samples(spark: SparkSession, instances: str, captions: str, images_dir: str = "", n: int | None = None, seed: int = 42) -> DataFrame:
-    """(image_id, file_name, image_path, annotations, coco_objects, captions) from two caption JSON documents.
+    """(image_id, file_name, image_path, annotations, coco_objects, captions) from two caption JSON documents, which are
+    read in splits.
 
     A missing path is an error. ``n`` draws that many images by a hash of id and ``seed``.
     """
     required(spark, instances, captions, images_dir)
-    doc = spark.read.schema(INSTANCES).json(instances, multiLine=True)
-    images = doc.select(F.inline("images")).select(F.col("id").alias("image_id"), "file_name", F.concat_ws("/", F.lit(images_dir), "file_name").alias("image_path"))
-    cats = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
-    anns = doc.select(F.inline("annotations"))
-    caps = spark.read.schema(CAPTIONS).json(captions, multiLine=True).select(F.posexplode("annotations").alias("ord", "c")).select("ord", "c.image_id", "c.caption")
+    doc = array_elements(spark, instances, INSTANCES)
+    images = doc["images"].select(F.col("id").alias("image_id"), "file_name", F.concat_ws("/", F.lit(images_dir), "file_name").alias("image_path"))
+    cats = doc["categories"].select(F.col("id").alias("category_id"), F.col("name").alias("category_name"))
+    anns = doc["annotations"].drop("ord")
+    caps = array_elements(spark, captions, CAPTIONS)["annotations"].select("ord", "image_id", "caption")
     out = R.nest_captions(R.nest_annotations(images, anns, cats), caps)
     return out.orderBy(F.xxhash64("image_id", F.lit(seed))).limit(n) if n else out
 
@@ -91,9 +96,13 @@ def caption_rows(spark: SparkSession, path: str, samples: DataFrame) -> DataFram
 
 
 def json_map(spark: SparkSession, path: str, value: str, whole: bool = False) -> DataFrame:
-    """(image_id, value columns) of JSON objects keyed by ids: one object a line, or with ``whole`` one over many lines."""
+    """(image_id, value columns) of JSON objects keyed by ids: one object a line, or with ``whole`` one over the whole
+    file, which is read in splits."""
     required(spark, path)
-    maps = spark.read.text(path, wholetext=whole).select(F.from_json("value", f"map<string,struct<{value}>>").alias("m"))
+    if whole:
+        found = map_entries(spark, path, f"struct<{value}>")
+        return found.select(F.col("key").try_cast("long").alias("image_id"), *[c for c in found.columns if c not in ("ord", "key")])
+    maps = spark.read.text(path).select(F.from_json("value", f"map<string,struct<{value}>>").alias("m"))
     return maps.select(F.explode("m").alias("key", "v")).select(F.col("key").cast("long").alias("image_id"), "v.*")
 
 
