@@ -581,7 +581,7 @@ def state_slices(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sample", "layer", _r(A.total(F.col("token"))).alias("token"), F.size("patches").alias("n_patches"), _r(F.get(F.get("patches", F.lit(1)), F.lit(0))).alias("second"))
 
 
-@query(f"""
+_ADS = f"""
 WITH RECURSIVE m AS (SELECT vec_id // 8 AS sample, (vec_id % 8) // 2 AS layer, list_transform(range(1, 65), lambda i: i) AS idx, list(a ORDER BY vec_id) AS hs FROM ({_E}) GROUP BY vec_id // 8, (vec_id % 8) // 2),
 a AS (SELECT sample, layer, sample * 4 + layer AS vec_id, list_transform(idx, lambda i: list_avg(list_transform(hs, lambda h: h[i]))) AS a FROM m),
 n AS (SELECT sample, layer, vec_id, list_transform(a, lambda x: x - list_min(a)) AS b FROM a),
@@ -593,7 +593,10 @@ area AS (SELECT vec_id, a, count(*) AS n FROM reach GROUP BY vec_id, a),
 mass AS (SELECT f.vec_id, coalesce(sum(p) FILTER (n >= 3), 0) AS m FROM f JOIN area ON area.vec_id = f.vec_id AND area.a = f.i GROUP BY f.vec_id),
 back AS (SELECT vec_id, p, sum(p) OVER (PARTITION BY vec_id) AS t FROM r WHERE NOT fore),
 ent AS (SELECT vec_id, -sum(greatest(p / t, 1e-12) * ln(greatest(p / t, 1e-12))) / ln(64) AS h FROM back GROUP BY vec_id),
-each AS (SELECT sample, layer, (1 - m) * h AS ads, count(*) OVER (PARTITION BY sample) AS layers FROM mass JOIN ent USING (vec_id) JOIN n USING (vec_id))
+each AS (SELECT sample, layer, (1 - m) * h AS ads, count(*) OVER (PARTITION BY sample) AS layers FROM mass JOIN ent USING (vec_id) JOIN n USING (vec_id))"""
+
+
+@query(_ADS + """
 SELECT sample, max(layers)::INT AS n_layers, round(avg(ads) FILTER (layer >= 1 AND layer < 3), 6) AS score FROM each WHERE layers = 4 GROUP BY sample""")
 def ads_score(spark: SparkSession, d: str) -> DataFrame:
     x = _curves(spark, d).select(F.floor(F.col("vec_id") / 8).cast("long").alias("sample"), F.floor((F.col("vec_id") % 8) / 2).cast("int").alias("layer"), (F.col("vec_id") % 2).alias("head"), F.col("a").alias("attention"))
@@ -825,6 +828,63 @@ def pope_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("question_id", F.md5("prompt").alias("prompt"), "model_answer", "label")
 
 
+_MIDDLE = "layer >= floor(layers * 0.25) AND layer < floor(layers * 0.75)"
+
+
+@query(_ADS + f""",
+ads AS (SELECT sample, coalesce(avg(ads) FILTER ({_MIDDLE}), 'NaN'::DOUBLE) AS ads FROM each GROUP BY sample),
+c AS (SELECT vec_id // 8 AS sample, (vec_id % 8) // 2 AS layer, list_avg(list_reverse_sort({_COS})[1:5]) AS c, count(*) OVER (PARTITION BY vec_id // 8) AS layers FROM ({_SLICES}) WHERE vec_id % 2 = 0),
+cgc AS (SELECT sample, coalesce(avg(c) FILTER ({_MIDDLE}), avg(c)) AS cgc FROM c GROUP BY sample),
+s AS (SELECT sample, layer, mass, count(*) OVER (PARTITION BY sample) AS layers FROM (SELECT vec_id // 8 AS sample, (vec_id % 8) // 2 AS layer, avg(list_sum(a)) AS mass FROM ({_E}) GROUP BY ALL)),
+svar AS (SELECT sample, coalesce(sum(mass) FILTER (layer >= floor(layers * 0.15) AND layer < floor(layers * 0.55)), 0) AS svar FROM s GROUP BY sample),
+z AS (SELECT vec_id // 8 AS sample, (list_position(v, list_max(v)) - 1)::INT AS token_id, ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) AS nll FROM ({_E}) WHERE vec_id % 8 = 0)
+SELECT sample AS question_id, CASE WHEN sample % 3 > 0 THEN (sample % 2 = 0)::INT ELSE -1 END AS label, token_id, round(ads, 6) AS ads_score, round(cgc, 6) AS cgc_score, round(svar, 6) AS svar_score, round(nll, 6) AS token_nll
+FROM ads JOIN cgc USING (sample) JOIN svar USING (sample) JOIN z USING (sample)""")
+def question_features(spark: SparkSession, d: str) -> DataFrame:
+    """Wide rows of questions whose captures are the vectors: four layers of two heads each."""
+    rows, of = _question_set(spark, d)
+    wide = D.question_features(rows, of)
+    return _rounded(wide.select("question_id", "label", "token_id", "ads_score", "cgc_score", "svar_score", "token_nll"), "ads_score", "cgc_score", "svar_score", "token_nll")
+
+
+def _question_set(spark: SparkSession, d: str) -> tuple[DataFrame, D.QuestionSet]:
+    x = _curves(spark, d).withColumns({"question_id": F.floor(F.col("vec_id") / 8).cast("long"), "layer": F.floor((F.col("vec_id") % 8) / 2).cast("int"), "head": (F.col("vec_id") % 2).cast("int")})
+    one = x.where("vec_id % 8 = 0")
+    word = F.concat(F.lit("thing"), "question_id")
+    questions = one.select("question_id", F.floor(F.col("question_id") / 2).cast("long").alias("image_id"), F.concat(F.lit("Is there a "), word, F.lit(" in the image?")).alias("question"), word.alias("object_word"), F.when(F.col("question_id") % 2 == 0, "no").otherwise("yes").alias("gt_label"))
+    answers = one.select("question_id", F.when(F.col("question_id") % 3 > 0, "Yes, there is").otherwise("No").alias("generated_text"))
+    patches = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, F.lit(8)))
+    states = x.where("head = 0").select("question_id", "layer", F.slice("v", 1, 8).alias("token"), patches.alias("patches"))
+    of = D.QuestionSet(questions, answers, x.select("question_id", "layer", "head", F.col("a").alias("patch_attention")), states, one.select("question_id", F.col("v").alias("logits")))
+    return D.pope_rows(questions, answers), of
+
+
+_SAMPLES = """
+WITH n AS (SELECT o_custkey AS c_custkey, count(*) AS n, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS objects, md5(string_agg(o_orderpriority, ',' ORDER BY o_orderpriority)) AS captions
+           FROM orders LEFT JOIN nation ON n_nationkey = o_orderkey % 30 GROUP BY o_custkey)
+SELECT c_custkey AS image_id, '/images/' || c_name AS image_path, coalesce(n, 0) AS n_annotations, coalesce(objects, '') AS objects, coalesce(captions, md5('')) AS captions FROM customer LEFT JOIN n USING (c_custkey)"""
+
+
+@query(_SAMPLES)
+def sample_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as images, orders as annotations and captions, in JSON documents of up to a thousand elements."""
+    folder, captions = scratch(spark, "samples"), scratch(spark, "captions")
+    o = _table(spark, d, "orders")
+    note = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), (F.col("o_orderkey") % 30).alias("category_id"))
+    _documents(_table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("file_name")), "images", folder)
+    _documents(_table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), "categories", folder)
+    _documents(note, "annotations", folder)
+    _documents(o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("image_id"), F.col("o_orderpriority").alias("caption")), "annotations", captions)
+    s = readers.coco_samples(spark, folder, captions).withColumn("image_path", F.concat(F.lit("/images/"), "file_name"))
+    return s.select("image_id", "image_path", F.size("annotations").cast("long").alias("n_annotations"), F.array_join("coco_objects", ",").alias("objects"), F.md5(F.array_join(F.array_sort("captions"), ",")).alias("captions"))
+
+
+def _documents(rows: DataFrame, name: str, folder: str) -> None:
+    """Appends documents with one array each, of the rows whose ids share their thousand."""
+    by = rows.groupBy(F.floor(F.col("id") / 1000).alias("b")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("a"))
+    by.select(F.concat(F.lit('{"info": {"images": [{"id": 0}]}, "' + name + '": '), "a", F.lit("}")).alias("value")).write.mode("append").text(folder)
+
+
 @query("SELECT doc_id AS image_id, n_chars, md5(text) AS text FROM documents")
 def json_map_scan(spark: SparkSession, d: str) -> DataFrame:
     """Rows written as JSON objects keyed by id, and read back."""

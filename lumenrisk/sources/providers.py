@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -21,6 +22,21 @@ class Provider(Protocol):
     def generate_batch(self, items: list[dict]) -> list[dict]: ...
 
 
+class CaptureProvider(Provider, Protocol):
+    """A model that also gives its inner states: one dictionary for each layer, in the order of the layers."""
+
+    def capture(self, item: dict, prefix: list[int], index: int, target: int) -> list[dict]:
+        """States before the token at ``index`` of the response, whose first tokens are ``prefix``."""
+
+
+def capture_batch(provider: CaptureProvider, item: dict, ids: list[int], indices: list[int], targets: list[int]) -> list[list[dict]]:
+    """The captures of several tokens of a response: the provider's own ``capture_batch``, else one after the other."""
+    own = getattr(provider, "capture_batch", None)
+    if own is not None:
+        return own(item, ids, indices, targets)
+    return [provider.capture(item, ids[:i], i, t) for i, t in zip(indices, targets, strict=True)]
+
+
 _KNOWN: dict[str, Callable[[dict], Provider]] = {}
 
 
@@ -56,6 +72,55 @@ def provide(rows: DataFrame, factory: Callable[[], Provider], key: str, result:
     return rows.mapInPandas(run, schema)
 
 
+def provide_captures(rows: DataFrame, factory: Callable[[], CaptureProvider], key: str, result: T.StructType) -> DataFrame:
+    """(key, span_idx, layer, result columns, error): captures of each row's tokens, one row a layer.
+
+    ``rows`` holds the item's columns, response_token_ids, and spans: array<struct<span_idx, response_token_idx,
+    target_token_id>>; a null target is the response's own token there. An item whose call fails is run again token by
+    token; a token that fails gives one row with its error and a null layer, one outside the response likewise. Items
+    without spans give no row.
+    """
+    schema = T.StructType([rows.schema[key], T.StructField("span_idx", T.IntegerType()), T.StructField("layer", T.IntegerType()), *result, T.StructField("error", T.StringType())])
+    names = [f.name for f in result]
+
+    def tokens(provider: CaptureProvider, item: dict) -> Iterator[dict]:
+        ids, spans = [int(i) for i in item.pop("response_token_ids")], item.pop("spans")
+        inside = [s for s in spans if 0 <= s["response_token_idx"] < len(ids)]
+        at = [int(s["response_token_idx"]) for s in inside]
+        targets = [ids[i] if pd.isna(s["target_token_id"]) else int(s["target_token_id"]) for i, s in zip(at, inside, strict=True)]
+        try:
+            got = [(c, None) for c in capture_batch(provider, item, ids, at, targets)] if inside else []
+            if len(got) != len(inside):
+                raise ValueError(f"{len(got)} captures for {len(inside)} tokens")
+        except Exception:  # noqa: BLE001 whatever a provider raises belongs to one of its tokens
+            got = [_captured(provider, item, ids, i, t) for i, t in zip(at, targets, strict=True)]
+        for s, (layers, error) in zip(inside, got, strict=True):
+            if error is not None:
+                yield {key: item[key], "span_idx": s["span_idx"], "layer": None, "error": error}
+            for layer, c in enumerate(layers or ()):
+                yield {key: item[key], "span_idx": s["span_idx"], "layer": layer, **{n: c.get(n) for n in names}, "error": None}
+        for s in spans:
+            if not 0 <= s["response_token_idx"] < len(ids):
+                yield {key: item[key], "span_idx": s["span_idx"], "layer": None, "error": f"IndexError: token {s['response_token_idx']} of {len(ids)}"}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = factory()
+        for frame in frames:
+            for item in frame.to_dict("records"):
+                out = pd.DataFrame(list(tokens(provider, item)), columns=schema.names)
+                yield out.astype({"span_idx": "Int32", "layer": "Int32"})
+
+    wanted = rows.where(F.col("response_token_ids").isNotNull() & (F.size("spans") > 0))
+    return wanted.mapInPandas(run, schema)
+
+
+def _captured(provider: CaptureProvider, item: dict, ids: list[int], index: int, target: int) -> tuple[list[dict] | None, str | None]:
+    try:
+        return provider.capture(item, ids[:index], index, target), None
+    except Exception as error:  # noqa: BLE001
+        return None, f"{type(error).__name__}: {error}"
+
+
 def _one(provider: Provider, item: dict) -> tuple[dict | None, str | None]:
     try:
         return provider.generate(item), None
