@@ -6,9 +6,11 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Provider(Protocol):
@@ -87,7 +89,7 @@ def provide_captures(rows: DataFrame, factory: Callable[[], CaptureProvider], ke
         ids, spans = [int(i) for i in item.pop("response_token_ids")], item.pop("spans")
         inside = [s for s in spans if 0 <= s["response_token_idx"] < len(ids)]
         at = [int(s["response_token_idx"]) for s in inside]
-        targets = [ids[i] if pd.isna(s["target_token_id"]) else int(s["target_token_id"]) for i, s in zip(at, inside, strict=True)]
+        targets = [ids[i] if s["target_token_id"] is None else int(s["target_token_id"]) for i, s in zip(at, inside, strict=True)]
         try:
             got = [(c, None) for c in capture_batch(provider, item, ids, at, targets)] if inside else []
             if len(got) != len(inside):
@@ -103,15 +105,16 @@ def provide_captures(rows: DataFrame, factory: Callable[[], CaptureProvider], ke
             if not 0 <= s["response_token_idx"] < len(ids):
                 yield {key: item[key], "span_idx": s["span_idx"], "layer": None, "error": f"IndexError: token {s['response_token_idx']} of {len(ids)}"}
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = factory()
-        for frame in frames:
-            for item in frame.to_dict("records"):
-                out = pd.DataFrame(list(tokens(provider, item)), columns=schema.names)
-                yield out.astype({"span_idx": "Int32", "layer": "Int32"})
+        for b in batches:
+            for item in b.to_pylist():
+                yield pa.RecordBatch.from_pylist(list(tokens(provider, item)), schema=arrow)
 
     wanted = rows.where(F.col("response_token_ids").isNotNull() & (F.size("spans") > 0))
-    return wanted.mapInPandas(run, schema)
+    return wanted.mapInArrow(run, schema)
 
 
 def _captured(provider: CaptureProvider, item: dict, ids: list[int], index: int, target: int) -> tuple[list[dict] | None, str | None]:
