@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,24 +16,39 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions.bytepairs import BytePairs
 
 WORD = re.compile(r"[A-Za-z]+(?:'[A-Za-z]+)?")
+PARTS = re.compile(f"({WORD.pattern})")
 TOKEN = re.compile(r"\w+|[^\w\s]")
 
 Encode = Callable[[str], list]
 
 
-def mentions_of(text: str, vocabulary: dict[str, str]) -> list[tuple[str, int, int]]:
-    """(object, start, end) of each mention, in order: a known pair of words first, else a known word."""
-    words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(text)]
-    out, i = [], 0
-    while i < len(words):
-        pair = vocabulary.get(f"{words[i][0]} {words[i + 1][0]}") if i + 1 < len(words) else None
-        one = vocabulary.get(words[i][0]) if pair is None else None
+def mentions_of(text: str, vocabulary: dict[str, str], heads: frozenset[str] | None = None) -> list[tuple[str, int, int]]:
+    """(object, start, end) of each mention, in order: a known pair of words first, else a known word.
+
+    Only words that begin an entry (``heads``) are looked at one by one; offsets are running sums of the lengths of
+    words and gaps.
+    """
+    heads = heads_of(vocabulary) if heads is None else heads
+    parts = PARTS.split(text)
+    words = [w.lower() for w in parts[1::2]]
+    hits = [i for i, w in enumerate(words) if w in heads]
+    ends = list(accumulate(map(len, parts))) if hits else []
+    out, free = [], 0
+    for i in hits:
+        if i < free:
+            continue
+        pair = vocabulary.get(f"{words[i]} {words[i + 1]}") if i + 1 < len(words) else None
+        one = vocabulary.get(words[i]) if pair is None else None
         if pair is not None or one is not None:
-            out.append((pair or one, words[i][1], words[i + (pair is not None)][2]))
-        i += 2 if pair is not None else 1
+            out.append((pair or one, ends[2 * i], ends[2 * (i + (pair is not None)) + 1]))
+        free = i + 2 if pair is not None else i + 1
     return out
 
 
+def heads_of(vocabulary: dict[str, str]) -> frozenset[str]:
+    return frozenset(k.split(" ", 1)[0] for k in vocabulary)
+
+
 def token_counter(text: str, encode: Encode | None) -> Callable[[int, int], int]:
     """Number of tokens of any piece of a text. The default tokenizer's tokens are found once for all prefixes."""
     if encode is not None:
@@ -73,7 +89,8 @@ def _per_text(rows: DataFrame, keep: list[str], fields: dict[str, T.DataType], k
 def mentions(docs: DataFrame, vocabulary: dict[str, str], id_col: str = "doc_id") -> DataFrame:
     """(id, mention_index, object, surface, start, end) of every mention; offsets are characters of the text itself."""
     fields = {"mention_index": T.IntegerType(), "object": T.StringType(), "surface": T.StringType(), "start": T.IntegerType(), "end": T.IntegerType()}
-    return _per_text(docs, [id_col], fields, lambda t: [(k, o, t[a:b], a, b) for k, (o, a, b) in enumerate(mentions_of(t, vocabulary))], [])
+    heads = heads_of(vocabulary)
+    return _per_text(docs, [id_col], fields, lambda t: [(k, o, t[a:b], a, b) for k, (o, a, b) in enumerate(mentions_of(t, vocabulary, heads))], [])
 
 
 def caption_spans(docs: DataFrame, vocabulary: dict[str, str], truth: str, id_col: str = "doc_id", encode: Encode | BytePairs | None = None, n_ids: str | None = None) -> DataFrame:
@@ -84,11 +101,12 @@ def caption_spans(docs: DataFrame, vocabulary: dict[str, str], truth: str, id_co
     response's ``n_ids`` tokens (the text's own number where no column is named), are left out.
     """
     kinds = {"mention_index": T.IntegerType(), "word": T.StringType(), "surface": T.StringType(), "start": T.IntegerType(), "end": T.IntegerType(), "first": T.IntegerType(), "n_tokens": T.IntegerType(), "label": T.IntegerType()}
+    heads = heads_of(vocabulary)
 
     def kernel(text: str, there: list | None, limit: int | None = None) -> list[tuple]:
         span, known, out = token_spans(text, encode), set(there or ()), []
         last = limit if limit is not None else sum(span(0, len(text)))
-        for k, (o, a, b) in enumerate(mentions_of(text, vocabulary)):
+        for k, (o, a, b) in enumerate(mentions_of(text, vocabulary, heads)):
             first, n = span(a, b)
             if n and first + n <= last:
                 out.append((k, o, text[a:b], a, b, first, n, int(o not in known)))

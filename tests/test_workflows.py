@@ -82,6 +82,23 @@ def test_caption_mentions_and_spans(spark):
     assert summary.first().images == 3 and summary.first().images_with_hallucination == 1
 
 
+def test_mentions_against_a_plain_walk():
+    voc = {"hot dog": "hot dog", "dog": "dog", "dog hot": "pair", "it's": "own"}
+    for words in itertools.product(("hot", "Dog", "it's", "é"), repeat=5):
+        text, want, i = " ".join(words) + ",", [], 0
+        at = [sum(len(w) + 1 for w in words[:k]) for k in range(5)]
+        low = [w.lower() for w in words]
+        known = [k for k in range(5) if low[k] != "é"]  # no word of the pattern
+        while i < len(known):
+            k, after = known[i], known[i + 1] if i + 1 < len(known) else None
+            two = voc.get(f"{low[k]} {low[after]}") if after is not None else None
+            if two or low[k] in voc:
+                last = after if two else k
+                want.append((two or voc[low[k]], at[k], at[last] + len(words[last])))
+            i += 2 if two else 1
+        assert C.mentions_of(text, voc) == want, text
+
+
 def test_token_spans_of_other_scripts(spark):
     rows = spark.createDataFrame([("éb b. B", "b"), ("a\\E+ x a\\E+", "a\\E+"), ("the hot dog", "hot dog")], "text string, word string")
     rows = rows.select(F.monotonically_increasing_id().alias("image_id"), "text", "word", F.lit(0).alias("label"), F.lit(20).alias("n_ids"))
