@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .decontam import mix64
 
 #: Bytes of text in a chunk, and distinct n-grams that a slot answers, about.
@@ -107,22 +108,43 @@ def _scores(alpha: float, least: int):
     return run
 
 
+def _dealt(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """(chunk, doc_id, text) for every row, and the bytes of all texts.
+
+    The chunk is a hash of id and text, so a task that runs again deals alike in whatever order its rows come. Rows that
+    repeat id and text until they fill more than a chunk are counted, and dealt in pieces of at most a chunk.
+    """
+    key, weight = F.xxhash64("doc_id", "text"), F.octet_length("text") + F.lit(16)
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    each = rows.groupBy(key.alias("__key")).agg(F.count("*").alias("n"), F.sum(weight.cast("long")).alias("bytes"))
+    often = (F.col("n") > 1) & (F.col("bytes") > chunk_bytes)
+    total = each.agg(F.coalesce(F.sum(F.col("bytes") - 16 * F.col("n")), F.lit(0)).alias("size"), F.count_if(often).alias("often")).first()
+    chunks = max(1, -(-total.size // chunk_bytes))
+    chunk = lambda piece: F.pmod(F.xxhash64("doc_id", "text", piece), F.lit(chunks)).alias("chunk")
+    if not total.often:
+        return rows.select(chunk(F.lit(0).cast("long")), "doc_id", "text"), total.size
+    hot = staged(each.where(often).select("__key"), "lm-often")  # fewer keys than chunks
+    keyed = rows.withColumn("__key", key)
+    many = keyed.join(hot, "__key", "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
+    many = many.withColumn("most", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(chunk_bytes) / weight)))
+    pieces = many.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.col("most"))))).repartition("doc_id", "text", "piece")
+    own = F.least(F.col("most"), F.col("n") - F.col("piece") * F.col("most")).cast("int")
+    spread = pieces.select(chunk(F.col("piece")), "doc_id", "text", F.explode(F.array_repeat(F.lit(0), own))).select("chunk", "doc_id", "text")
+    return keyed.join(hot, "__key", "left_anti").select(chunk(F.lit(0).cast("long")), "doc_id", "text").unionByName(spread), total.size
+
+
 def lm_scores(docs: DataFrame, alpha: float = ALPHA, least: int = LEAST, chunk_bytes: int = CHUNK_BYTES, slot_grams: int = SLOT_GRAMS) -> DataFrame:
     """(doc_id, n_words, n_backoff, log_score, word_score) for every row of ``docs``, under bigram counts of them all.
 
     A word after another scores c(ab) / c(a) if c(ab) is ``least`` or more, else ``alpha`` c(b) / N; a first word
     c(b) / N. log_score sums the logarithms, word_score is its mean. Null and blank texts have no words, log_score
-    0 and a null word_score; repeated rows count and repeat, and are dealt to chunks by their place, so that any number
-    of them leaves chunks small; an empty table gives an empty result; very long texts are read whole; other columns
+    0 and a null word_score; repeated rows count and repeat, and any number of them leaves chunks small; an empty table gives an empty result; very long texts are read whole; other columns
     don't take part. n-grams are told apart by 64-bit hashes: among a trillion of them some 30,000 share one, and a
     shared count changes a score by less than rounding.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // chunk_bytes))
+    dealt, size = _dealt(docs, chunk_bytes)
     slot_bits = min(max(1, math.ceil(math.log2(max(2, size / 4 / slot_grams)))), 40)
     doc_id = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", text, F.shiftright(F.monotonically_increasing_id(), 6)), F.lit(chunks)).alias("chunk"), "doc_id", text.alias("text"))
     requests = dealt.groupBy("chunk").applyInArrow(_requests(slot_bits), "slot long, chunk long, keys binary, counts binary")
     answers = requests.groupBy("slot").applyInArrow(_answers, "slot long, chunk long, totals binary")
     scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_scores(alpha, least), f"doc_id {doc_id}, n_words long, n_backoff long, log_score double")
