@@ -2,7 +2,7 @@
 
 The documents' word shingles are first matched with the items' shingles: a window without any can't be similar,
 so nothing is lost by opening windows only there. In such places every window of an item's size gets a SimHash
-(running sums over the shingles' bits). The items' fingerprints stand in four tables, by 16 bits each; fingerprints
+(running sums over the shingles' bits). The items' fingerprints stand in four tables a size, by 16 bits each; fingerprints
 within the radius differ in at most a quarter of it in some block, so looking up all values that near to a window's
 blocks returns every item within the radius. An exact weighted-shingle similarity decides. A document shorter than an
 item is one window, and the similarity alone decides.
@@ -74,6 +74,52 @@ class Index:
     k: int = SHINGLE
 
 
+class Blocks:
+    """The items of one size in four tables, by 16 bits of their fingerprints each.
+
+    In some table a fingerprint within the radius differs in at most a quarter of it. A look-up visits either all values
+    that near to a window's, or all values that the items have, whichever are fewer.
+    """
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray, radius: int) -> None:
+        self.items, self.prints, self.radius = items, prints[items], radius
+        masks = np.arange(1 << BLOCK_BITS, dtype=np.int64)
+        self.masks = masks[np.bitwise_count(masks) <= radius // BLOCKS]
+        self.few = len(items) < len(self.masks)
+        self.values = self._blocks(self.prints)
+        if not self.few:  # the items in the order of a block's value, and where each value begins
+            self.order = np.argsort(self.values, axis=1, kind="stable")
+            self.start = np.stack([np.searchsorted(v[o], np.arange((1 << BLOCK_BITS) + 1)) for v, o in zip(self.values, self.order, strict=True)]).astype(np.int32)
+
+    @staticmethod
+    def _blocks(prints: np.ndarray) -> np.ndarray:
+        return np.stack([(prints >> np.uint64(BLOCK_BITS * b)).astype(np.int64) & ((1 << BLOCK_BITS) - 1) for b in range(BLOCKS)])
+
+    def _pairs(self, b: int, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, place in ``items``) whose values of block ``b`` are near."""
+        if self.few:
+            return np.nonzero(np.bitwise_count(value[:, None] ^ self.values[b]) <= self.radius // BLOCKS)
+        look = value[:, None] ^ self.masks
+        n = self.start[b][look + 1] - self.start[b][look]
+        w, m = np.nonzero(n)
+        n = n[w, m].astype(np.int64)
+        place = np.repeat(self.start[b][look[w, m]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.repeat(w, n), self.order[b][place]
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``prints``, item, differing bits) of all pairs within the radius."""
+        found = []
+        for at in range(0, len(prints), WINDOWS):
+            part = prints[at : at + WINDOWS]
+            pairs = [w * len(self.items) + i for w, i in (self._pairs(b, v) for b, v in enumerate(self._blocks(part)))]
+            w, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.items))
+            d = np.bitwise_count(part[w] ^ self.prints[i]).astype(np.int64)
+            ok = d <= self.radius
+            found.append(np.stack([w[ok] + at, self.items[i[ok]], d[ok]]))
+        w, i, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        return w, i, d
+
+
 class Search:
     """Finds an index's items in documents; its tables are made in the worker.
 
@@ -102,37 +148,11 @@ class Search:
             self.known[s] = h[order], item[order]
             self.maps[s] = np.zeros(1 << _BITMAP, bool)
             self.maps[s][h >> np.uint64(64 - _BITMAP)] = True
-        # a table for each block: the items in the order of its value, and where each value begins
-        values = self._blocks(self.prints)
-        self.order = np.argsort(values, axis=1, kind="stable")
-        self.start = np.stack([np.searchsorted(v[o], np.arange((1 << BLOCK_BITS) + 1)) for v, o in zip(values, self.order, strict=True)]).astype(np.int32)
-        masks = np.arange(1 << BLOCK_BITS, dtype=np.int64)
-        self.masks = masks[np.bitwise_count(masks) <= radius // BLOCKS]
-
-    @staticmethod
-    def _blocks(prints: np.ndarray) -> np.ndarray:
-        return np.stack([(prints >> np.uint64(BLOCK_BITS * b)).astype(np.int64) & ((1 << BLOCK_BITS) - 1) for b in range(BLOCKS)])
+        self.tables = {int(n): Blocks(np.flatnonzero(self.size == n), self.prints, radius) for n in set(self.size.tolist())}
 
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``prints``, item, differing bits) of all pairs within the radius."""
-        found = []
-        for at in range(0, len(prints), WINDOWS):
-            part = prints[at : at + WINDOWS]
-            pairs = []
-            for b, value in enumerate(self._blocks(part)):
-                look = value[:, None] ^ self.masks
-                n = self.start[b][look + 1] - self.start[b][look]
-                w, m = np.nonzero(n)
-                if len(w):
-                    n = n[w, m].astype(np.int64)
-                    place = np.repeat(self.start[b][look[w, m]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                    pairs.append(np.repeat(w, n) * len(self.prints) + self.order[b][place])
-            if pairs:
-                w, i = np.divmod(np.unique(np.concatenate(pairs)), len(self.prints))
-                d = np.bitwise_count(part[w] ^ self.prints[i]).astype(np.int64)
-                ok = d <= self.radius
-                found.append(np.stack([w[ok] + at, i[ok], d[ok]]))
-        w, i, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+    def near(self, prints: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``prints``, item, differing bits) of all pairs within the radius, with items of one size or of all."""
+        w, i, d = (np.concatenate(c) for c in zip(*[t.near(prints) for n, t in self.tables.items() if size in (None, n)], strict=True))
         return w, i, d
 
     def similarity(self, item: int, h: np.ndarray) -> float:
@@ -186,9 +206,8 @@ class Search:
             # windows that hold one of these shingles, as runs of window starts
             runs = _runs(np.maximum(at - width + 1, 0), np.minimum(at, len(x) - size))
             for starts, prints in self._windows(h, runs, width):
-                w, i, d = self.near(prints)
-                same = self.size[i] == size
-                for start, item, bits in zip(starts[w[same]].tolist(), i[same].tolist(), d[same].tolist(), strict=True):
+                w, i, d = self.near(prints, size)
+                for start, item, bits in zip(starts[w].tolist(), i.tolist(), d.tolist(), strict=True):
                     s = self.similarity(item, h[start : start + width])
                     if s >= self.least and (item not in best or (-s, start) < best[item][0]):
                         best[item] = (-s, start), size, bits
