@@ -276,6 +276,33 @@ def token_spans(spark: SparkSession, d: str) -> DataFrame:
     return X.token_spans(rows, "doc_id")
 
 
+@query(rf"""
+WITH w(word) AS (VALUES ('that'), ('of'), ('ras'), ('de la')),
+d AS (SELECT doc_id, text, word, '(?is)^(|.*?[^\p{{L}}\p{{N}}\p{{M}}_])' || word || '(?:[^\p{{L}}\p{{N}}\p{{M}}_]|$)' AS p, strpos(lower(text), word) AS hit FROM documents, w)
+SELECT doc_id, word, CASE WHEN regexp_matches(text, p) THEN len(regexp_extract_all(regexp_extract(text, p, 1), '{_TOKEN}'))
+                          WHEN hit > 0 THEN len(regexp_extract_all(substr(text, 1, hit - 1), '{_TOKEN}')) END::INT AS position FROM d""")
+def object_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens before each of four words: as a whole word, else as a part of one; null where a text has neither."""
+    words = F.array(*[F.lit(w) for w in ("that", "of", "ras", "de la")])
+    rows = _table(spark, d, "documents").select("doc_id", "text", F.explode(words).alias("word"))
+    return rows.select("doc_id", "word", X.object_position(F.col("text"), F.col("word")).alias("position"))
+
+
+@query("""
+WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, text, w, unnest([{'a': doc_id % 5, 'b': doc_id % 5 + 1}, {'a': 3, 'b': 3}, {'a': len(w) - 1, 'b': len(w)}, {'a': 2, 'b': 1}, {'a': -1, 'b': 0}], recursive := true) FROM w),
+o AS (SELECT *, coalesce(list_sum(list_transform(w[1:a], lambda x: length(x) + 1)), 0) AS s, coalesce(list_sum(list_transform(w[1:b], lambda x: length(x) + 1)), 0) + length(w[b + 1]) AS e
+      FROM s WHERE a >= 0 AND a <= b AND b < len(w))
+SELECT doc_id, s::INT AS start, e::INT AS "end", substr(text, (s + 1)::BIGINT, (e - s)::BIGINT) AS surface FROM o""")
+def adapter_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Word offsets as spans of characters; those that leave the text or run backwards are dropped."""
+    last = F.size(F.split("text", " "))
+    at = (F.col("doc_id") % 5).cast("int")
+    offsets = [(at, at + 1), (F.lit(3), F.lit(3)), (last - 1, last), (F.lit(2), F.lit(1)), (F.lit(-1), F.lit(0))]
+    spans = F.array(*[F.struct(a.alias("first"), b.alias("last")) for a, b in offsets])
+    return _table(spark, d, "documents").select("doc_id", F.inline(X.adapter_mentions(F.col("text"), spans)))
+
+
 @query("""
 SELECT o_orderkey AS image_id, count(l_orderkey) AS n_annotations, coalesce(array_to_string(list_sort(list_distinct(list(p_type) FILTER (p_type IS NOT NULL AND p_type <> ''))), '|'), '') AS coco_objects
 FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
@@ -431,6 +458,31 @@ def prompt_positions(spark: SparkSession, d: str) -> DataFrame:
     return x.select("l_orderkey", "l_linenumber", join(F.col("prompt")).alias("prompt"), join(support).alias("support"), P.prediction_position(F.col("idx"), F.col("n"), F.col("prompt"), F.col("at"), 4).alias("prediction"))
 
 
+_LENGTHS = "SELECT doc_id, list_transform(string_split(coalesce(text, ''), ' '), lambda x: length(x)) AS ids FROM documents"
+
+
+def _lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Word lengths stand for the ids of a tokenizer."""
+    return _table(spark, d, "documents").select("doc_id", F.transform(F.split(F.coalesce("text", F.lit("")), " "), F.length).alias("ids"))
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, list_position(ids, 9) AS a, list_position(ids, 11) AS b FROM ({_LENGTHS}))
+SELECT doc_id, CASE WHEN a > 0 AND b > 0 THEN a ELSE 5 END::INT AS start, CASE WHEN a > 0 AND b > 0 THEN b - 1 ELSE 261 END::INT AS "end" FROM p""")
+def vision_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """From behind the first of one marker to the first of another; a fixed range where one is missing."""
+    return _lengths(spark, d).select("doc_id", P.vision_range(F.col("ids"), 9, 11, (5, 261)).alias("r")).select("doc_id", "r.*")
+
+
+@query(f"""
+SELECT doc_id, md5(array_to_string(list_concat(ids[:4], [-200, -200, -200, -200, -200], ids[5:]), ',')) AS ids, least(len(ids), 4)::INT AS start, (least(len(ids), 4) + 5)::INT AS "end" FROM ({_LENGTHS})""")
+def image_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Five image ids between the first four ids and the rest, and where they stand."""
+    ids = F.col("ids")
+    x = _lengths(spark, d).select("doc_id", P.image_input(F.slice(ids, 1, 4), -200, F.lit(5), F.slice(ids, F.lit(5), F.size(ids))).alias("r"))
+    return x.select("doc_id", F.md5(F.array_join(F.col("r.ids").cast("array<string>"), ",")).alias("ids"), "r.start", "r.end")
+
+
 @query(f"""
 WITH RECURSIVE n AS (SELECT vec_id, list_transform(a, lambda x: x - list_min(a)) AS b FROM ({_E})),
 u AS (SELECT vec_id, unnest(b) / list_sum(b) AS p, unnest(range(64)) AS i FROM n),
@@ -649,6 +701,17 @@ def class_balance(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_hallucinated"), F.count_distinct("toxic").alias("n_classes"), _r(F.avg("toxic")).alias("rate"))
 
 
+@query(f"""
+WITH x AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN -1 WHEN vec_id % 11 = 0 THEN NULL ELSE (vec_id % 2) END AS label, CASE WHEN vec_id % 3 = 0 THEN a ELSE v END AS x FROM ({_E}))
+SELECT vec_id, label::INT AS label, 32 AS n, round(list_sum(x[5:12]) + list_sum(x[21:28]) + list_sum(x[37:44]) + list_sum(x[53:60]), 6) AS total FROM x WHERE label >= 0""")
+def matrix_of_layers(spark: SparkSession, d: str) -> DataFrame:
+    """The middle half of four blocks of 16 layers, from the vector or, where it is null, the other one; labelled rows only."""
+    label = F.when(F.col("vec_id") % 7 == 0, -1).when(F.col("vec_id") % 11 != 0, F.col("vec_id") % 2).cast("int")
+    rows = _curves(spark, d).select("vec_id", label.alias("label"), F.when(F.col("vec_id") % 3 != 0, F.col("v")).alias("vector"), "a")
+    x = L.feature_matrix(rows, "vector", "a", layers=16, layer_range=(0.25, 0.75))
+    return x.select("vec_id", "label", F.size("x").alias("n"), _r(F.aggregate("x", F.lit(0.0), lambda s, v: s + v)).alias("total"))
+
+
 def _detector(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     rows = L.feature_matrix(_curves(spark, d).withColumn("label", (F.get("v", F.lit(0)) > 0).cast("int")), "a")
     splits = R.hash_split(rows, "vec_id", [("train", 0.6), ("val", 0.2), ("test", 0.2)])
