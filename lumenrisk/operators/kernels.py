@@ -289,7 +289,8 @@ def sharded_probabilities(states: DataFrame, weights: DataFrame, shard: int = 40
     blocks = max(-(-states.count() // block), 1)
     of = F.floor(F.col("token") / shard).cast("long")
     known = [r[0] for r in weights.select(of).distinct().collect()]  # vocabulary / shard numbers
-    left = states.select("key", F.col("state").cast("array<double>").alias("state"), F.col("target").cast("long").alias("target"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*[F.lit(k) for k in sorted(known)]) if known else F.array().cast("array<bigint>")).alias("shard"))
+    # cogroups are dealt by the keys' hashes: both sides' keys have the same types
+    left = states.select("key", F.col("state").cast("array<double>").alias("state"), F.col("target").cast("long").alias("target"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.array(*[F.lit(k) for k in sorted(known)]).cast("array<bigint>")).alias("shard"))
     right = weights.select(F.col("token").cast("long").alias("token"), F.col("w").cast("array<double>").alias("w"), of.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("met"))
     kind = states.schema["key"].dataType.simpleString()
 

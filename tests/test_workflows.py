@@ -158,6 +158,20 @@ def test_sharded_probabilities_equal_the_dense_form(spark):
         K.target_probabilities(rows, np.zeros((1 << 20, 16)))
 
 
+def test_sharded_probabilities_over_many_partitions(spark):
+    """Without coalesced partitions, the matrix's shards and the states' blocks meet only if both are dealt alike."""
+    w = np.random.default_rng(2).normal(size=(10, 4))
+    rows = spark.createDataFrame([(i, [i / 20, 1.0, -i / 10, 0.5], i % 10) for i in range(60)], "key long, state array<double>, target int")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(w)], "token long, w array<double>")
+    dense = {r.key: r.probability for r in K.target_probabilities(rows, w).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.key: r.probability for r in K.sharded_probabilities(rows, table, 4, 16).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == pytest.approx(dense)
+
+
 def test_positions(spark):
     got = spark.range(1).select(
         P.text_positions(F.lit(5), F.array(F.lit(1), F.lit(2)), F.lit(4)), P.image_input(F.array(F.lit(9)), -7, F.lit(2), F.array(F.lit(8))),
