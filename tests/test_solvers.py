@@ -65,6 +65,27 @@ def test_adam_step_for_step(spark):
     assert 0 < np.abs(slow.w - N.blank(3, (4,), 42).w).max() < 0.002  # the rate is in force
 
 
+def test_adam_in_runs_and_in_tasks(spark, monkeypatch):
+    """Many mini-batches are few Spark jobs; runs of any size, summed gradients and repeated rows give the plain weights."""
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.normal(size=(60, 3)), 2, axis=0)
+    y = np.tile([0, 1, 1, 1], 30)
+    rows = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y, strict=True)], "x array<double>, label int").repartition(3)
+    dealt = {tuple(r.x): r.batch for r in N.batches_of(rows, 20).collect()}
+    batch = np.array([dealt[tuple(r.tolist())] for r in x])
+    want = plain_network(x, y, N.blank(3, (4,), 42), batch, 4, 0.05, 2, 0.01, 42, 20)
+    fit = lambda: N.fit(rows, 3, (4,), 0.05, max_iter=2, batch_size=6, alpha=0.01)
+    spark.sparkContext.setJobGroup("adam", "runs")
+    got = fit()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("adam"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.w == pytest.approx(want, abs=1e-9) and jobs < 20  # one job a step would be 40
+    monkeypatch.setattr(N, "RUN_BYTES", 8 * 5 * 6 * 3)  # three mini-batches a run
+    assert (fit().w == got.w).all()
+    monkeypatch.setattr(N, "RUN_BYTES", 0)
+    assert fit().w == pytest.approx(want, abs=1e-9)
+
+
 def test_network_gradient_against_differences():
     rng = np.random.default_rng(2)
     net, x, y = N.blank(3, (5, 4), 7), rng.normal(size=(11, 3)), rng.integers(0, 2, 11)
