@@ -44,6 +44,23 @@ def test_forest_threshold_against_loops():
         assert cut == min(c for c in gain if gain[c] >= max(gain.values()) - 1e-12)
 
 
+def test_threshold_and_forest_use_all_labelled_rows(spark):
+    """The verdict is the plain threshold over all of 9000 labelled rows; any of them can be a row of a tree."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(10, 40))) + "#" * int(rng.integers(0, 9)) for _ in range(9000)]
+    quality = (rng.random(9000) < 0.9).astype(int).tolist()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int")
+    got = quality_rules.quality_rules(docs, labels).toPandas().sort_values("doc_id")
+    open_, good = ~got.base_failed.to_numpy(), np.array(quality) == 1
+    cut = quality_rules.threshold(got.anomaly.to_numpy()[open_], good[open_])
+    assert (got.kept == (open_ & (got.anomaly <= cut))).all()
+    known = quality_rules.labelled_rows(quality_rules.measured(docs), labels).select("doc_id", "x")
+    few, again = quality_rules.fit(known, trees=5, size=20), quality_rules.fit(known.repartition(7), trees=5, size=20)
+    assert few.rows == 20 and len(few.roots) == 5 and (few.split == again.split).all()
+
+
 @pytest.mark.parametrize("items", [30, 4000])
 def test_tables_of_one_size(items):
     """Few items of a size are visited by their values, many by the values near to a window's; both find every pair."""
