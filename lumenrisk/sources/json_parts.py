@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .staging import scratch
+
 #: A whole string, or a mark: a quote here opens a string that the piece doesn't close.
 MARK = re.compile(r'"(?:[^"\\]++|\\.)*+"|["\[\]{}]', re.S)
 REST = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
@@ -171,7 +173,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _elements(spark: SparkSession, path: str, names: frozenset[str] | None, level: int) -> DataFrame:
-    parts = _pieces(spark, path).mapInArrow(_cut(_starts(spark, path, level), names, level), _PARTS)
+    staged = scratch(spark, "elements")  # each array, and the parts at edges, are read out of it; the document is walked once
+    _pieces(spark, path).mapInArrow(_cut(_starts(spark, path, level), names, level), _PARTS).write.parquet(staged)
+    parts = spark.read.schema(_PARTS).parquet(staged)
     order = lambda began, at: F.shiftleft(began.cast("long"), 33) + at
     whole = parts.where("whole").select("name", "key", order(F.col("began"), F.col("at")).alias("ord"), "text")
     edges = parts.where("NOT whole").groupBy("began").agg(  # an element with no first part is no object

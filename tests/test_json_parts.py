@@ -82,3 +82,12 @@ def test_empty_and_odd_documents(spark, tmp_path):
         assert J.array_elements(spark, str(tmp_path / "odd.json"), {"images": "struct<id:long>"})["images"].count() == (1 if "1}" in text else 0)
     (tmp_path / "list.json").write_text('[{"n": 1}, {"n": 2}] ')
     assert sorted(r.n for r in J.map_entries(spark, str(tmp_path / "list.json"), "struct<n:long>").collect()) == [1, 2]
+
+
+def test_elements_are_cut_once(spark, tmp_path):
+    """The rows of all arrays come out of one table; none of them walks the document again."""
+    path = tmp_path / "doc.json"
+    path.write_text('{"a": [{"id": 1}, {"id": 2}], "b": [{"id": 3}]}')
+    found = J.array_elements(spark, str(path), {"a": "struct<id:long>", "b": "struct<id:long>"})
+    assert [sorted(r.id for r in found[n].collect()) for n in "ab"] == [[1, 2], [3]]
+    assert all("MapInArrow" not in t._jdf.queryExecution().toString() for t in found.values())
