@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from lumenrisk.operators import kernels as K
@@ -169,3 +170,29 @@ def test_resume_is_exactly_once(spark, tmp_path, monkeypatch, broken):
     go()
     assert sorted((r.image_id, r.n) for r in resume.committed(spark, out).collect()) == [(1, 1), (3, 3), (4, 4)]
     assert sorted(r.image_id for r in spark.read.parquet(out).collect()) == [1, 3, 4]
+
+
+def test_ablation_works_rows_out_once(spark):
+    """A row's vector is worked out as often for four blocks as for none, and once for a search; figures are those of fits by hand."""
+    worked = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def vector(i: int) -> list[float]:
+        worked.add(1)
+        return [float(i % 2), float(i % 3), float(i % 5), float(i * i % 7)]
+
+    rows = L.feature_matrix(spark.range(60, numPartitions=2).select("id", (F.col("id") % 2).cast("int").alias("label"), vector("id").alias("v")), "v")
+    splits = spark.range(60).select("id", F.when(F.col("id") % 10 < 6, "train").when(F.col("id") % 10 < 8, "val").otherwise("test").alias("split"))
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    params, blocks = {"n_estimators": 2, "max_depth": 2}, {f"b{i}": (i, i + 1) for i in range(4)}
+    assert [r.block for r in L.ablation("rf", params, rows, splits, "id", {}).collect()] == ["all"]
+    one, worked.value = worked.value, 0
+    got = {r.block: tuple(r)[1:] for r in L.ablation("rf", params, rows, splits, "id", blocks).collect()}
+    assert worked.value == one and one <= 4 * 60
+    assert got["b0"] == (1.0,) * 5 and list(got) == ["all", *blocks]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    parts = [R.in_split(rows, splits, s, "id").withColumn("x", F.slice("x", 3, 1)).withColumn("features", array_to_vector("x")).localCheckpoint() for s in ("train", "val", "test")]
+    assert tuple(L.train_and_evaluate("rf", params, *parts)[0].first()) == pytest.approx(got["b2"])
+    worked.value = 0
+    L.train_and_evaluate("rf", {**params, "n_estimators": [2, 3]}, *[rows.where(F.col("id") % 10 >= a).where(F.col("id") % 10 < b) for a, b in ((0, 6), (6, 8), (8, 10))])[0].collect()
+    assert worked.value <= 60
